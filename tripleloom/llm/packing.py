@@ -34,7 +34,7 @@ _WINDOWS_SQL = f"sequence_id long, offset long, whole boolean, ids binary, piece
 
 def _encode(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, part, at = tokens.Encoder(path), TaskContext.get().partitionId(), 0
+        enc, part, at = tokens.encoder(path), TaskContext.get().partitionId(), 0
         last = np.array([end], "<u4").tobytes()
         for b in shared.slices(batches, "text", 4 << 20):
             ids = [x + last for x in enc.encode(b.column(1).to_pylist())]

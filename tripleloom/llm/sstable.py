@@ -182,7 +182,7 @@ _MADE_SQL = "part int, shard int, path string, docs long, tokens long, bytes lon
 
 def _write(vocabulary: str, end: int, folder: str, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, last = tokens.Encoder(vocabulary), np.array([end], "<u4").tobytes()
+        enc, last = tokens.encoder(vocabulary), np.array([end], "<u4").tobytes()
         task = TaskContext.get()
         part, shard, out, before, nth, made = task.partitionId(), 0, None, (), 0, []
 
