@@ -1,10 +1,15 @@
 """The ten operators' queries by name, and their SQL where SQL can say it."""
 
+from . import linededup
+from .linededup import op5_line_dedup
 from .packing import op1_packing
+from .quality import op2_quality_rules
 from .sstable import op4_sstable
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_quality_rules": op2_quality_rules,
     "op4_sstable": op4_sstable,
+    "op5_line_dedup": op5_line_dedup,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op5_line_dedup": linededup.ORACLE}
