@@ -1,15 +1,23 @@
 """The ten operators' queries by name, and their SQL where SQL can say it."""
 
 from . import linededup
+from .langid import op9_language_id
 from .linededup import op5_line_dedup
+from .mixing import op7_mixing
+from .nearjoin import op3_ngram_jaccard
 from .packing import op1_packing
 from .quality import op2_quality_rules
+from .resampling import op10_quality_classifier
 from .sstable import op4_sstable
 
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_quality_rules": op2_quality_rules,
+    "op3_ngram_jaccard": op3_ngram_jaccard,
     "op4_sstable": op4_sstable,
     "op5_line_dedup": op5_line_dedup,
+    "op7_mixing": op7_mixing,
+    "op9_language_id": op9_language_id,
+    "op10_quality_classifier": op10_quality_classifier,
 }
 ORACLES: dict[str, str] = {"op5_line_dedup": linededup.ORACLE}
