@@ -1,4 +1,266 @@
 """Every query of the library by name, with the SQL that must give the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import fits
+from .operators import measures as m
+from .operators import motifs, paths
+from .plans.graph import RDF_TYPE, Graph
+from .sources.tables import CATEGORY_SQL, STAR_SQL, VIEWS_SQL, category_graph, star_graph
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+DIGITS = 6
+
+
+def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
+    """Doubles rounded, so that the order of a sum does not show; ints as longs."""
+    out = []
+    for f in df.schema.fields:
+        t = f.dataType.typeName()
+        c = F.col(f"`{f.name}`")
+        out.append((F.round(c, digits) + F.lit(0.0) if t == "double" else c.cast("long") if t in ("integer", "short", "byte") else c).alias(f.name))
+    return df.select(*out)
+
+
+def add(name: str, query: Query, sql: str | None = None) -> None:
+    QUERIES[name] = lambda spark, sf_dir, q=query: rounded(q(spark, sf_dir))
+    if sql:
+        ORACLES[name] = sql
+
+
+def star(name: str, measure: Callable[[Graph], DataFrame], body: str | None = None) -> None:
+    """A measurement of the star graph."""
+    add(name, lambda spark, d: measure(star_graph(spark, d)), body and f"WITH {STAR_SQL},{VIEWS_SQL}\n{body}")
+
+
+def category(name: str, measure: Callable[[Graph], DataFrame], body: str | None = None) -> None:
+    """A measurement of the category graph."""
+    add(name, lambda spark, d: measure(category_graph(spark, d)), body and f"WITH {CATEGORY_SQL},{VIEWS_SQL}\n{body}")
+
+
+def _quantiles_sql(value: str, source: str, head: str = "", least: int = fits.MIN_SAMPLES, ends: tuple[float, float] | None = None) -> str:
+    q = [f"quantile_cont({value}::DOUBLE, {level})" for level in fits.LEVELS]
+    if ends:
+        q[0], q[-1] = str(ends[0]), str(ends[1])
+    cols = ", ".join(f"round(CASE WHEN count({value}) >= {least} THEN greatest({', '.join(q[: i + 1])}) END, {DIGITS}) + 0.0 AS {s}" for i, s in enumerate(fits.SUFFIXES))
+    return f"SELECT {head}{cols} FROM {source}"
+
+
+# --- Block A ---------------------------------------------------------------
+
+_SIZE_SQL = f"""
+SELECT (SELECT count(*) FROM names WHERE NOT lit) AS num_entities, count(DISTINCT p) AS num_relations,
+       round(count(*)::DOUBLE / (SELECT count(*) FROM names WHERE NOT lit), 6) AS mean_degree,
+       round(avg((p = '{RDF_TYPE}')::INT::DOUBLE), 6) AS type_edge_frac FROM edges"""
+star("a_size_vocabulary", m.size_vocabulary, _SIZE_SQL)
+category("a_size_vocabulary_categories", m.size_vocabulary, _SIZE_SQL)
+_USAGE_SQL = """
+SELECT p, n_edges, round(n_edges::DOUBLE / sum(n_edges) OVER (), 6) AS share, round(ln(n_edges::DOUBLE / sum(n_edges) OVER ()), 6) AS log_share,
+       row_number() OVER (ORDER BY n_edges DESC, p) AS rank
+FROM (SELECT p, count(*) AS n_edges FROM edges GROUP BY p)"""
+star("a_relation_usage", m.relation_usage, _USAGE_SQL)
+category("a_relation_usage_categories", m.relation_usage, _USAGE_SQL)
+
+
+def _flagship(g: Graph) -> DataFrame:
+    """Size block, relation usage and characteristic sets in one result: (part, key, n, value)."""
+    a = m.size_vocabulary(g)
+    a = a.select(F.explode(F.array(*(F.struct(F.lit("size").alias("part"), F.lit(c).alias("key"), F.lit(None).cast("long").alias("n"), F.col(c).cast("double").alias("value")) for c in a.columns))).alias("x")).select("x.*")
+    r = m.relation_usage(g).select(F.lit("relation").alias("part"), F.col("p").alias("key"), F.col("n_edges").alias("n"), F.col("share").alias("value"))
+    c = m.set_frequencies(g).select(F.lit("set").alias("part"), F.col("cs").alias("key"), "n", F.col("size").cast("double").alias("value"))
+    return a.union(r).union(c)
+
+
+star("flagship", _flagship, f"""
+, a AS (SELECT (SELECT count(*) FROM names WHERE NOT lit)::DOUBLE AS v, count(*) AS e, count(DISTINCT p) AS r, count(*) FILTER (p = '{RDF_TYPE}') AS t FROM edges)
+SELECT 'size' AS part, 'num_entities' AS key, NULL::BIGINT AS n, v AS value FROM a
+UNION ALL SELECT 'size', 'num_relations', NULL, r::DOUBLE FROM a
+UNION ALL SELECT 'size', 'mean_degree', NULL, round(e / v, 6) FROM a
+UNION ALL SELECT 'size', 'type_edge_frac', NULL, round(t::DOUBLE / e, 6) FROM a
+UNION ALL SELECT 'relation', p, count(*), round(count(*)::DOUBLE / (SELECT e FROM a), 6) FROM edges GROUP BY p
+UNION ALL SELECT 'set', cs, count(*), max(n)::DOUBLE FROM cs GROUP BY cs""".lstrip("\n"))
+ORACLES["flagship"] = ORACLES["flagship"].replace("\n, a AS", ", a AS")
+
+# --- Block B ---------------------------------------------------------------
+
+for _side, _c in (("out", "dout"), ("in", "din")):
+    _sql = f"""
+SELECT max({_c})::BIGINT AS max_degree, round(quantile_cont({_c}::DOUBLE, 0.9), 6) AS p90, round(avg({_c}), 6) AS mean_degree,
+       round(avg(({_c} > 0)::INT::DOUBLE), 6) AS active_frac, count(*) AS n_entities FROM cdeg"""
+    star(f"b_{_side}_degree_stats", lambda g, c=_c: m.degree_stats(g, c), _sql)
+    category(f"b_{_side}_degree_stats_categories", lambda g, c=_c: m.degree_stats(g, c), _sql)
+star("b_degree_histogram", m.degree_histogram, """
+, h AS (SELECT 'out' AS side, dout AS degree, count(*) AS n FROM cdeg GROUP BY dout UNION ALL SELECT 'in', din, count(*) FROM cdeg GROUP BY din)
+SELECT side, degree::BIGINT AS degree, n, round((sum(n) OVER (PARTITION BY side ORDER BY degree DESC ROWS UNBOUNDED PRECEDING))::DOUBLE / sum(n) OVER (PARTITION BY side), 6) AS ccdf FROM h""".lstrip("\n"))
+ORACLES["b_degree_histogram"] = ORACLES["b_degree_histogram"].replace("\n, h AS", ", h AS")
+_MULT = {"obj": "SELECT p, s AS name, count(*) AS m FROM edges GROUP BY p, s", "subj": "SELECT p, o AS name, count(*) AS m FROM edges WHERE NOT lit GROUP BY p, o"}
+for _side, _sub in _MULT.items():
+    _sql = f"SELECT p, count(*) AS n_groups, round(avg(m), 6) AS mean_mult, max(m) AS max_mult, round(sum(ln(m)), 6) AS sum_log FROM ({_sub}) GROUP BY p"
+    star(f"b_{_side}_multiplicity", lambda g, s=_side: m.multiplicity_stats(g, s), _sql)
+    category(f"b_{_side}_multiplicity_categories", lambda g, s=_side: m.multiplicity_stats(g, s), _sql)
+_offset = " UNION ALL ".join(
+    f"""SELECT 'a_{s}' AS side, CASE WHEN count(*) >= 10 AND min(n) < max(n) THEN round(regr_slope(ln(m), ln(n)), 6) END AS slope, count(*) AS n_pairs
+FROM (SELECT m, count(*) OVER (PARTITION BY name) AS n FROM ({sub}))""" for s, sub in _MULT.items())
+category("b_cs_size_offset", m.size_offset, _offset)
+_RECIP = """
+, r AS (SELECT a.p, count(*) AS n_pairs, count(b.p) AS n_mutual FROM content a LEFT JOIN content b ON a.p = b.p AND a.s = b.o AND a.o = b.s GROUP BY a.p)"""
+star("b_reciprocity", m.reciprocity, "SELECT 1")
+ORACLES["b_reciprocity"] = f"WITH {STAR_SQL},{VIEWS_SQL}{_RECIP}\nSELECT p, n_pairs, n_mutual, round(n_mutual::DOUBLE / n_pairs, 6) AS reciprocity FROM r"
+star("b_reciprocity_bins", m.reciprocity_bins)
+ORACLES["b_reciprocity_bins"] = f"""WITH {STAR_SQL},{VIEWS_SQL}{_RECIP}
+, t AS (SELECT p, count(*) AS n FROM edges GROUP BY p)
+, c AS (SELECT n_mutual::DOUBLE / n_pairs AS rec, round((sum(n) OVER (ORDER BY n DESC, r.p))::DOUBLE / sum(n) OVER (), 12) AS cum FROM r JOIN t USING (p))
+SELECT (CASE WHEN cum <= 0.1 THEN 0 WHEN cum <= 0.25 THEN 1 WHEN cum <= 0.5 THEN 2 WHEN cum <= 0.75 THEN 3 WHEN cum <= 0.9 THEN 4 ELSE 5 END)::BIGINT AS bin,
+       count(*) AS n_relations, round(avg((rec > 0.5)::INT::DOUBLE), 6) AS frac_symmetric FROM c GROUP BY 1"""
+star("b_symmetric_value", m.symmetric_value)
+ORACLES["b_symmetric_value"] = f"WITH {STAR_SQL},{VIEWS_SQL}{_RECIP}\nSELECT round(avg(n_mutual::DOUBLE / n_pairs) FILTER (n_mutual::DOUBLE / n_pairs > 0.5), 6) AS recip_symmetric_value FROM r"
+_logs = "(SELECT ln(count(*)::DOUBLE / (SELECT count(*) FROM edges)) AS x FROM edges GROUP BY p)"
+star("b_rel_freq_quantiles", m.relation_quantiles, _quantiles_sql("x", _logs, least=2))
+category("b_rel_freq_quantiles_categories", m.relation_quantiles, _quantiles_sql("x", _logs, least=2))
+category("b_degree_powerlaw", m.degree_powerlaw)
+category("b_obj_mult_alphas", lambda g: m.multiplicity_alphas(g, "obj"))
+category("b_mult_alpha_quantiles", m.multiplicity_alpha_quantiles)
+
+# --- Block C ---------------------------------------------------------------
+
+_COOC = "SELECT a.p, b.p AS q, count(*) AS n FROM (SELECT DISTINCT {v} AS v, p FROM edges) a JOIN (SELECT DISTINCT {v} AS v, p FROM edges) b ON a.v = b.v GROUP BY a.p, b.p"
+for _side, _v in (("subj", "s"), ("obj", "o")):
+    star(f"c_cooc_{_side}ect", lambda g, s=_side: m.cooccurrence(g, s), _COOC.format(v=_v))
+    category(f"c_cooc_{_side}ect_categories", lambda g, s=_side: m.cooccurrence(g, s), _COOC.format(v=_v))
+star("c_cooc_density", m.cooccurrence_density, " UNION ALL ".join(
+    f"SELECT '{s}' AS side, count(*) AS nnz, round(count(*)::DOUBLE / (SELECT count(DISTINCT p) * count(DISTINCT p) FROM edges), 6) AS density FROM ({_COOC.format(v=v)})" for s, v in (("subj", "s"), ("obj", "o"))))
+_row_h = "(SELECT coalesce(h, 0.0) AS h FROM (SELECT DISTINCT p FROM edges) LEFT JOIN (SELECT p, -sum(x * ln(x)) AS h FROM (SELECT p, n::DOUBLE / sum(n) OVER (PARTITION BY p) AS x FROM ({c})) GROUP BY p) USING (p))"
+category("c_row_entropy_quantiles", m.row_entropy_quantiles, " UNION ALL ".join(_quantiles_sql("h", _row_h.format(c=_COOC.format(v=v)), head=f"'{s}' AS side, ") for s, v in (("subj", "s"), ("obj", "o"))))
+star("c_class_sizes", m.class_sizes, f"SELECT o AS class, count(DISTINCT s) AS n_instances FROM edges WHERE p = '{RDF_TYPE}' GROUP BY o")
+_TYPED = f"""SELECT class, p, n, n::DOUBLE / sum(n) OVER (PARTITION BY class) AS prob FROM (
+  SELECT t.o AS class, e.p, count(*) AS n FROM edges t JOIN edges e ON e.s = t.s WHERE t.p = '{RDF_TYPE}' GROUP BY t.o, e.p)"""
+star("c_type_relation_probs", m.type_relations, f"SELECT class, p, n, round(prob, 6) AS prob FROM ({_TYPED})")
+star("c_per_type_entropy", m.per_type_entropy, f"SELECT class, round(-sum(prob * ln(prob)), 6) + 0.0 AS entropy, count(*) AS n_relations FROM ({_TYPED}) GROUP BY class")
+star("c_per_type_entropy_decay", m.per_type_entropy_decay, f"""
+SELECT CASE WHEN count(*) >= 3 THEN round(-regr_slope(y, k), 6) END AS rate, CASE WHEN count(*) >= 3 THEN round(exp(regr_intercept(y, k)), 6) END AS scale
+FROM (SELECT ln(h) AS y, (row_number() OVER (ORDER BY h DESC) - 1)::DOUBLE AS k FROM (SELECT -sum(prob * ln(prob)) AS h FROM ({_TYPED}) GROUP BY class) WHERE h > 0)""")
+_PAIR_SQL = """
+SELECT (SELECT count(*) FROM content) AS n_content, d AS n_directed, u AS n_undirected, round((SELECT count(*) FROM content)::DOUBLE / d, 6) AS edge_multiplicity, round(d::DOUBLE / u, 6) AS bidirectional_ratio
+FROM (SELECT (SELECT count(*) FROM (SELECT DISTINCT s, o FROM content)) AS d, (SELECT count(*) FROM (SELECT DISTINCT least(s, o), greatest(s, o) FROM content)) AS u)"""
+star("c_pair_ratios", m.pair_ratios, _PAIR_SQL)
+category("c_pair_ratios_categories", m.pair_ratios, _PAIR_SQL)
+star("c_cooc_spectrum", lambda g: m.cooccurrence_spectrum(g, "subj"))
+star("c_type_rel_spectrum", m.type_spectrum)
+star("c_class_size_powerlaw", m.class_size_powerlaw)
+
+# --- Block D ---------------------------------------------------------------
+
+for _inv, _name, _view in ((False, "d_characteristic_sets", "cs"), (True, "d_inverse_characteristic_sets", "inv")):
+    _sql = f"SELECT cs, max(n)::BIGINT AS size, count(*) AS n FROM {_view} GROUP BY cs"
+    star(_name, lambda g, i=_inv: m.set_frequencies(g, i), _sql)
+    category(f"{_name}_categories", lambda g, i=_inv: m.set_frequencies(g, i), _sql)
+category("d_cs_size_quantiles", m.set_size_quantiles, _quantiles_sql("n", "cs"))
+category("d_inv_cs_size_quantiles", lambda g: m.set_size_quantiles(g, True), _quantiles_sql("n", "inv"))
+_TWO = """SELECT a.q, b.p, sum(ci * co)::BIGINT AS n FROM (SELECT o AS x, p AS q, count(*) AS ci FROM edges WHERE NOT lit GROUP BY o, p) a
+JOIN (SELECT s AS x, p, count(*) AS co FROM edges GROUP BY s, p) b ON a.x = b.x GROUP BY a.q, b.p"""
+star("d_two_step_pairs", m.two_step_pairs, _TWO)
+category("d_two_step_pairs_categories", m.two_step_pairs, _TWO)
+star("d_two_step_top20", m.two_step_top, f"SELECT * FROM ({_TWO}) ORDER BY n DESC, q, p LIMIT 20")
+category("d_cs_freq_powerlaw", m.set_frequency_powerlaw)
+category("d_inv_cs_freq_powerlaw", lambda g: m.set_frequency_powerlaw(g, True))
+star("d_two_step_powerlaw", m.two_step_powerlaw)
+
+# --- Block E ---------------------------------------------------------------
+
+#: Edges from the lower to the higher end by (degree, name), numbered as text-free ranks.
+_ORIENTED = """
+, rk AS (SELECT name, d, row_number() OVER (ORDER BY d, name) AS r FROM deg)
+, ori AS (SELECT least(a.r, b.r) AS a, greatest(a.r, b.r) AS b FROM und JOIN rk a ON a.name = u JOIN rk b ON b.name = v)
+, num AS (SELECT a AS u, b AS v FROM ori UNION ALL SELECT b, a FROM ori)
+, tri AS (SELECT p.a AS x, p.b AS y, q.b AS z FROM ori p JOIN ori q ON p.a = q.a AND p.b < q.b JOIN ori r ON r.a = p.b AND r.b = q.b)"""
+
+
+def oriented(name: str, measure: Callable[[Graph], DataFrame], body: str, source: Callable = star) -> None:
+    source(name, measure)
+    ORACLES[name] = f"WITH {STAR_SQL if source is star else CATEGORY_SQL},{VIEWS_SQL}{_ORIENTED}\n{body}"
+
+
+oriented("e_triangles", motifs.triangle_count, "SELECT count(*) AS triangles FROM tri")
+oriented("e_triangles_per_vertex", motifs.triangles_per_vertex, "SELECT name, count(*) AS triangles FROM (SELECT x AS r FROM tri UNION ALL SELECT y FROM tri UNION ALL SELECT z FROM tri) JOIN rk USING (r) GROUP BY name")
+_M3 = "SELECT (SELECT count(*) FROM und) AS edges, (SELECT count(*) FROM tri) AS triangles, (SELECT sum(d * (d - 1) / 2)::BIGINT FROM deg) - 3 * (SELECT count(*) FROM tri) AS wedges"
+oriented("e_motifs3", motifs.motifs3, _M3.replace("d * (d - 1) / 2", "d * (d - 1) // 2"))
+_M4 = """
+, te AS (SELECT a, b, count(*) AS n FROM (SELECT x AS a, y AS b FROM tri UNION ALL SELECT x, z FROM tri UNION ALL SELECT y, z FROM tri) GROUP BY a, b)
+, k4 AS (SELECT count(*) AS n FROM tri s JOIN tri t ON s.x = t.x AND s.y = t.y AND s.z < t.z JOIN ori ON ori.a = s.z AND ori.b = t.z)
+, sq AS (SELECT coalesce(sum(n * (n - 1) // 2), 0)::BIGINT AS n FROM (SELECT o.b AS top, m.v AS w, count(*) AS n FROM ori o JOIN num m ON m.u = o.a AND m.v < o.b GROUP BY o.b, m.v))
+, f AS (SELECT (SELECT coalesce(sum(n * (n - 1) // 2), 0)::BIGINT FROM te) - 6 * (SELECT n FROM k4) AS dia, (SELECT n FROM k4) AS k, (SELECT n FROM sq) AS s,
+  (SELECT coalesce(sum(c * d), 0)::BIGINT FROM (SELECT r, count(*) AS c FROM (SELECT x AS r FROM tri UNION ALL SELECT y FROM tri UNION ALL SELECT z FROM tri) GROUP BY r) JOIN rk USING (r)) AS ds, (SELECT count(*) FROM tri) AS t)
+SELECT s - dia - 3 * k AS four_cycle, dia AS diamond, k AS k4, ds - 6 * t - 4 * dia - 12 * k AS tailed_triangle FROM f"""
+oriented("e_motifs4", motifs.motifs4, _M4.lstrip("\n"))
+ORACLES["e_motifs4"] = ORACLES["e_motifs4"].replace("\n, te AS", ", te AS")
+_choose = lambda k: " * ".join(f"(d - {k - i})::DOUBLE / {i}" for i in range(1, k + 1))
+oriented("e_stars_trianglefree", lambda g: motifs.stars_triangle_free(g).select("k", F.log("stars").alias("log_stars")), " UNION ALL ".join(
+    f"SELECT {k}::BIGINT AS k, round(ln(nullif(sum(CASE WHEN d >= {k} THEN round({_choose(k)}) ELSE 0 END), 0)), 6) AS log_stars FROM calm" for k in range(2, 11)))
+ORACLES["e_stars_trianglefree"] = ORACLES["e_stars_trianglefree"].replace(f"{_ORIENTED}\n", f"{_ORIENTED}\n, calm AS (SELECT * FROM rk WHERE r NOT IN (SELECT x FROM tri UNION SELECT y FROM tri UNION SELECT z FROM tri))\n", 1)
+
+
+def _nations(spark: SparkSession, sf_dir: str) -> Graph:
+    """A small sub-graph: regions, nations and the suppliers' nations."""
+    g = star_graph(spark, sf_dir)
+    return Graph(g.edges.filter(F.col("p").isin("inRegion", "peerOf")), distinct=True)
+
+
+_SMALL = STAR_SQL.replace("edges AS (", "all_edges AS (", 1) + ",\nedges AS (SELECT * FROM all_edges WHERE p IN ('inRegion', 'peerOf'))"
+_SETS5 = """
+, s2 AS (SELECT a AS v1, b AS v2 FROM ori)
+, s3 AS (SELECT DISTINCT list_sort([v1, v2, v])::BIGINT[] AS vs FROM s2 JOIN num ON (u = v1 OR u = v2) AND v <> v1 AND v <> v2)
+, s4 AS (SELECT DISTINCT list_sort(list_append(vs, v)) AS vs FROM s3 JOIN num ON list_contains(vs, u) AND NOT list_contains(vs, v))
+, s5 AS (SELECT DISTINCT list_sort(list_append(vs, v)) AS vs FROM s4 JOIN num ON list_contains(vs, u) AND NOT list_contains(vs, v))
+, dg AS (SELECT vs, u, count(*) AS d FROM s5 JOIN num ON list_contains(vs, u) AND list_contains(vs, v) GROUP BY vs, u)
+SELECT ds, count(*) AS n FROM (SELECT vs, string_agg(d::VARCHAR, ',' ORDER BY d) AS ds FROM dg GROUP BY vs) GROUP BY ds"""
+add("e_graphlets5_small", lambda spark, d: motifs.graphlets(_nations(spark, d), 5), f"WITH {_SMALL},{VIEWS_SQL}{_ORIENTED}{_SETS5}")
+add("e_cycles6_small", lambda spark, d: motifs.cycles(_nations(spark, d), 6))
+add("e_stars_exact_small", lambda spark, d: motifs.stars(_nations(spark, d)))
+_COLOUR = """
+, col AS (SELECT r, (1 << (('0x' || substr(md5('0:0:' || name), 1, 8))::BIGINT % 4))::BIGINT AS bit FROM rk)
+, p2 AS (SELECT n.v, a.bit | b.bit AS mask, count(*) AS n FROM num n JOIN col a ON a.r = n.u JOIN col b ON b.r = n.v AND a.bit & b.bit = 0 GROUP BY 1, 2)
+, p3 AS (SELECT n.v, mask | b.bit AS mask, sum(p.n) AS n FROM p2 p JOIN num n ON n.u = p.v JOIN col b ON b.r = n.v AND mask & b.bit = 0 GROUP BY 1, 2)
+, p4 AS (SELECT n.v, mask | b.bit AS mask, sum(p.n) AS n FROM p3 p JOIN num n ON n.u = p.v JOIN col b ON b.r = n.v AND mask & b.bit = 0 GROUP BY 1, 2)
+SELECT 0::BIGINT AS colouring, sum(n)::DOUBLE AS total, round(sum(n)::DOUBLE / (24.0 / 256), 6) AS paths FROM p4"""
+oriented("e_color_coding_k4", lambda g: motifs.colourful_total(g, 4), _COLOUR.lstrip("\n"), category)
+ORACLES["e_color_coding_k4"] = ORACLES["e_color_coding_k4"].replace("\n, col AS", ", col AS")
+add("e_color_coding_sampled", lambda spark, d: motifs.colour_coding(_nations(spark, d), 5, samples=200, colourings=4))
+category("e_template_stats", lambda g: motifs.template_stats(m.set_frequencies(g)), """
+SELECT round(least(50.0, greatest(1.01, 1 + count(*) / (sum(ln(n)) - count(*) * ln(min(n))))), 6) AS zipf, round(-sum(x * ln(x)), 6) AS entropy
+FROM (SELECT n, n::DOUBLE / sum(n) OVER () AS x FROM (SELECT count(*)::DOUBLE AS n FROM cs GROUP BY cs))""")
+
+# --- Block F ---------------------------------------------------------------
+
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> Graph:
+    """Orders of customers: many small components, held together only by their customer."""
+    return Graph(star_graph(spark, sf_dir).edges.filter(F.col("p").isin("placedBy", "peerOf", "inRegion")), distinct=True)
+
+
+_LINES = STAR_SQL.replace("edges AS (", "all_edges AS (", 1) + ",\nedges AS (SELECT * FROM all_edges WHERE p IN ('placedBy', 'peerOf', 'inRegion'))"
+_REACHED = """
+reach(a, b) AS (SELECT u, v FROM both_ways UNION SELECT r.a, e.v FROM reach r JOIN both_ways e ON r.b = e.u),
+comp AS (SELECT name, least(name, coalesce(min(b), name)) AS component FROM names LEFT JOIN reach ON a = name GROUP BY name)"""
+add("f_components", lambda spark, d: paths.components(_lines(spark, d)), f"WITH RECURSIVE {_LINES},{VIEWS_SQL},{_REACHED}\nSELECT name, component FROM comp")
+add("f_lcc_fraction", lambda spark, d: paths.largest_fraction(_lines(spark, d)), f"WITH RECURSIVE {_LINES},{VIEWS_SQL},{_REACHED}\nSELECT count(*) AS num_components, round(max(n)::DOUBLE / sum(n), 6) AS largest_component_fraction FROM (SELECT count(*) AS n FROM comp GROUP BY component)")
+star("f_lcc_fraction_star", paths.largest_fraction)
+oriented("f_clustering", paths.clustering, "SELECT round(sum(2.0 * t / (d * (d - 1))) / (SELECT count(*) FROM names), 6) AS clustering_coefficient FROM (SELECT r, count(*) AS t FROM (SELECT x AS r FROM tri UNION ALL SELECT y FROM tri UNION ALL SELECT z FROM tri) GROUP BY r) JOIN rk USING (r)")
+star("f_assortativity", paths.assortativity, "SELECT round(corr(a.d, b.d), 6) AS degree_assortativity FROM both_ways JOIN deg a ON a.name = u JOIN deg b ON b.name = v")
+add("f_shortest_paths", lambda spark, d: paths.sampled_distances(_nations(spark, d), 20).drop("i"), f"""WITH RECURSIVE {_SMALL},{VIEWS_SQL},{_REACHED},
+big AS (SELECT component FROM comp GROUP BY component ORDER BY count(*) DESC, component LIMIT 1),
+inside AS (SELECT name FROM comp JOIN big USING (component) JOIN names USING (name) WHERE NOT lit),
+a AS (SELECT name AS src, row_number() OVER (ORDER BY md5('42:src:' || name), name) AS i FROM inside),
+b AS (SELECT name AS dst, row_number() OVER (ORDER BY md5('42:dst:' || name), name) AS i FROM inside),
+pairs AS (SELECT src, dst FROM a JOIN b USING (i) WHERE i <= 20),
+walk(src, name, dist) AS (SELECT DISTINCT src, src, 0 FROM pairs UNION SELECT w.src, e.v, w.dist + 1 FROM walk w JOIN both_ways e ON w.name = e.u WHERE w.dist < 6)
+SELECT p.src, p.dst, min(w.dist)::BIGINT AS dist FROM pairs p JOIN walk w ON w.src = p.src AND w.name = p.dst GROUP BY p.src, p.dst HAVING min(w.dist) > 0""")
+star("f_path_stats", lambda g: paths.path_stats(g, 10))
+add("f_bridges", lambda spark, d: paths.bridges(_lines(spark, d)))
