@@ -94,3 +94,34 @@ def texts(batch: pa.RecordBatch, col: str) -> list[bytes | None]:
     """The column's values as UTF-8 bytes."""
     x = batch.column(batch.schema.get_field_index(col))
     return x.cast(pa.large_binary() if pa.types.is_large_string(x.type) else pa.binary()).to_pylist()
+
+
+def write_by_part(df: DataFrame, name: str) -> str:
+    """Write rows that refer to rows of another table by their ``rid``, a folder for each partition that made the ids.
+
+    Ids from ``monotonically_increasing_id`` hold the partition above bit 33.  A
+    task that reads a partition of the other table then reads one small folder and
+    nothing of that table is shuffled.
+    """
+    from pyspark.sql import functions as F
+
+    path = scratch(df.sparkSession, name)
+    x = df.withColumn("part", F.shiftright("rid", 33)).repartition("part").sortWithinPartitions("part", "rid")
+    x.write.partitionBy("part").option("compression", "zstd").parquet(path)
+    return path
+
+
+def read_part(path: str, part: int) -> pa.Table | None:
+    """One partition's rows, by ``rid``; None where there are none."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    store, at = fs.FileSystem.from_uri(f"{path}/part={part}")
+    files = [f.path for f in store.get_file_info(fs.FileSelector(at, allow_not_found=True)) if f.path.endswith(".parquet")]
+    if not files:
+        return None
+    out = []
+    for f in files:
+        with store.open_input_file(f) as source:
+            out.append(pq.read_table(source))
+    return pa.concat_tables(out).sort_by("rid").combine_chunks()

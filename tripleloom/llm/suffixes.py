@@ -234,13 +234,34 @@ _CUTS = pa.schema([("ah", pa.int64()), ("doc", pa.int64()), ("rid", pa.int64()),
 _GONE = pa.schema([("rid", pa.int64()), ("s", pa.int64()), ("e", pa.int64())])
 
 
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in shared.slices(batches, "text"):
-        rows: list[tuple] = []
-        for rid, text, edges in zip(b.column(0).to_pylist(), shared.texts(b, "text"), b.column(2).to_pylist(), strict=True):
-            rows += [(e["ah"], e["doc"], rid, e["lo"], text[e["lo"] : e["hi"] + WINDOW]) for e in edges]
-        if rows:
-            yield shared.table(dict(zip(_CUTS.names, map(list, zip(*rows, strict=True)), strict=True)), _CUTS)
+class _Ranges:
+    """Rows of :func:`shared.write_by_part` for the texts of a batch; the last partition stays in memory."""
+
+    def __init__(self, path: str, columns: tuple[str, ...]):
+        self.path, self.columns, self.part, self.rid, self.rows = path, columns, None, None, ()
+
+    def of(self, rid: int) -> list[np.ndarray]:
+        """The columns' values for one text."""
+        if rid >> 33 != self.part:
+            self.part, t = rid >> 33, shared.read_part(self.path, rid >> 33)
+            self.rid = np.empty(0, np.int64) if t is None else t.column("rid").to_numpy()
+            self.rows = [np.empty(0, np.int64) if t is None else t.column(c).to_numpy() for c in self.columns]
+        lo, hi = np.searchsorted(self.rid, [rid, rid + 1])
+        return [x[lo:hi] for x in self.rows]
+
+
+def _cut(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edges = _Ranges(path, ("ah", "doc", "lo", "hi"))
+        for b in shared.slices(batches, "text"):
+            rows: list[tuple] = []
+            for rid, text in zip(b.column(0).to_pylist(), shared.texts(b, "text"), strict=True):
+                for ah, doc, lo, hi in zip(*(x.tolist() for x in edges.of(rid)), strict=True):
+                    rows.append((ah, doc, rid, lo, text[lo : hi + WINDOW]))
+            if rows:
+                yield shared.table(dict(zip(_CUTS.names, map(list, zip(*rows, strict=True)), strict=True)), _CUTS)
+
+    return run
 
 
 def _merge(rid: np.ndarray, s: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -297,27 +318,24 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _KEPT = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("kept", pa.binary())])
 
 
-def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in shared.slices(batches, "text"):
-        rows = []
-        for rid, doc, text, gone in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), shared.texts(b, "text"), b.column(3).to_pylist(), strict=True):
-            text, spans = text or b"", []
-            if gone:
-                x = np.array([(g["s"], g["e"]) for g in gone], np.int64)
-                _, s, e = _merge(np.zeros(len(x), np.int64), x[:, 0], x[:, 1])
+def _remove(path: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gone = _Ranges(path, ("s", "e"))
+        for b in shared.slices(batches, "text"):
+            rows = []
+            for rid, doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), shared.texts(b, "text"), strict=True):
+                text, (s, e) = text or b"", gone.of(rid)
+                _, s, e = _merge(np.zeros(len(s), np.int64), s, e)
                 spans = [[int(i), int(j)] for i, j in zip(s, e, strict=True)]
-            kept, at = [], 0
-            for i, j in spans:
-                kept.append(text[at:i])
-                at = j
-            kept = b"".join([*kept, text[at:]])
-            rows.append((rid, doc, len(text), len(text) - len(kept), spans, kept))
-        yield shared.table(dict(zip(_KEPT.names, map(list, zip(*rows, strict=True)), strict=True)), _KEPT)
-
+                kept, at = [], 0
+                for i, j in spans:
+                    kept.append(text[at:i])
+                    at = j
+                kept = b"".join([*kept, text[at:]])
+                rows.append((rid, doc, len(text), len(text) - len(kept), spans, kept))
+            yield shared.table(dict(zip(_KEPT.names, map(list, zip(*rows, strict=True)), strict=True)), _KEPT)
 
-def _with(docs: DataFrame, info: DataFrame, how: str, rows: int, most: int = 500_000) -> DataFrame:
-    """Join on rid; ``info`` is broadcast only if it has few ranges (some 40 bytes each)."""
-    return docs.join(F.broadcast(info) if rows <= most else info, "rid", how)
+    return run
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -342,15 +360,12 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     whole, _ = shared.write(whole, "repeat-whole")
     shared.remove(spark, pieces_at)
 
-    edges = met.filter(F.col("kind") == EDGE)
-    by_row = edges.groupBy("rid").agg(F.collect_list(F.struct("ah", "doc", "lo", "hi")).alias("edges"))  # as many as a text has anchors
-    cuts = _with(rows.select("rid", "text"), by_row, "inner", edges.count()).select("rid", "text", "edges").mapInArrow(_cut, "ah long, doc long, rid long, lo long, bytes binary")
+    edges = shared.write_by_part(met.filter(F.col("kind") == EDGE).select("rid", "ah", "doc", "lo", "hi"), "repeat-edges")
+    cuts = rows.select("rid", "text").mapInArrow(_cut(edges), "ah long, doc long, rid long, lo long, bytes binary")
     sorted_ = cuts.repartition("ah").sortWithinPartitions("ah").mapInArrow(_sort, "rid long, s long, e long")
     again = met.filter(F.col("kind") == GONE).select("rid", F.col("lo").alias("s"), (F.col("hi") + WINDOW).alias("e"))
-    gone, _ = shared.write(whole.unionByName(again).unionByName(sorted_), "repeat-gone")
-    per_row = gone.groupBy("rid").agg(F.collect_list(F.struct("s", "e")).alias("gone"))
-    out = _with(rows, per_row, "left", gone.count()).select("rid", "doc_id", "text", "gone")
-    return out.mapInArrow(_remove, "rid long, doc_id long, n_bytes long, n_removed long, spans array<array<long>>, kept binary")
+    gone = shared.write_by_part(whole.unionByName(again).unionByName(sorted_), "repeat-gone")
+    return rows.mapInArrow(_remove(gone), "rid long, doc_id long, n_bytes long, n_removed long, spans array<array<long>>, kept binary")
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
