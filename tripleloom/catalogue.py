@@ -264,3 +264,5 @@ walk(src, name, dist) AS (SELECT DISTINCT src, src, 0 FROM pairs UNION SELECT w.
 SELECT p.src, p.dst, min(w.dist)::BIGINT AS dist FROM pairs p JOIN walk w ON w.src = p.src AND w.name = p.dst GROUP BY p.src, p.dst HAVING min(w.dist) > 0""")
 star("f_path_stats", lambda g: paths.path_stats(g, 10))
 add("f_bridges", lambda spark, d: paths.bridges(_lines(spark, d)))
+
+from . import catalogue_synthesis  # noqa: E402, F401  registers the remaining queries
