@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from ..functions import fits
 from ..plans.graph import RDF_TYPE, Graph
 
-_ALL = Window.partitionBy()
 _long = lambda c: c.cast("long")
 
 
@@ -39,7 +38,7 @@ def size_vocabulary(g: Graph) -> DataFrame:
 def relation_usage(g: Graph) -> DataFrame:
     """Edges of each relation, their share and its logarithm, and the rank by frequency (ties by name)."""
     n = g.edges.groupBy("p").agg(F.count(F.lit(1)).alias("n_edges"))
-    share = F.col("n_edges") / F.sum("n_edges").over(_ALL)
+    share = F.col("n_edges") / F.sum("n_edges").over(Window.partitionBy())
     return n.select("p", "n_edges", share.alias("share"), F.log(share).alias("log_share"), F.row_number().over(Window.orderBy(F.desc("n_edges"), "p")).alias("rank"))
 
 
@@ -108,7 +107,7 @@ def reciprocity_bins(g: Graph) -> DataFrame:
     """Relations by cumulative share of edges in six bins: their number and the share that is symmetric (over one half)."""
     total = g.edges.groupBy("p").agg(F.count(F.lit(1)).alias("n_edges"))
     x = reciprocity(g).join(total, "p")
-    cum = F.sum("n_edges").over(Window.orderBy(F.desc("n_edges"), "p")) / F.sum("n_edges").over(_ALL)
+    cum = F.sum("n_edges").over(Window.orderBy(F.desc("n_edges"), "p")) / F.sum("n_edges").over(Window.partitionBy())
     x = x.select("p", "reciprocity", F.round(cum, 12).alias("cum"))
     bin_ = F.lit(len(fits.LEVELS) - 2)
     for i in range(len(fits.LEVELS) - 2, -1, -1):

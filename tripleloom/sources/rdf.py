@@ -12,6 +12,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from ..plans.graph import RDF_TYPE, Graph
 
@@ -29,13 +30,17 @@ def unescape(text: str) -> str:
     return re.sub(r"\\(u[0-9A-Fa-f]{4}|U[0-9A-Fa-f]{8}|.)", one, text)
 
 
-def looks_like_ntriples(lines: DataFrame) -> bool:
-    """Whether every line that is neither empty nor a comment starts like a statement and ends with a full stop, and there is one."""
-    t = F.trim(F.regexp_replace("value", r"^\s+|\s+$", ""))
+def sniff(lines: DataFrame) -> tuple[bool, bool]:
+    """Whether every line that is neither empty nor a comment starts like a statement and ends with a full stop, and there is one; and whether all are statements.  One pass."""
+    t = F.regexp_replace("value", r"^\s+|\s+$", "")
     x = lines.select(t.alias("t")).filter((F.col("t") != "") & ~F.col("t").startswith("#"))
-    ok = (F.col("t").startswith("<") | F.col("t").startswith("_:")) & F.col("t").endswith(".")
-    r = x.agg(F.count(F.lit(1)).alias("n"), F.min(ok.cast("int")).alias("ok")).first()
-    return bool(r.n and r.ok)
+    shape = (F.col("t").startswith("<") | F.col("t").startswith("_:")) & F.col("t").endswith(".")
+    r = x.agg(F.count(F.lit(1)).alias("n"), F.min(shape.cast("int")).alias("shape"), F.min(F.col("t").rlike(_STATEMENT).cast("int")).alias("whole")).first()
+    return bool(r.n and r["shape"]), bool(r.n and r["whole"])
+
+
+def looks_like_ntriples(lines: DataFrame) -> bool:
+    return sniff(lines)[0]
 
 
 def _unescaped(c: F.Column) -> F.Column:
@@ -47,7 +52,7 @@ def _unescaped(c: F.Column) -> F.Column:
     return F.when(F.instr(c, "\\") == 0, c).otherwise(F.when(c.rlike(r"\\[uU]"), _slow(c)).otherwise(plain))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _slow(x):
     return x.map(lambda t: t if t is None else unescape(t))
 
@@ -174,9 +179,11 @@ def parse_turtle(text: str) -> list[tuple]:
 
     def predicates(s: str) -> None:
         while True:
-            k, v = peek()
-            p = RDF_TYPE if (k, v) == ("word", "a") else None
-            p = (take() and p) or resource()
+            if peek() == ("word", "a"):
+                take()
+                p = RDF_TYPE
+            else:
+                p = resource()
             while True:
                 out.append((s, p, *thing()))
                 if peek()[1] != ",":
@@ -230,7 +237,10 @@ def read_turtle(spark: SparkSession, path: str) -> DataFrame:
 
 def read_triples(spark: SparkSession, path: str) -> DataFrame:
     """Triples of the files, in whichever of the two formats their contents are; ValueError if in neither."""
-    if looks_like_ntriples(spark.read.text(path)):
+    shape, whole = sniff(spark.read.text(path))
+    if shape:
+        if not whole:
+            raise ValueError(f"{path} has lines that are no N-Triples statements")
         return read_ntriples(spark, path)
     x = read_turtle(spark, path)
     try:
