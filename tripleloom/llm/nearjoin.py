@@ -364,3 +364,23 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class, number of links and group of every document."""
     docs = keyed(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return near_duplicates(docs).drop("rid")
+
+
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+places AS (
+  SELECT doc_id, ws, unnest(generate_series(1, greatest(len(ws) - 4, 1))) AS i FROM w WHERE len(ws) > 0),
+g AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + 4], ' ') AS s FROM places),
+n AS (SELECT w.doc_id, count(s) AS n FROM w LEFT JOIN g USING (doc_id) GROUP BY w.doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (
+  SELECT x, y, k = p.n AND k = q.n AS same FROM common JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 5 * k >= 4 * (p.n + q.n - k)
+  UNION ALL SELECT p.doc_id, q.doc_id, TRUE FROM n p JOIN n q ON p.n = 0 AND q.n = 0 AND p.doc_id <> q.doc_id),
+reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.y FROM reach r JOIN links l ON l.x = r.b),
+c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a),
+k AS (SELECT x, count(*) AS n_links, count(*) FILTER (same) AS twins, min(y) FILTER (same) AS twin FROM links GROUP BY x)
+SELECT d.doc_id, least(d.doc_id, coalesce(twin, d.doc_id)) AS class_id, coalesce(twins, 0)::BIGINT + 1 AS copies, coalesce(n_links, 0)::BIGINT AS n_links,
+       component_id, d.doc_id = component_id AS kept
+FROM documents d JOIN c ON c.a = d.doc_id LEFT JOIN k ON k.x = d.doc_id
+"""

@@ -2,7 +2,7 @@
 
 import corpus_pipeline
 
-from . import linededup
+from . import linededup, nearjoin, vectors
 from .langid import op9_language_id
 from .linededup import op5_line_dedup
 from .mixing import op7_mixing
@@ -27,4 +27,4 @@ QUERIES = {
     "op10_quality_classifier": op10_quality_classifier,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {"op5_line_dedup": linededup.ORACLE} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+ORACLES: dict[str, str] = {"op3_ngram_jaccard": nearjoin.ORACLE, "op5_line_dedup": linededup.ORACLE, "op6_embedding_dedup": vectors.ORACLE} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

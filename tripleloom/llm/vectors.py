@@ -231,3 +231,15 @@ def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and group of every embedding."""
     return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
+
+ORACLE = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings WHERE label IS NOT NULL),
+links AS (
+  SELECT a.vec_id AS u, b.vec_id AS v FROM v a JOIN v b
+  ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.93),
+reach(a, b) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.a, l.v FROM reach r JOIN links l ON l.u = r.b)
+SELECT e.vec_id, coalesce(n, 0)::BIGINT AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+FROM embeddings e LEFT JOIN (SELECT u, count(*) AS n FROM links GROUP BY u) k ON k.u = e.vec_id
+JOIN (SELECT a, min(b) AS component_id FROM reach GROUP BY a) c ON c.a = e.vec_id
+"""
