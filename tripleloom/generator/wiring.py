@@ -112,17 +112,18 @@ def pair_stubs(out: np.ndarray, into: np.ndarray, mutual: float, seed: int) -> l
         ends: dict[int, list[int]] = {}
         for k, v in enumerate(out.tolist()):
             ends.setdefault(v, []).append(k)
-        both = [v for v in ends if v in where]
-        rng.shuffle(both)
         want, made = mutual * n, 0
-        for a, b in zip(both[::2], both[1::2], strict=False):
-            if made >= want:
+        for _ in range(8):  # an entity with several ends on both sides gets other partners each time
+            both = [v for v in ends if ends[v] and where.get(v)]
+            if made >= want or len(both) < 2:
                 break
-            if ends[a] and ends[b] and where[a] and where[b] and (a, b) not in found:
-                for s, t in ((a, b), (b, a)):
-                    used_o[ends[s].pop()] = used_i[where[t].pop()] = True
-                    found.add((s, t))
-                made += 2
+            rng.shuffle(both)
+            for a, b in zip(both[::2], both[1::2], strict=False):
+                if made < want and (a, b) not in found and (b, a) not in found:
+                    for s, t in ((a, b), (b, a)):
+                        used_o[ends[s].pop()] = used_i[where[t].pop()] = True
+                        found.add((s, t))
+                    made += 2
     o, t = out[~used_o].tolist(), into[~used_i].tolist()
     n = min(len(o), len(t))
     for k in range(n):

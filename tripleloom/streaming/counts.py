@@ -19,13 +19,13 @@ def distinct_triples(triples: DataFrame, time: str, late: str = "1 hour") -> Dat
 
 def windowed(events: DataFrame, time: str = "ts", every: str = "1 day", late: str = "1 day") -> DataFrame:
     """``(start, event_type, n, total)`` per tumbling window, late rows beyond the watermark left out."""
-    x = events.withWatermark(time, late).groupBy(F.window(time, every), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    x = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, every), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
     return x.select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
 def sessions(events: DataFrame, time: str = "ts", gap: str = "30 minutes", late: str = "1 day") -> DataFrame:
     """``(user_id, start, end, n)`` per session of a user."""
-    x = events.withWatermark(time, late).groupBy(F.session_window(time, gap), "user_id").agg(F.count(F.lit(1)).alias("n"))
+    x = events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.session_window(time, gap), "user_id").agg(F.count(F.lit(1)).alias("n"))
     return x.select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
