@@ -11,7 +11,7 @@ from .functions import fits
 from .operators import measures as m
 from .operators import motifs, paths
 from .plans.graph import RDF_TYPE, Graph
-from .sources.tables import CATEGORY_SQL, STAR_SQL, VIEWS_SQL, category_graph, star_graph
+from .sources.tables import CATEGORY_SQL, GEOGRAPHY_SQL, STAR_SQL, VIEWS_SQL, category_graph, geography_graph, star_graph
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -206,13 +206,6 @@ oriented("e_stars_trianglefree", lambda g: motifs.stars_triangle_free(g).select(
 ORACLES["e_stars_trianglefree"] = ORACLES["e_stars_trianglefree"].replace(f"{_ORIENTED}\n", f"{_ORIENTED}\n, calm AS (SELECT * FROM rk WHERE r NOT IN (SELECT x FROM tri UNION SELECT y FROM tri UNION SELECT z FROM tri))\n", 1)
 
 
-def _nations(spark: SparkSession, sf_dir: str) -> Graph:
-    """A small sub-graph: regions, nations and the suppliers' nations."""
-    g = star_graph(spark, sf_dir)
-    return Graph(g.edges.filter(F.col("p").isin("inRegion", "peerOf")), distinct=True)
-
-
-_SMALL = STAR_SQL.replace("edges AS (", "all_edges AS (", 1) + ",\nedges AS (SELECT * FROM all_edges WHERE p IN ('inRegion', 'peerOf'))"
 _SETS5 = """
 , s2 AS (SELECT a AS v1, b AS v2 FROM ori)
 , s3 AS (SELECT DISTINCT list_sort([v1, v2, v])::BIGINT[] AS vs FROM s2 JOIN num ON (u = v1 OR u = v2) AND v <> v1 AND v <> v2)
@@ -220,9 +213,9 @@ _SETS5 = """
 , s5 AS (SELECT DISTINCT list_sort(list_append(vs, v)) AS vs FROM s4 JOIN num ON list_contains(vs, u) AND NOT list_contains(vs, v))
 , dg AS (SELECT vs, u, count(*) AS d FROM s5 JOIN num ON list_contains(vs, u) AND list_contains(vs, v) GROUP BY vs, u)
 SELECT ds, count(*) AS n FROM (SELECT vs, string_agg(d::VARCHAR, ',' ORDER BY d) AS ds FROM dg GROUP BY vs) GROUP BY ds"""
-add("e_graphlets5_small", lambda spark, d: motifs.graphlets(_nations(spark, d), 5), f"WITH {_SMALL},{VIEWS_SQL}{_ORIENTED}{_SETS5}")
-add("e_cycles6_small", lambda spark, d: motifs.cycles(_nations(spark, d), 6))
-add("e_stars_exact_small", lambda spark, d: motifs.stars(_nations(spark, d)))
+add("e_graphlets5", lambda spark, d: motifs.graphlets(geography_graph(spark, d), 5), f"WITH {GEOGRAPHY_SQL},{VIEWS_SQL}{_ORIENTED}{_SETS5}")
+add("e_cycles6", lambda spark, d: motifs.cycles(geography_graph(spark, d), 6))
+add("e_stars_exact", lambda spark, d: motifs.stars(geography_graph(spark, d)))
 _COLOUR = """
 , col AS (SELECT r, (1 << (('0x' || substr(md5('0:0:' || name), 1, 8))::BIGINT % 4))::BIGINT AS bit FROM rk)
 , p2 AS (SELECT n.v, a.bit | b.bit AS mask, count(*) AS n FROM num n JOIN col a ON a.r = n.u JOIN col b ON b.r = n.v AND a.bit & b.bit = 0 GROUP BY 1, 2)
@@ -231,7 +224,7 @@ _COLOUR = """
 SELECT 0::BIGINT AS colouring, sum(n)::DOUBLE AS total, round(sum(n)::DOUBLE / (24.0 / 256), 6) AS paths FROM p4"""
 oriented("e_color_coding_k4", lambda g: motifs.colourful_total(g, 4), _COLOUR.lstrip("\n"), category)
 ORACLES["e_color_coding_k4"] = ORACLES["e_color_coding_k4"].replace("\n, col AS", ", col AS")
-add("e_color_coding_sampled", lambda spark, d: motifs.colour_coding(_nations(spark, d), 5, samples=200, colourings=4))
+category("e_color_coding_sampled", lambda g: motifs.colour_coding(g, 4, samples=50, colourings=1))
 category("e_template_stats", lambda g: motifs.template_stats(m.set_frequencies(g)), """
 SELECT round(least(50.0, greatest(1.01, 1 + count(*) / (sum(ln(n)) - count(*) * ln(min(n))))), 6) AS zipf, round(-sum(x * ln(x)), 6) AS entropy
 FROM (SELECT n, n::DOUBLE / sum(n) OVER () AS x FROM (SELECT count(*)::DOUBLE AS n FROM cs GROUP BY cs))""")
@@ -240,29 +233,29 @@ FROM (SELECT n, n::DOUBLE / sum(n) OVER () AS x FROM (SELECT count(*)::DOUBLE AS
 
 
 
-def _lines(spark: SparkSession, sf_dir: str) -> Graph:
-    """Orders of customers: many small components, held together only by their customer."""
-    return Graph(star_graph(spark, sf_dir).edges.filter(F.col("p").isin("placedBy", "peerOf", "inRegion")), distinct=True)
-
-
-_LINES = STAR_SQL.replace("edges AS (", "all_edges AS (", 1) + ",\nedges AS (SELECT * FROM all_edges WHERE p IN ('placedBy', 'peerOf', 'inRegion'))"
+#: Least names spread along edges, as many rounds as any two vertices of these graphs are apart.
+_ROUNDS = 14
+_LABELS = "l0 AS (SELECT name, name AS c FROM names), " + ", ".join(
+    f"l{i} AS (SELECT name, min(c) AS c FROM (SELECT name, c FROM l{i - 1} UNION ALL SELECT v, c FROM l{i - 1} JOIN both_ways ON u = name) GROUP BY name)" for i in range(1, _ROUNDS + 1))
+for _source, _sql, _tag in ((category, CATEGORY_SQL, ""), (star, STAR_SQL, "_star")):
+    _source(f"f_components{_tag}", paths.components)
+    ORACLES[f"f_components{_tag}"] = f"WITH {_sql},{VIEWS_SQL},{_LABELS}\nSELECT name, c AS component FROM l{_ROUNDS}"
+    _source(f"f_lcc_fraction{_tag}", paths.largest_fraction)
+    ORACLES[f"f_lcc_fraction{_tag}"] = f"WITH {_sql},{VIEWS_SQL},{_LABELS}\nSELECT count(*) AS num_components, round(max(n)::DOUBLE / sum(n), 6) AS largest_component_fraction FROM (SELECT count(*) AS n FROM l{_ROUNDS} GROUP BY c)"
 _REACHED = """
 reach(a, b) AS (SELECT u, v FROM both_ways UNION SELECT r.a, e.v FROM reach r JOIN both_ways e ON r.b = e.u),
 comp AS (SELECT name, least(name, coalesce(min(b), name)) AS component FROM names LEFT JOIN reach ON a = name GROUP BY name)"""
-add("f_components", lambda spark, d: paths.components(_lines(spark, d)), f"WITH RECURSIVE {_LINES},{VIEWS_SQL},{_REACHED}\nSELECT name, component FROM comp")
-add("f_lcc_fraction", lambda spark, d: paths.largest_fraction(_lines(spark, d)), f"WITH RECURSIVE {_LINES},{VIEWS_SQL},{_REACHED}\nSELECT count(*) AS num_components, round(max(n)::DOUBLE / sum(n), 6) AS largest_component_fraction FROM (SELECT count(*) AS n FROM comp GROUP BY component)")
-star("f_lcc_fraction_star", paths.largest_fraction)
 oriented("f_clustering", paths.clustering, "SELECT round(sum(2.0 * t / (d * (d - 1))) / (SELECT count(*) FROM names), 6) AS clustering_coefficient FROM (SELECT r, count(*) AS t FROM (SELECT x AS r FROM tri UNION ALL SELECT y FROM tri UNION ALL SELECT z FROM tri) GROUP BY r) JOIN rk USING (r)")
 star("f_assortativity", paths.assortativity, "SELECT round(corr(a.d, b.d), 6) AS degree_assortativity FROM both_ways JOIN deg a ON a.name = u JOIN deg b ON b.name = v")
-add("f_shortest_paths", lambda spark, d: paths.sampled_distances(_nations(spark, d), 20).drop("i"), f"""WITH RECURSIVE {_SMALL},{VIEWS_SQL},{_REACHED},
+add("f_shortest_paths", lambda spark, d: paths.sampled_distances(geography_graph(spark, d), 20).drop("i"), f"""WITH RECURSIVE {GEOGRAPHY_SQL},{VIEWS_SQL},{_REACHED},
 big AS (SELECT component FROM comp GROUP BY component ORDER BY count(*) DESC, component LIMIT 1),
 inside AS (SELECT name FROM comp JOIN big USING (component) JOIN names USING (name) WHERE NOT lit),
 a AS (SELECT name AS src, row_number() OVER (ORDER BY md5('42:src:' || name), name) AS i FROM inside),
 b AS (SELECT name AS dst, row_number() OVER (ORDER BY md5('42:dst:' || name), name) AS i FROM inside),
 pairs AS (SELECT src, dst FROM a JOIN b USING (i) WHERE i <= 20),
-walk(src, name, dist) AS (SELECT DISTINCT src, src, 0 FROM pairs UNION SELECT w.src, e.v, w.dist + 1 FROM walk w JOIN both_ways e ON w.name = e.u WHERE w.dist < 6)
+walk(src, name, dist) AS (SELECT DISTINCT src, src, 0 FROM pairs UNION SELECT w.src, e.v, w.dist + 1 FROM walk w JOIN both_ways e ON w.name = e.u WHERE w.dist < 12)
 SELECT p.src, p.dst, min(w.dist)::BIGINT AS dist FROM pairs p JOIN walk w ON w.src = p.src AND w.name = p.dst GROUP BY p.src, p.dst HAVING min(w.dist) > 0""")
 star("f_path_stats", lambda g: paths.path_stats(g, 10))
-add("f_bridges", lambda spark, d: paths.bridges(_lines(spark, d)))
+category("f_bridges", paths.bridges)
 
 from . import catalogue_synthesis  # noqa: E402, F401  registers the remaining queries

@@ -17,14 +17,16 @@ from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the folder that the session names."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        import tempfile
-
-        base = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(base or tempfile.mkdtemp(prefix="tripleloom-"))
-    return df.checkpoint(eager=True)
+    """Cut the lineage through a table in the folder that the session names.
+
+    ``checkpoint()`` would compute the rows twice, once to count and once to write;
+    a Parquet table is written in one pass and read back by column.
+    """
+    from ..plans.session import scratch
+
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def connected_components(edges: DataFrame, cut: Callable[[DataFrame], DataFrame] = checkpointed) -> DataFrame:

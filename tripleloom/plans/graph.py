@@ -72,6 +72,13 @@ class Graph:
         """``(name, d)`` in the undirected graph; vertices without edges are absent."""
         return self.both_ways.groupBy(F.col("u").alias("name")).agg(F.count(F.lit(1)).alias("d"))
 
+    @cached_property
+    def _simple(self) -> DataFrame:
+        """:attr:`undirected`, written down: both the degrees and the numbering read it."""
+        from ..operators.components import checkpointed
+
+        return checkpointed(self.undirected)
+
     @cached_property
     def ranked(self) -> DataFrame:
         """``(name, d, r)``: vertices numbered in the order of (degree, name), once for all uses.
@@ -81,7 +88,9 @@ class Graph:
         """
         from ..operators.components import checkpointed
 
-        return checkpointed(self.degrees.orderBy("d", "name").withColumn("r", F.monotonically_increasing_id()))
+        e = self._simple
+        d = e.select(F.col("u").alias("name")).union(e.select("v")).groupBy("name").agg(F.count(F.lit(1)).alias("d"))
+        return checkpointed(d.orderBy("d", "name").withColumn("r", F.monotonically_increasing_id()))
 
     @cached_property
     def oriented(self) -> DataFrame:
@@ -92,7 +101,7 @@ class Graph:
         from ..operators.components import checkpointed
 
         r = self.ranked.select("name", "r")
-        e = self.undirected.join(r.toDF("u", "ru"), "u").join(r.toDF("v", "rv"), "v")
+        e = self._simple.join(r.toDF("u", "ru"), "u").join(r.toDF("v", "rv"), "v")
         return checkpointed(e.select(F.least("ru", "rv").alias("a"), F.greatest("ru", "rv").alias("b")))
 
     @cached_property

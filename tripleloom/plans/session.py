@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -23,3 +24,29 @@ def ship(spark: SparkSession) -> None:
                     z.write(os.path.join(d, n), os.path.relpath(os.path.join(d, n), os.path.dirname(top)))
     sc.addPyFile(at)
     sc._tripleloom_package = True
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder; a temporary folder is made only where the session names none (tests)."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        base = f"file://{tempfile.mkdtemp(prefix='tripleloom-')}"
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = f"{base}/tripleloom-tables/{uuid.uuid4().hex}"
+    sc = spark.sparkContext
+    if not hasattr(sc, "_tripleloom_tables"):
+        sc._tripleloom_tables = []
+    sc._tripleloom_tables.append(path)
+    return path
+
+
+def clean(spark: SparkSession) -> int:
+    """Delete the intermediate tables of this session; nothing made from them can be read afterwards."""
+    paths = getattr(spark.sparkContext, "_tripleloom_tables", [])
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for p in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(p)
+        path.getFileSystem(conf).delete(path, True)
+    n = len(paths)
+    paths.clear()
+    return n

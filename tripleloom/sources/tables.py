@@ -14,9 +14,10 @@ def _name(kind: str, key: str) -> F.Column:
     return F.concat(F.lit(f"{kind}/"), F.col(key).cast("string"))
 
 
-def _edge(df: DataFrame, s: F.Column, p: F.Column | str, o: F.Column, literal: bool = False, distinct: bool = False) -> DataFrame:
-    x = df.select(s.alias("s"), (F.lit(p) if isinstance(p, str) else p).alias("p"), o.alias("o"), F.lit(literal).alias("o_is_literal"))
-    return x.distinct() if distinct else x
+def _edge(df: DataFrame, s: F.Column, p: F.Column | str, o: F.Column, literal: bool = False, distinct: tuple[str, ...] = ()) -> DataFrame:
+    """Edges of a table; ``distinct`` names the columns that make an edge, so that keys are made distinct and not names."""
+    df = df.select(*distinct).distinct() if distinct else df
+    return df.select(s.alias("s"), (F.lit(p) if isinstance(p, str) else p).alias("p"), o.alias("o"), F.lit(literal).alias("o_is_literal"))
 
 
 def star_graph(spark: SparkSession, sf_dir: str) -> Graph:
@@ -31,9 +32,9 @@ def star_graph(spark: SparkSession, sf_dir: str) -> Graph:
         _edge(customer, _name("customer", "c_custkey"), "inNation", _name("nation", "c_nationkey")),
         _edge(supplier, _name("supplier", "s_suppkey"), "inNation", _name("nation", "s_nationkey")),
         _edge(orders, _name("order", "o_orderkey"), "placedBy", _name("customer", "o_custkey")),
-        _edge(line, _name("order", "l_orderkey"), "hasPart", _name("part", "l_partkey"), distinct=True),
-        _edge(line, _name("order", "l_orderkey"), "suppliedBy", _name("supplier", "l_suppkey"), distinct=True),
-        _edge(line, _name("supplier", "l_suppkey"), "supplies", _name("part", "l_partkey"), distinct=True),
+        _edge(line, _name("order", "l_orderkey"), "hasPart", _name("part", "l_partkey"), distinct=("l_orderkey", "l_partkey")),
+        _edge(line, _name("order", "l_orderkey"), "suppliedBy", _name("supplier", "l_suppkey"), distinct=("l_orderkey", "l_suppkey")),
+        _edge(line, _name("supplier", "l_suppkey"), "supplies", _name("part", "l_partkey"), distinct=("l_suppkey", "l_partkey")),
         _edge(pair, _name("nation", "n_nationkey"), "peerOf", _name("nation", "m")),
         _edge(customer, _name("customer", "c_custkey"), "segment", F.col("c_mktsegment"), literal=True),
         _edge(orders, _name("order", "o_orderkey"), "priority", F.col("o_orderpriority"), literal=True),
@@ -47,16 +48,33 @@ def category_graph(spark: SparkSession, sf_dir: str) -> Graph:
     """Predicates made from categories: 31 relations and many characteristic sets."""
     t = lambda n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
     line, orders, events, customer = map(t, ("lineitem", "orders", "events", "customer"))
+    events = events.select("user_id", "event_type", F.to_date("ts").alias("day"))
+    # each table's edges have predicates of their own, so only repeats within a table have to go
     made = [
-        _edge(line, _name("order", "l_orderkey"), F.concat(F.lit("hasPart_"), "l_returnflag", "l_linestatus"), _name("part", "l_partkey")),
+        _edge(line, _name("order", "l_orderkey"), F.concat(F.lit("hasPart_"), "l_returnflag", "l_linestatus"), _name("part", "l_partkey"), distinct=("l_orderkey", "l_partkey", "l_returnflag", "l_linestatus")),
         _edge(orders, _name("order", "o_orderkey"), F.concat(F.lit("placedBy_"), F.substring("o_orderpriority", 1, 1), "o_orderstatus"), _name("customer", "o_custkey")),
-        _edge(events, _name("user", "user_id"), F.concat(F.lit("did_"), "event_type"), F.concat(F.lit("day/"), F.date_format("ts", "yyyy-MM-dd"))),
+        _edge(events, _name("user", "user_id"), F.concat(F.lit("did_"), "event_type"), F.concat(F.lit("day/"), F.date_format("day", "yyyy-MM-dd")), distinct=("user_id", "event_type", "day")),
         _edge(customer, _name("customer", "c_custkey"), F.concat(F.lit("inNation_"), "c_mktsegment"), _name("nation", "c_nationkey")),
     ]
-    return Graph(reduce(DataFrame.union, made).distinct(), distinct=True)
+    return Graph(reduce(DataFrame.union, made), distinct=True)
+
+
+def geography_graph(spark: SparkSession, sf_dir: str) -> Graph:
+    """Nations and regions: a small graph whose degrees stay below the guard of exact enumeration."""
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    pair = nation.select("n_nationkey", "n_regionkey").join(nation.select(F.col("n_nationkey").alias("m"), "n_regionkey"), "n_regionkey").filter("n_nationkey < m and (n_nationkey + m) % 3 <> 0")
+    initial = F.concat(F.lit("letter/"), F.substring("n_name", 1, 1))
+    made = [_edge(nation, _name("nation", "n_nationkey"), "inRegion", _name("region", "n_regionkey")), _edge(pair, _name("nation", "n_nationkey"), "near", _name("nation", "m")), _edge(nation, _name("nation", "n_nationkey"), "initial", initial)]
+    return Graph(reduce(DataFrame.union, made), distinct=True)
 
 
 _T = RDF_TYPE
+GEOGRAPHY_SQL = """
+edges AS (
+  SELECT 'nation/' || n_nationkey AS s, 'inRegion' AS p, 'region/' || n_regionkey AS o, FALSE AS lit FROM nation
+  UNION ALL SELECT 'nation/' || a.n_nationkey, 'near', 'nation/' || b.n_nationkey, FALSE FROM nation a JOIN nation b
+            ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey AND (a.n_nationkey + b.n_nationkey) % 3 <> 0
+  UNION ALL SELECT 'nation/' || n_nationkey, 'initial', 'letter/' || substr(n_name, 1, 1), FALSE FROM nation)"""
 STAR_SQL = f"""
 edges AS (
   SELECT 'nation/' || n_nationkey AS s, 'inRegion' AS p, 'region/' || n_regionkey AS o, FALSE AS lit FROM nation
