@@ -18,4 +18,3 @@ def spark():
     yield s
 
 
-SMALL = "/root/testdata/sf0.001"

@@ -5,7 +5,7 @@ import os
 
 import duckdb
 import pytest
-from conftest import SMALL
+from graphs import SMALL
 from tripleloom import catalogue
 
 

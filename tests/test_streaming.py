@@ -1,4 +1,4 @@
-from conftest import SMALL
+from graphs import SMALL
 from pyspark.sql import functions as F
 from tripleloom.streaming import counts
 
