@@ -92,3 +92,38 @@ def test_annealing_lowers_the_loss_and_keeps_degrees():
     for end in (0, 2):
         assert sorted((e[end], e[1]) for e in kept) == sorted((e[end], e[1]) for e in edges)
     assert rewire.anneal(edges, target, 400, seed=1)[0] == kept
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_incremental_cycles_clustering_and_mixing(seed):
+    import random
+
+    import numpy as np
+
+    rng, now = random.Random(seed), set(random_edges(10, 0.35, seed))
+    state = rewire.State(iter(sorted(now)), rewire.MORE)
+
+    def truth():
+        near = adjacency(now)
+        local = [2 * sum(b in near[a] for a in near[v] for b in near[v] if a < b) / (len(near[v]) * (len(near[v]) - 1)) if len(near[v]) > 1 else 0.0 for v in near]
+        return kinds(now, 5).get("2,2,2,2,2", 0), kinds(now, 6).get("2,2,2,2,2,2", 0), sum(local) / len(state.near)
+
+    for _ in range(20):
+        got = state.counts
+        assert (got["five_cycle_count"], got["six_cycle_count"], got["clustering_coefficient"]) == pytest.approx(truth())
+        # a swap keeps every vertex's ends
+        (a, b), (c, d) = rng.sample(sorted(now), 2)
+        new = [tuple(sorted(x)) for x in ((a, d), (c, b))]
+        if a == d or c == b or set(new) & now or new[0] == new[1]:
+            continue
+        for e in ((a, b), (c, d)):
+            state.remove(*e)
+            now.discard(e)
+        for e in new:
+            state.add(*e)
+            now.add(e)
+        deg = {v: len(w) for v, w in adjacency(now).items()}
+        x = [deg[u] for e in now for u in e]
+        y = [deg[u] for e in now for u in e[::-1]]
+        if np.std(x) > 0:
+            assert state.counts["degree_assortativity"] == pytest.approx(np.corrcoef(x, y)[0, 1])

@@ -18,19 +18,101 @@ from pyspark.sql import functions as F
 from ..plans.graph import RDF_TYPE, Graph
 
 TERMS = ("triangle_count", "four_cycle_count", "diamond_count", "k4_count", "tailed_triangle_count")
+CYCLES = {"five_cycle_count": 5, "six_cycle_count": 6}
+#: Terms that are kept up to date only when a target asks for them.
+MORE = (*CYCLES, "clustering_coefficient", "degree_assortativity")
 
 
 class State:
     """An undirected simple graph under edge changes, with its triangles, 4-motifs and degree products."""
 
-    def __init__(self, pairs: Iterator[tuple]):
+    def __init__(self, pairs: Iterator[tuple], more: tuple[str, ...] = (), guard: int = 50):
         self.near: dict = {}
         self.many: dict = {}
-        self.counts = dict.fromkeys(TERMS, 0)
+        self.counts: dict[str, float] = dict.fromkeys((*TERMS, *more), 0)
+        self.cycles = [(t, CYCLES[t]) for t in more if t in CYCLES]
+        self.local = "clustering_coefficient" in more
+        self.mixing = "degree_assortativity" in more
+        self.guard, self.corners, self.share = guard, {}, 0.0
+        pairs = list(pairs)
+        # ends counted with repeats; a swap changes no vertex's number of ends
+        self.ends: dict = {}
         self.products = 0
+        for u, v in pairs:
+            for x in (u, v):
+                self.ends[x] = self.ends.get(x, 0) + 1
+        m = sum(self.ends.values()) or 1
+        mean = sum(d * d for d in self.ends.values()) / m
+        self.moments = m, mean, sum(d**3 for d in self.ends.values()) / m - mean * mean
         for u, v in pairs:
             self.add(u, v)
 
+    def _paths(self, u, v, length: int, allowed=None) -> Iterator[tuple]:
+        """Interiors of the chordless paths from u to v with this number of inner vertices (u-v itself not looked at)."""
+        near = self.near
+
+        def grow(path: tuple, banned: set):
+            last = path[-1] if path else u
+            if len(path) == length:
+                if v in near[last]:
+                    yield path
+                return
+            for w in near[last] - banned:
+                if w == v or (len(path) + 1 < length and v in near[w]):
+                    continue
+                # w may touch only the vertex before it
+                yield from grow((*path, w), banned | near[last] | {w})
+
+        yield from grow((), {u, v})
+
+    def _rings(self, u, v, k: int) -> int:
+        """What the edge u-v (absent now) would add to the induced k-cycles: those through it, less those it cuts.
+
+        Vertices beyond the degree guard stop the search, and the change counts as none.
+        """
+        if any(len(self.near[x]) > self.guard for x in (u, v)):
+            return 0
+        made = sum(1 for _ in self._paths(u, v, k - 2))
+        cut = 0
+        for i in range(1, (k - 2) // 2 + 1):
+            short, long_ = list(self._paths(u, v, i)), list(self._paths(u, v, k - 2 - i))
+            for a, p in enumerate(short):
+                for b, q in enumerate(long_):
+                    if i == k - 2 - i and b <= a:
+                        continue
+                    if not set(p) & set(q) and not any(self.near[x] & set(q) for x in p):
+                        cut += 1
+        return made - cut
+
+    def _corner(self, x, by: int, d_before: int, d_after: int) -> None:
+        """Triangles at a vertex change, and with its degree its share of closed pairs."""
+        value = lambda t, d: 2 * t / (d * (d - 1)) if d > 1 else 0.0
+        t = self.corners.get(x, 0)
+        self.share += value(t + by, d_after) - value(t, d_before)
+        self.corners[x] = t + by
+
+    def _other(self, u, v, sign: int) -> None:
+        """Update the terms of :data:`MORE` for an edge that is absent now and comes (1) or has gone (-1)."""
+        for t, k in self.cycles:
+            self.counts[t] += sign * self._rings(u, v, k)
+        if self.local:
+            common = self.near[u] & self.near[v]
+            for x in (u, v):
+                d = len(self.near[x])
+                self._corner(x, sign * len(common), d if sign > 0 else d + 1, d + 1 if sign > 0 else d)
+            for x in common:
+                d = len(self.near[x])
+                self._corner(x, sign, d, d)
+            self.counts["clustering_coefficient"] = self.share / max(1, len(self.near))
+
+    def _mix(self, u, v, sign: int) -> None:
+        """Correlation of the numbers of ends at both sides of the edges, from the sum of their products."""
+        if not self.mixing:
+            return
+        self.products += sign * self.ends[u] * self.ends[v]
+        m, mean, var = self.moments
+        self.counts["degree_assortativity"] = (2 * self.products / m - mean * mean) / var if var > 0 else 0.0
+
     def _around(self, u, v) -> tuple[int, int, int, int, int]:
         """Induced subgraphs of three and four vertices that hold the edge u-v: triangles, 4-cycles, diamonds, K4, tailed triangles."""
         near = self.near
@@ -84,17 +166,20 @@ class State:
 
     def add(self, u, v) -> None:
         key = (u, v) if u < v else (v, u)
+        self._mix(u, v, 1)
         if u == v:
             return
         self.many[key] = self.many.get(key, 0) + 1
         if self.many[key] == 1:
             for t, x in zip(TERMS, self.change(u, v), strict=True):
                 self.counts[t] += x
+            self._other(u, v, 1)
             self.near[u].add(v)
             self.near[v].add(u)
 
     def remove(self, u, v) -> None:
         key = (u, v) if u < v else (v, u)
+        self._mix(u, v, -1)
         if u == v:
             return
         self.many[key] -= 1
@@ -104,11 +189,12 @@ class State:
             self.near[v].discard(u)
             for t, x in zip(TERMS, self.change(u, v), strict=True):
                 self.counts[t] -= x
+            self._other(u, v, -1)
 
 
 def loss(counts: dict, target: dict, adaptive: bool = True, scale: float = 50.0) -> float:
     """Sum of relative errors, each weighted by itself if adaptive, so that what is far off is pushed hardest."""
-    e = [abs(counts[t] - target[t]) / max(1.0, abs(target[t])) for t in target]
+    e = [abs(counts[t] - target[t]) / max(1e-9 if t in MORE[2:] else 1.0, abs(target[t])) for t in target]
     return sum(scale * x * x for x in e) if adaptive else sum(e)
 
 
@@ -120,13 +206,13 @@ def anneal(edges: list[tuple], target: dict[str, float], budget: int, temperatur
     """
     rng = random.Random(seed)
     edges = list(edges)
-    state, have = State((s, o) for s, _, o in edges), set(edges)
+    goal = {t: float(target[t]) for t in (*TERMS, *MORE) if t in target and not math.isnan(target[t]) and (t not in MORE or target[t])}
+    state, have = State(((s, o) for s, _, o in edges), tuple(t for t in MORE if t in goal)), set(edges)
     by: dict = {}
     place: dict = {}
     for k, (s, p, _) in enumerate(edges):
         by.setdefault(p, []).append(k)
         place.setdefault((s, p), []).append(k)
-    goal = {t: float(target[t]) for t in TERMS if t in target and not math.isnan(target[t])}
     now = loss(state.counts, goal)
     best, kept, log = now, list(edges), []
     for step in range(budget if len(edges) > 1 and goal else 0):
@@ -180,13 +266,13 @@ def refine(g: Graph, target: dict[str, float], budget: int = 5000, chains: int =
         raise ValueError(f"{n} content edges are more than a chain holds ({max_edges})")
     fixed = g.edges.join(content, ["s", "p", "o"], "left_anti")
     copies = content.withColumn("chain", F.explode(F.array(*map(F.lit, range(chains)))))
-    goal = {t: v for t, v in target.items() if t in TERMS}
+    goal = {t: v for t, v in target.items() if t in (*TERMS, *MORE) and not math.isnan(v) and (t not in MORE or v)}
 
     def run(key, pdf):
         import pandas as pd
 
         kept, _ = anneal(sorted(zip(pdf.s, pdf.p, pdf.o, strict=True)), goal, budget, temperature, cooling, seed + int(key[0]))
-        e = loss(State((s, o) for s, _, o in kept).counts, {t: v for t, v in goal.items() if not math.isnan(v)})
+        e = loss(State(((s, o) for s, _, o in kept), tuple(t for t in MORE if t in goal)).counts, goal)
         return pd.DataFrame({"chain": int(key[0]), "loss": e, "s": [x[0] for x in kept], "p": [x[1] for x in kept], "o": [x[2] for x in kept]})
 
     from ..operators.components import checkpointed

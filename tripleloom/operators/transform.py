@@ -167,3 +167,13 @@ def uniform_range(corpus: DataFrame, copies: int = 1, seed: int = 0, widen: floa
     v = F.when(F.col("integer"), F.bround(v, 0)).otherwise(v)
     v = F.when(F.col("feature") == "num_classes", F.lit(0.0)).when(F.col("feature").isin(*features.TYPE_PARAMETERS), F.lit(None)).when(F.col("n") >= support, v)
     return x.select("copy", "feature", v.alias("value"))
+
+
+def identity(table: DataFrame, specs: dict[str, Spec] | None = None, copies: int = 1, seed: int = 0) -> DataFrame:
+    """The table as it is, in the shape of :func:`perturb`."""
+    x = table.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    return x.select("graph", "copy", "feature", "value", F.col("value").alias("raw"), F.lit(False).alias("clamped"), F.lit(False).alias("moved"))
+
+
+#: Transforms by name: functions of (table, specs, copies, seed).  Own ones may be added.
+TRANSFORMS = {"identity": identity, "joint": perturb, "ofat": lambda table, specs, copies=1, seed=0: perturb_levels(table, specs)}
