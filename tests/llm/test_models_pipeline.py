@@ -113,6 +113,12 @@ def test_mixing_meets_its_targets(spark):
     assert np.mean(right) > 0.8
 
 
+def test_snapped_rates(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    x = mixing.mix(docs.select("doc_id", "text"), labels, keep=["doc_id"], snap=0.1).collect()
+    assert all(r._copies == round(r._rate) for r in x if abs(r._rate - round(r._rate)) <= 0.1) and all(abs(r._copies - r._rate) < 1 for r in x)
+
+
 def test_rates_project_onto_nonnegative_numbers(spark):
     rows = [(100, [1.0, 0.0]), (100, [0.0, 1.0]), (50, [0.5, 0.5])]
     soft = spark.createDataFrame(rows, "_n long, _p array<double>")

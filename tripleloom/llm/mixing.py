@@ -163,12 +163,14 @@ def fit_rates(soft: DataFrame, targets: dict[str, float], budget: float | None =
     return _rate(done), dict(zip(names, goal, strict=True)), history
 
 
-def mix(docs: DataFrame, labels: DataFrame, *, targets: dict[str, float] | None = None, budget: float | None = None, steps: int = STEPS, seed: int = 0, keep: list[str] | None = None) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, *, targets: dict[str, float] | None = None, budget: float | None = None, steps: int = STEPS, seed: int = 0, keep: list[str] | None = None, snap: float = 0.0) -> DataFrame:
     """The rows with all columns (or those of ``keep``) and ``_n``, ``_p``, ``_rate`` and ``_copies`` (input columns of these names go).
 
     ``_rate`` is how often the row is to be used; ``_copies`` is the rate rounded
-    up or down by the hash of its id, so that its expectation is the rate.  Null
-    and empty texts have no tokens, the prior as posterior, and the rate that goes
+    up or down by the hash of its id, so that its expectation is the rate.  Rates
+    within ``snap`` of a whole number are rounded to it instead, so that documents
+    that are to be used once are not lost or doubled by chance; domain totals
+    then differ from the targets by that share at most.  Null and empty texts have no tokens, the prior as posterior, and the rate that goes
     with it.  Rows with equal ids are rounded alike; a null id has a hash too.
     Without labels all documents have one and the same posterior and the rate 1
     can only be scaled.  An empty table gives an empty table.
@@ -180,7 +182,10 @@ def mix(docs: DataFrame, labels: DataFrame, *, targets: dict[str, float] | None
     soft, _ = shared.write(soft, "mix-posteriors")  # every step of the fit reads two narrow columns of it
     rate, _, _ = fit_rates(soft, targets, budget, steps)
     u = (F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    return soft.withColumn("_rate", F.round(rate, 9)).withColumn("_copies", (F.floor("_rate") + F.when(u < F.col("_rate") - F.floor("_rate"), 1).otherwise(0)).cast("long"))
+    whole, near = F.floor("_rate"), F.round("_rate")
+    drawn = whole + F.when(u < F.col("_rate") - whole, 1).otherwise(0)
+    copies = F.when(F.abs(F.col("_rate") - near) <= snap, near).otherwise(drawn) if snap else drawn
+    return soft.withColumn("_rate", F.round(rate, 9)).withColumn("_copies", copies.cast("long"))
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
