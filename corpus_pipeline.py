@@ -50,9 +50,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are used as often as their rates say: not at all, once, or more often.
 
-    Rates within a tenth of 1 mean once, so clean documents are neither lost nor doubled by a draw.
+    The budget is the one that uses clean documents once; scarcer domains are
+    repeated or left short.  Rates within a tenth of a whole number from 1 on mean
+    that number, so clean documents are neither lost nor doubled by a draw.
     """
-    x = mixing.mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), snap=0.1)
+    x = mixing.mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), snap=0.1, whole="clean")
     once = x.filter("_copies > 0")
     return once.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
 

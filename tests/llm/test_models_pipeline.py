@@ -119,6 +119,29 @@ def test_snapped_rates(spark):
     assert all(r._copies == round(r._rate) for r in x if abs(r._rate - round(r._rate)) <= 0.1) and all(abs(r._copies - r._rate) < 1 for r in x)
 
 
+@pytest.mark.parametrize("sizes", [(3796, 200, 4), (1800, 1050, 150)])
+def test_pipeline_mixture_of_scarce_and_of_plentiful_domains(spark, tmp_path, sizes):
+    rng, names = np.random.default_rng(3), list(mixing.TARGETS)
+    kind = rng.permutation(np.repeat(names, sizes))
+    text = lambda d: " ".join(f"{d}{chr(97 + a)}" if a < 20 else f"w{a}" for a in rng.integers(0, 40, 40))
+    docs = spark.createDataFrame([(i, text(d)) for i, d in enumerate(kind)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(d != "junk"), int(d == "toxic")) for i, d in enumerate(kind)], "doc_id long, quality int, toxic int")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    ids = [r.doc_id for r in corpus_pipeline.mixture(spark, docs, str(tmp_path)).select("doc_id").collect()]
+    copies = dict(zip(*np.unique(ids, return_counts=True), strict=True))
+    assert all(copies.get(i) == 1 for i, d in enumerate(kind) if d == "clean")
+    used = [sum(copies.get(i, 0) for i, k in enumerate(kind) if k == d) for d in names]
+    for n, d in zip(used, names, strict=True):  # the rest is the draw
+        want = mixing.TARGETS[d] * sizes[0] / mixing.TARGETS["clean"]
+        assert n == pytest.approx(want, abs=3.5 * want**0.5), d
+
+
+def test_mixture_without_what_tells_domains_apart_uses_all(spark):
+    docs = spark.createDataFrame([(i, "a b c") for i in range(50)], "doc_id long, text string")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert {r._copies for r in mixing.mix(docs, labels, whole="clean", snap=0.1).collect()} == {1}
+
+
 def test_rates_project_onto_nonnegative_numbers(spark):
     rows = [(100, [1.0, 0.0]), (100, [0.0, 1.0]), (50, [0.5, 0.5])]
     soft = spark.createDataFrame(rows, "_n long, _p array<double>")

@@ -25,6 +25,8 @@ from . import shared
 #: Share of the tokens that each domain is to have.
 TARGETS = {"clean": 0.94, "junk": 0.05, "toxic": 0.01}
 WORD_BUCKETS, END_BUCKETS, Z, STEPS, CLOSE = 1 << 15, 1 << 11, 4.0, 12, 1e-6
+#: With a domain to be used whole: bound on a scarce domain's repeats, if its documents hold this share of its tokens as their own.
+REPEATS, OWN = 16, 0.5
 _SPLIT = r"[\x20\x09-\x0D]+"
 
 
@@ -76,11 +78,13 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domains: list[str]) -> tu
     base, n0 = counts[domains[0]], n_docs.get(domains[0], 0)
     for d in domains[1:]:
         own, n1 = counts[d], n_docs.get(d, 0)
-        start, out = log((n1 + 1) / (n0 + 1)), []
+        # a domain that no label states has no posterior
+        start, out = log((n1 + 1) / (n0 + 1)) + 1000.0 * ((n0 == 0) - (n1 == 0)), []
         for a, b in zip(own, base, strict=True):
             p, q = (a + 0.5) / (n1 + 1), (b + 0.5) / (n0 + 1)
-            both = (a + b + 1) / (n0 + n1 + 2)
-            z = (p - q) / sqrt(both * (1 - both) * (1 / (n0 + 1) + 1 / (n1 + 1)))
+            # from the counts as they are: smoothed ones tell a scarce domain apart by buckets that nobody has
+            both = (a + b) / max(n0 + n1, 1)
+            z = (a / n1 - b / n0) / sqrt(both * (1 - both) * (1 / n0 + 1 / n1)) if n0 and n1 and 0 < both < 1 else 0.0
             if abs(z) > Z:
                 start += log((1 - p) / (1 - q))  # as if absent; presence takes this back
                 out.append(log(p / q) - log((1 - p) / (1 - q)))
@@ -133,11 +137,13 @@ def _rate(steps: list[list[float]]) -> F.Column:
     return r
 
 
-def fit_rates(soft: DataFrame, targets: dict[str, float], budget: float | None = None, steps: int = STEPS) -> tuple[F.Column, dict[str, float], list[dict[str, float]]]:
+def fit_rates(soft: DataFrame, targets: dict[str, float], budget: float | None = None, steps: int = STEPS, whole: str | None = None) -> tuple[F.Column, dict[str, float], list[dict[str, float]]]:
     """The rate as an expression over ``_p``; the target tokens; the expected tokens after each step.
 
     Without a budget the total is the largest for which no domain would have to be
-    repeated as a whole.
+    repeated as a whole; with ``whole`` it is the one for which that domain is used
+    once.  Scarcer domains then are repeated up to ``REPEATS`` times; those that no
+    document mostly belongs to, and what is missing beyond that, are left short.
     """
     k, names = len(targets), list(targets)
     p = [F.element_at("_p", i + 1) for i in range(k)]
@@ -152,8 +158,15 @@ def fit_rates(soft: DataFrame, targets: dict[str, float], budget: float | None =
         row = soft.agg(*sums, *gram).first()
         now = [row[f"t{i}"] or 0.0 for i in range(k)]
         if not goal:
+            once = names.index(whole) if whole in names else -1
+            held = [row[f"m{i}_{i}"] or 0.0 for i in range(k)]
+            most = [a * (REPEATS if m >= OWN * a else 1) for a, m in zip(now, held, strict=True)]
+            if budget is None and once >= 0 and share[once] and now[once] > 0:
+                budget = now[once] / share[once]
             total = budget if budget is not None else min((now[i] / share[i] for i in range(k) if share[i] and now[i] > 0), default=0.0)
             goal = [s * total for s in share]
+            if once >= 0:
+                goal = list(map(min, goal, most))
         history.append(dict(zip(names, now, strict=True)))
         miss = [a - b for a, b in zip(now, goal, strict=True)]
         if max(map(abs, miss)) <= CLOSE * max(sum(goal), 1.0) or len(done) == steps:
@@ -163,14 +176,16 @@ def fit_rates(soft: DataFrame, targets: dict[str, float], budget: float | None =
     return _rate(done), dict(zip(names, goal, strict=True)), history
 
 
-def mix(docs: DataFrame, labels: DataFrame, *, targets: dict[str, float] | None = None, budget: float | None = None, steps: int = STEPS, seed: int = 0, keep: list[str] | None = None, snap: float = 0.0) -> DataFrame:
+def mix(docs: DataFrame, labels: DataFrame, *, targets: dict[str, float] | None = None, budget: float | None = None, steps: int = STEPS, seed: int = 0, keep: list[str] | None = None, snap: float = 0.0, whole: str | None = None) -> DataFrame:
     """The rows with all columns (or those of ``keep``) and ``_n``, ``_p``, ``_rate`` and ``_copies`` (input columns of these names go).
 
     ``_rate`` is how often the row is to be used; ``_copies`` is the rate rounded
     up or down by the hash of its id, so that its expectation is the rate.  Rates
     within ``snap`` of a whole number are rounded to it instead, so that documents
     that are to be used once are not lost or doubled by chance; domain totals
-    then differ from the targets by that share at most.  Null and empty texts have no tokens, the prior as posterior, and the rate that goes
+    then differ from the targets by that share at most.  ``whole`` names a domain
+    to be used once (see :func:`fit_rates`); rates near 0 then are drawn all the same,
+    and where no word tells the domains apart all rates are 1.  Null and empty texts have no tokens, the prior as posterior, and the rate that goes
     with it.  Rows with equal ids are rounded alike; a null id has a hash too.
     Without labels all documents have one and the same posterior and the rate 1
     can only be scaled.  An empty table gives an empty table.
@@ -180,11 +195,14 @@ def mix(docs: DataFrame, labels: DataFrame, *, targets: dict[str, float] | None
     prior, weights = fit_classifier(docs, labels, list(targets))
     soft = posteriors(docs, prior, weights, list(targets)).select(*(docs.columns if keep is None else keep), "_n", "_p")
     soft, _ = shared.write(soft, "mix-posteriors")  # every step of the fit reads two narrow columns of it
-    rate, _, _ = fit_rates(soft, targets, budget, steps)
+    if whole is not None and not any(map(any, weights)):
+        rate = F.lit(1.0)
+    else:
+        rate, _, _ = fit_rates(soft, targets, budget, steps, whole)
     u = (F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     whole, near = F.floor("_rate"), F.round("_rate")
     drawn = whole + F.when(u < F.col("_rate") - whole, 1).otherwise(0)
-    copies = F.when(F.abs(F.col("_rate") - near) <= snap, near).otherwise(drawn) if snap else drawn
+    copies = F.when((near >= (0 if whole is None else 1)) & (F.abs(F.col("_rate") - near) <= snap), near).otherwise(drawn) if snap else drawn
     return soft.withColumn("_rate", F.round(rate, 9)).withColumn("_copies", copies.cast("long"))
 
 
