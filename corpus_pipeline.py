@@ -22,13 +22,14 @@ def _recount(docs: DataFrame) -> DataFrame:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts that are null, have no letter, or are in no language that the network knows go.
 
-    Where no row states a language there is no network, and only the first two go.
+    A language is known by its pairs of bytes; the bound lies below its held-out
+    texts, or all languages' where it has fewer than 20; with too few of these, or
+    to learn from, it rejects nothing.  Where no row states a language there is no network, and only the first two go.
     """
     net = langid.fit(docs)
-    x = langid.identify(docs, net)
     if net is None:
         return docs.filter(F.col("text").rlike(r"\p{L}"))
-    return x.filter((F.col("_lang") != langid.UNKNOWN) & (F.col("_score") >= langid.REJECT)).select(*docs.columns)
+    return langid.identify(docs, net, known=langid.fit_known(docs)).filter(F.col("_lang") != langid.UNKNOWN).select(*docs.columns)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

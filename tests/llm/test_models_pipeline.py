@@ -55,6 +55,22 @@ def test_language_of_odd_tables(spark, odd, none):
     assert {r._lang for r in langid.identify(odd, None).collect()} == {"und"}
 
 
+def test_pipeline_rejects_texts_in_no_known_language(spark):
+    docs = spark.read.parquet(f"{BIG}/documents.parquet")
+    rng = np.random.default_rng(6)
+    letters = lambda n: "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n))
+    bad = [
+        "Быстрая коричневая лиса перепрыгивает через ленивую собаку", "Η γρήγορη καφέ αλεπού πηδάει πάνω από τον τεμπέλη σκύλο", "敏捷的棕色狐狸跳过了懒狗然后离开了森林回家去",
+        "الثعلب البني السريع يقفز فوق الكلب الكسول", "Szybki brązowy lis przeskakuje nad leniwym psem i potem wraca do domu", letters(90), " ".join(letters(6) for _ in range(200)),
+    ]
+    more = spark.createDataFrame([(10**9 + i, t) for i, t in enumerate(bad)], "doc_id long, text string")
+    x = docs.unionByName(more, allowMissingColumns=True)
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, x, BIG).select("doc_id").collect()}
+    assert not [bad[i - 10**9] for i in kept if i >= 10**9]
+    good = {r.doc_id for r in docs.filter(F.col("text").rlike(r"\p{L}")).select("doc_id").collect()}
+    assert len(good - kept) <= 0.002 * len(good)
+
+
 def brute_ratios(rows, good, buckets=resampling.BUCKETS):
     raw, tgt = np.zeros(buckets), np.zeros(buckets)
     for d, t in rows:

@@ -22,8 +22,8 @@ from . import shared
 UNKNOWN = "und"
 #: Width of each direction; bytes of a segment; bound on the training sample per language; training steps.
 WIDTH, SEGMENT, SAMPLE, STEPS = 12, 128, 600, 400
-#: In the pipeline, texts below this mean probability are rejected.
-REJECT = 0.3
+#: In the pipeline: share of the held-out texts of a language below the bound but for the slack in log-probability; the fewest to go by; characters of a text that are learnt from.
+REJECT, SLACK, FEWEST, LEARNT = 0.001, 1.0, 20, 2048
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -203,16 +203,84 @@ def fit(docs: DataFrame, *, sample: int = SAMPLE, steps: int = STEPS, width: int
     return net
 
 
+class Known:
+    """How usual a text's pairs of bytes are in each language, and from where on it is none of the language's.
+
+    The network only shares a text out among its languages; this says whether the
+    text is in the chosen one at all.  ``cut`` has the lowest mean log-probability
+    for each language and each power of two of bytes.
+    """
+
+    def __init__(self, texts: dict[str, list[str]], held: dict[str, list[str]]):
+        self.table, self.cut = {}, {}
+        for lang, some in texts.items():
+            n = np.zeros(1 << 16)
+            for t in some:
+                n += np.bincount(self.pairs(t), minlength=1 << 16)
+            n = n.reshape(256, 256)
+            first = (n.sum(0) + 0.01) / (n.sum() + 2.56)
+            self.table[lang] = np.log((n + 2 * first) / (n.sum(1, keepdims=True) + 2)).astype(np.float32).ravel()
+        pool = [(lang, t) for lang, some in held.items() if lang in self.table for t in some]
+        for lang, some in texts.items():
+            own = [(lang, t) for t in held.get(lang, [])]
+            if len(own) >= FEWEST:
+                self.cut[lang] = self._cuts(own)
+            elif len(pool) >= FEWEST and len(some) >= FEWEST:  # too few of its own: those of all languages, each in its own
+                self.cut[lang] = self._cuts(pool)
+
+    @staticmethod
+    def pairs(text: str) -> np.ndarray:
+        x = np.frombuffer(text.lower().encode(), np.uint8).astype(np.int32)
+        return x[:-1] * 256 + x[1:]
+
+    def _cuts(self, texts: list[tuple[str, str]]) -> list[float]:
+        """Lowest means by power of two, from beginnings of that many pairs; few long texts go by the shorter ones."""
+        at: list[list[float]] = []
+        for lang, t in texts:
+            x = np.cumsum(self.table[lang][self.pairs(t)], dtype=np.float64)
+            for i in range(len(x).bit_length()):
+                if i == len(at):
+                    at.append([])
+                at[i].append(x[(1 << i) - 1] / (1 << i))
+        out: list[float] = []
+        for means in at:
+            out.append(float(np.quantile(means, REJECT)) - SLACK if len(means) >= FEWEST else out[-1] if out else -np.inf)
+        return out
+
+    def has(self, text: str, lang: str) -> bool:
+        cut, x = self.cut.get(lang), self.pairs(text)
+        if not cut or not len(x):
+            return True
+        return float(self.table[lang][x].mean()) >= cut[min(len(x).bit_length(), len(cut)) - 1]
+
+
+def fit_known(docs: DataFrame, *, sample: int = SAMPLE, seed: int = 0) -> Known:
+    """From about ``sample`` texts per language to learn from and as many held-out ones, at most twice as many, drawn by hash over all rows."""
+    x = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), held_out().alias("held")).filter(F.col("lang").isNotNull())
+    counts = {(r.lang, r.held): r.n for r in x.groupBy("lang", "held").agg(F.count(F.lit(1)).alias("n")).collect()}
+    share = F.lit(0.0)
+    for (lang, held), n in counts.items():
+        share = F.when((F.col("lang") == lang) & (F.col("held") == held), F.lit(min(1.0, sample / n))).otherwise(share)
+    draw = F.pmod(F.xxhash64(F.lit(seed + 2), "doc_id", F.length("text")), F.lit(1 << 20)) / float(1 << 20)
+    drawn = x.filter((draw < share) & F.col("text").rlike(r"\p{L}")).select("lang", "held", F.substring("text", 1, LEARNT).alias("t"))
+    by: dict[bool, dict[str, list[str]]] = {False: {}, True: {}}
+    for r in drawn.limit(2 * sample * max(1, len(counts))).collect():
+        by[r.held].setdefault(r.lang, []).append(r.t)
+    return Known(by[False], by[True])
+
+
 _SCHEMA = pa.schema([("lang_pred", pa.string()), ("score", pa.float64())])
 
 
-def _predict(net: Network | None, text_col: str, names: list[str]):
+def _predict(net: Network | None, text_col: str, names: list[str], known: Known | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in shared.slices(batches, text_col, 4 << 20):
             raw = shared.texts(b, text_col)
             p = net.documents([t or b"" for t in raw]) if net else np.zeros((len(raw), 1))
             best = p.argmax(1)
             lang = [net.labels[k] if net and t and any(map(str.isalpha, t.decode())) else UNKNOWN for t, k in zip(raw, best.tolist(), strict=True)]
+            if known:
+                lang = [x if x == UNKNOWN or known.has(t.decode(), x) else UNKNOWN for t, x in zip(raw, lang, strict=True)]
             score = [0.0 if x == UNKNOWN else float(min(1.0, s)) for x, s in zip(lang, p.max(1).tolist(), strict=True)]
             new = {"_lang": pa.array(lang, pa.string()), "_score": pa.array(score, pa.float64())}
             yield pa.RecordBatch.from_arrays([new[n] if n in new else b.column(b.schema.get_field_index(n)) for n in names], names=names)
@@ -220,19 +288,19 @@ def _predict(net: Network | None, text_col: str, names: list[str]):
     return run
 
 
-def identify(docs: DataFrame, net: Network | None, *, text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, net: Network | None, *, text_col: str = "text", known: Known | None = None) -> DataFrame:
     """The rows with all columns, ``_lang`` and ``_score`` (input columns of these names go).
 
     ``_lang`` is the language with the largest mean probability over the whole
     text's positions, ``und`` with score 0 where the text is null or has no letter
-    or there is no network.  An empty table gives an empty table.
+    or there is no network, and with ``known`` where it is not in that language.  An empty table gives an empty table.
     """
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
     shared.ship(docs.sparkSession)
     docs = docs.drop("_lang", "_score").withColumn(text_col, F.col(text_col).cast("string"))
     out = StructType([*docs.schema.fields, StructField("_lang", StringType()), StructField("_score", DoubleType())])
-    return docs.mapInArrow(_predict(net, text_col, out.names), out)
+    return docs.mapInArrow(_predict(net, text_col, out.names, known), out)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
