@@ -198,3 +198,9 @@ def test_singular_values_by_subspace(spark):
     a = rng.random((7, 5))
     df = spark.createDataFrame([(i, j, float(x)) for (i, j), x in np.ndenumerate(a)], "i int, j int, x double")
     assert m.subspace_iteration(df, 3) == pytest.approx(np.linalg.svd(a, compute_uv=False)[:3], rel=1e-6)
+
+
+def test_distances_beyond_sixty_four(spark):
+    g = undirected(spark, [(i, i + 1) for i in range(70)])
+    got = {r.name: r.dist for r in paths.distances(g, spark.createDataFrame([("v000",)], "src string")).collect()}
+    assert got == {f"v{i:03d}": i for i in range(71)}

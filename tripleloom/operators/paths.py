@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,7 +53,7 @@ def draw_pairs(names: DataFrame, n: int, seed: int = 42) -> DataFrame:
     return side("src", "src").join(side("dst", "dst"), "i")
 
 
-def distances(g: Graph, sources: DataFrame, limit: int = 64) -> DataFrame:
+def distances(g: Graph, sources: DataFrame) -> DataFrame:
     """``(src, name, dist)`` from each source to all it reaches, by breadth-first search from all at once.
 
     A round joins the frontier with the edges and drops what was reached before;
@@ -60,7 +62,7 @@ def distances(g: Graph, sources: DataFrame, limit: int = 64) -> DataFrame:
     seen = checkpointed(sources.select("src").distinct().select("src", F.col("src").alias("name"), F.lit(0).alias("dist")))
     frontier = seen
     near = checkpointed(g.both_ways)
-    for d in range(1, limit + 1):
+    for d in count(1):
         step = frontier.select("src", F.col("name").alias("u")).join(near, "u").select("src", F.col("v").alias("name")).distinct()
         frontier = checkpointed(step.join(seen, ["src", "name"], "left_anti").withColumn("dist", F.lit(d)))
         if frontier.isEmpty():
