@@ -173,3 +173,16 @@ def test_command_line(spark, tmp_path, capsys):
     assert cli.main(["generate", str(tmp_path / "t.json"), "--out", str(tmp_path / "made"), "--budget", "0"], spark) == 0
     with pytest.raises(SystemExit):
         cli.main([])
+
+
+def test_a_run_without_a_budget_rewires_in_full(tmp_path, monkeypatch):
+    import inspect
+
+    assert inspect.signature(rewire.generate).parameters["budget"].default == 50_000
+    given = []
+    monkeypatch.setattr(rewire, "generate", lambda spark, values, seed, budget, chains: given.append(budget) or 1 / 0)
+    (tmp_path / "t.json").write_text("{}")
+    monkeypatch.setattr(signature.Signature, "from_json", staticmethod(lambda text: {}))
+    with pytest.raises(ZeroDivisionError):
+        cli.main(["generate", str(tmp_path / "t.json"), "--out", str(tmp_path / "made")], None)
+    assert given == [50_000]

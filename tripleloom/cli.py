@@ -19,7 +19,7 @@ def parser() -> argparse.ArgumentParser:
     g.add_argument("signature")
     g.add_argument("--out", required=True)
     g.add_argument("--seed", type=int, default=0)
-    g.add_argument("--budget", type=int, default=2000)
+    g.add_argument("--budget", type=int, default=50_000)
     g.add_argument("--chains", type=int, default=1)
     c = sub.add_parser("compare", help="compare two graphs or signatures")
     c.add_argument("target")

@@ -288,7 +288,7 @@ def swap_log(edges: list[tuple], target: dict[str, float], budget: int, spark, s
     return spark.createDataFrame(anneal(edges, target, budget, seed=seed)[1], "step int, delta double, accepted boolean")
 
 
-def generate(spark, values: dict[str, float], seed: int = 0, budget: int = 2000, chains: int = 1) -> Graph:
+def generate(spark, values: dict[str, float], seed: int = 0, budget: int = 50_000, chains: int = 1) -> Graph:
     """All three stages."""
     from .schema import sample_schema
     from .wiring import instantiate
