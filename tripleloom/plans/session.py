@@ -26,13 +26,23 @@ def ship(spark: SparkSession) -> None:
     sc._tripleloom_package = True
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new path in the shared folder; a temporary folder is made only where the session names none (tests)."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that all machines see: ``spark.checkpoint.dir``.
+
+    Where the session names none, a local session gets a temporary one (tests); on
+    a cluster that would lose data, so there it is an error.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = f"file://{tempfile.mkdtemp(prefix='tripleloom-')}"
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base}/tripleloom-tables/{uuid.uuid4().hex}"
+    return base
+
+
+def remember(spark: SparkSession, path: str) -> str:
+    """Note a path for :func:`clean`."""
     sc = spark.sparkContext
     if not hasattr(sc, "_tripleloom_tables"):
         sc._tripleloom_tables = []
@@ -40,6 +50,11 @@ def scratch(spark: SparkSession) -> str:
     return path
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder."""
+    return remember(spark, f"{shared_dir(spark)}/tripleloom-tables/{uuid.uuid4().hex}")
+
+
 def clean(spark: SparkSession) -> int:
     """Delete the intermediate tables of this session; nothing made from them can be read afterwards."""
     paths = getattr(spark.sparkContext, "_tripleloom_tables", [])
