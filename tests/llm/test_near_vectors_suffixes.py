@@ -156,7 +156,7 @@ def test_vector_recall_on_the_table(spark):
     label = np.array([r[2] for r in rows])
     want = ((x @ x.T >= 0.93) & (label[:, None] == label[None])).sum() - len(x)
     got = sum(r.n_links for r in vectors.near_vectors(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")).collect())
-    assert got <= want and got >= 0.9 * want
+    assert got == want  # this table holds no link; test_planted_vectors.py measures recall
 
 
 def brute_repeats(rows, w=100):

@@ -17,23 +17,23 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..plans import session
 
 WHITE = b" \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all machines see; a temporary one only where none is set (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='tripleloom-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = spark._jvm.org.apache.hadoop.fs.Path(base)
+    """The folder that all machines see, as a whole address."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(session.shared_dir(spark))
     fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     return fs.makeQualified(path).toString().replace("file:///", "file:/").replace("file:/", "file:///")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/tripleloom/{name}-{uuid.uuid4().hex[:12]}"
+    """A new path in the shared folder, which ``plans.session.clean`` deletes."""
+    return session.remember(spark, f"{shared_dir(spark)}/tripleloom/{name}-{uuid.uuid4().hex[:12]}")
 
 
 def remove(spark: SparkSession, *paths: str) -> None:
@@ -96,32 +96,61 @@ def texts(batch: pa.RecordBatch, col: str) -> list[bytes | None]:
     return x.cast(pa.large_binary() if pa.types.is_large_string(x.type) else pa.binary()).to_pylist()
 
 
-def write_by_part(df: DataFrame, name: str) -> str:
-    """Write rows that refer to rows of another table by their ``rid``, a folder for each partition that made the ids.
+def to_rows(rows: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows (with ``rid``) with the values of their keys; nulls where a key is null or has none.
 
-    Ids from ``monotonically_increasing_id`` hold the partition above bit 33.  A
-    task that reads a partition of the other table then reads one small folder and
-    nothing of that table is shuffled.
+    The values first meet a row per key and partition that made the ids, then the
+    rows by both, so a key that a third of all rows have is not one task's.
     """
-    from pyspark.sql import functions as F
+    part = F.shiftright("rid", 33)
+    some = rows.select(*keys, part.alias("part")).dropna(subset=keys).distinct().join(values, keys)
+    return rows.withColumn("part", part).join(some, [*keys, "part"], "left").drop("part")
+
+
+#: Folders of :func:`write_by_part` at most.
+FOLDERS = 4096
+
 
+def write_by_part(df: DataFrame, name: str, rows: DataFrame) -> tuple[str, int]:
+    """Write rows that refer to rows of the written table ``rows`` by their ``rid``, by the partition that made the ids.
+
+    Ids from ``monotonically_increasing_id`` hold the partition above bit 33.  A
+    task that reads a partition of the other table then reads the part of one
+    small file, and nothing of that table is shuffled.  Beyond ``FOLDERS``
+    partitions neighbours share a file, sorted, in row groups of a megabyte.
+    Returns the path and the partitions to a folder.
+    """
     path = scratch(df.sparkSession, name)
-    x = df.withColumn("part", F.shiftright("rid", 33)).repartition("part").sortWithinPartitions("part", "rid")
-    x.write.partitionBy("part").option("compression", "zstd").parquet(path)
-    return path
+    width = -(-(((rows.agg(F.max("rid")).first()[0] or 0) >> 33) + 1) // FOLDERS)
+    part = F.shiftright("rid", 33)
+    x = df.withColumn("part", part).withColumn("folder", F.floor(part / width)).repartition("folder").sortWithinPartitions("folder", "part", "rid")
+    x.write.partitionBy("folder").option("compression", "zstd").option("parquet.block.size", 1 << 20).parquet(path)
+    return path, width
+
+
+def address(path: str) -> str:
+    """A Hadoop address as Arrow writes it."""
+    scheme, colon, rest = path.partition("://")
+    return {"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + colon + rest
 
 
-def read_part(path: str, part: int) -> pa.Table | None:
-    """One partition's rows, by ``rid``; None where there are none."""
+def read_part(at: tuple[str, int], part: int) -> pa.Table | None:
+    """One partition's rows, by ``rid``, from what :func:`write_by_part` returned; None where there are none."""
     import pyarrow.parquet as pq
     from pyarrow import fs
 
-    store, at = fs.FileSystem.from_uri(f"{path}/part={part}")
-    files = [f.path for f in store.get_file_info(fs.FileSelector(at, allow_not_found=True)) if f.path.endswith(".parquet")]
-    if not files:
-        return None
+    path, width = at
+    store, folder = fs.FileSystem.from_uri(f"{address(path)}/folder={part // width}")
     out = []
-    for f in files:
-        with store.open_input_file(f) as source:
-            out.append(pq.read_table(source))
-    return pa.concat_tables(out).sort_by("rid").combine_chunks()
+    for f in store.get_file_info(fs.FileSelector(folder, allow_not_found=True)):
+        if f.path.endswith(".parquet"):
+            with store.open_input_file(f.path) as source:
+                file = pq.ParquetFile(source)
+                k = file.schema_arrow.get_field_index("part")
+                for g in range(file.num_row_groups):
+                    s = file.metadata.row_group(g).column(k).statistics
+                    if s is None or not s.has_min_max or s.min <= part <= s.max:
+                        rows = file.read_row_group(g)
+                        out.append(rows.filter(pc.equal(rows.column("part"), part)))
+    rows = pa.concat_tables(out) if out else None
+    return rows.sort_by("rid").combine_chunks() if rows is not None and rows.num_rows else None

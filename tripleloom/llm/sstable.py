@@ -172,7 +172,7 @@ def _open(path: str, write: bool = False):
     """A file of the shared folder, on any file system that pyarrow knows by its address."""
     from pyarrow import fs
 
-    store, at = fs.FileSystem.from_uri(path)
+    store, at = fs.FileSystem.from_uri(shared.address(path))
     return (store, at, store.open_output_stream(at)) if write else store.open_input_file(at)
 
 

@@ -237,7 +237,7 @@ _GONE = pa.schema([("rid", pa.int64()), ("s", pa.int64()), ("e", pa.int64())])
 class _Ranges:
     """Rows of :func:`shared.write_by_part` for the texts of a batch; the last partition stays in memory."""
 
-    def __init__(self, path: str, columns: tuple[str, ...]):
+    def __init__(self, path: tuple[str, int], columns: tuple[str, ...]):
         self.path, self.columns, self.part, self.rid, self.rows = path, columns, None, None, ()
 
     def of(self, rid: int) -> list[np.ndarray]:
@@ -250,7 +250,7 @@ class _Ranges:
         return [x[lo:hi] for x in self.rows]
 
 
-def _cut(path: str):
+def _cut(path: tuple[str, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         edges = _Ranges(path, ("ah", "doc", "lo", "hi"))
         for b in shared.slices(batches, "text"):
@@ -318,7 +318,7 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _KEPT = pa.schema([("rid", pa.int64()), ("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.list_(pa.int64()))), ("kept", pa.binary())])
 
 
-def _remove(path: str):
+def _remove(path: tuple[str, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gone = _Ranges(path, ("s", "e"))
         for b in shared.slices(batches, "text"):
@@ -360,11 +360,11 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     whole, _ = shared.write(whole, "repeat-whole")
     shared.remove(spark, pieces_at)
 
-    edges = shared.write_by_part(met.filter(F.col("kind") == EDGE).select("rid", "ah", "doc", "lo", "hi"), "repeat-edges")
+    edges = shared.write_by_part(met.filter(F.col("kind") == EDGE).select("rid", "ah", "doc", "lo", "hi"), "repeat-edges", rows)
     cuts = rows.select("rid", "text").mapInArrow(_cut(edges), "ah long, doc long, rid long, lo long, bytes binary")
     sorted_ = cuts.repartition("ah").sortWithinPartitions("ah").mapInArrow(_sort, "rid long, s long, e long")
     again = met.filter(F.col("kind") == GONE).select("rid", F.col("lo").alias("s"), (F.col("hi") + WINDOW).alias("e"))
-    gone = shared.write_by_part(whole.unionByName(again).unionByName(sorted_), "repeat-gone")
+    gone = shared.write_by_part(whole.unionByName(again).unionByName(sorted_), "repeat-gone", rows)
     return rows.mapInArrow(_remove(gone), "rid long, doc_id long, n_bytes long, n_removed long, spans array<array<long>>, kept binary")
 
 
