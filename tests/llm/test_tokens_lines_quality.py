@@ -121,11 +121,73 @@ def brute_counts(text):
 
 
 def test_counts_match_brute_force(docs):
-    some = [r.text for r in docs.select("text").collect() if len(r.text) < 4000][:80]
-    for t in [*some, None, "", "a a a a", "a b c a b c", "x\n\nx\n x\n", "a b\x85c \x1c d\x0be"]:
+    some = [r.text for r in docs.select("text").collect() if len(r.text) < 4000]
+    for t in [*some, None, "", "a a a a", "a b c a b c", "x\n\nx\n x\n", "a b\x85c \x1c d\x0be"]:
         assert quality.counts_of(t)[:5] == brute_counts(t)
 
 
+def brute_verdicts(spark, sf_dir, risk=quality.RISK, level=quality.LEVEL):
+    """Cutoffs and verdicts over whole tables in plain Python."""
+    from math import ceil, comb
+
+    tail = lambda k, n, p: sum(comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1))
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text").collect()
+    good = {}
+    for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect():
+        good[r.doc_id] = min(good.get(r.doc_id, 1), r.quality)
+    ratios = {}
+    for r in rows:
+        c = dict(zip(quality._COUNTS, quality.counts_of(r.text), strict=True))
+        ratios[r.doc_id] = {k: c[a] / c[b] if c[b] else 0.0 for k, (a, b) in quality.RULES.items()}, c["n_words"] < 50 or 2 * c["n_repeat_words"] > c["n_words"]
+    half = {0: {}, 1: {}}
+    for r in rows:
+        if good.get(r.doc_id) == 1:
+            half[crc32(f"half:{r.doc_id}".encode()) % 2].setdefault(r.lang, []).append(ratios[r.doc_id][0])
+    large = [s for s, x in half[1].items() if s in half[0] and (1 - risk) ** len(x) <= level]
+    cuts = {}
+    for s in large:
+        offers = {}
+        for k in quality.RULES:
+            x = sorted(r[k] for r in half[0][s])
+            at = [x[max(0, ceil(q * len(x)) - 1)] for q in quality.SHARES]
+            offers[k] = [t * max(x[-1], quality.LEAST) for t in quality.TIMES] + at
+        for i in range(quality.STEPS):
+            out = sum(any(r[k] > offers[k][i] for k in offers) for r in half[1][s])
+            if tail(out, len(half[1][s]), risk) > level / len(large):
+                break
+            cuts[s] = {k: offers[k][i] for k in offers}
+    kept = {r.doc_id: not ratios[r.doc_id][1] and not any(ratios[r.doc_id][0][k] > c for k, c in cuts.get(r.lang, {}).items()) for r in rows}
+    return cuts, kept, ratios
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_cutoffs_and_verdicts_equal_brute_force(spark, sf):
+    at = f"/root/testdata/{sf}"
+    cuts, kept, ratios = brute_verdicts(spark, at)
+    got = quality.op2_quality_rules(spark, at).collect()
+    assert {r.doc_id: r.kept for r in got} == kept
+    assert all(r.base_failed == ratios[r.doc_id][1] for r in got)
+    rejected = {r.doc_id for r in got if r.failed_rules}
+    lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{at}/documents.parquet").select("doc_id", "lang").collect()}
+    if sf == "sf0.1":  # with 160 good holdout rows and more, every language has cutoffs that reject something
+        assert set(cuts) == {"de", "en", "es", "fr"} == {lang[d] for d in rejected}
+    else:
+        assert "en" in cuts
+
+
+def test_false_rejections_stay_below_the_risk():
+    rng = np.random.default_rng(0)
+    risk, level, broken = 0.05, 0.05, 0
+    for _ in range(400):  # joint rejection rates of the true distribution at each step
+        rate = np.sort(rng.uniform(0, 0.12, quality.STEPS))
+        n = int(rng.integers(60, 400))
+        u = rng.random(n)
+        beyond = [int((u < r).sum()) for r in rate]
+        k = quality.passed(beyond, n, risk, level)
+        broken += k > 0 and rate[k - 1] > risk
+    assert broken <= 0.05 * 400 + 3 * (400 * 0.05 * 0.95) ** 0.5
+
+
 def test_binomial_bound_is_exact():
     from math import comb
 

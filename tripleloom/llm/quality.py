@@ -1,22 +1,30 @@
 """Quality rules with risk-controlled thresholds.
 
 Each document gets counts of its words, symbols, repeated lines and repeated
-word windows.  A rule says that a ratio of these is too high.  Its cutoff is
-chosen per stratum from labelled documents: one half proposes cutoffs, from the
-most careful to the boldest; the other half, the holdout, tests them in that
-order, and the last cutoff before the first failure is taken.  A cutoff passes
-if an exact binomial test rejects that good documents lie beyond it at a rate
-above ``risk / rules``.  Testing in a fixed order needs no correction within a
-rule; between the rules and strata the level is divided by their number
-(Bonferroni).  So with probability 1 - ``level`` at least, in no stratum more
-than ``risk`` of the good documents are rejected by the rules together.  A stratum
-with too few labels gets no cutoff, and its rules reject nothing.
+word windows.  A rule says that a ratio of these is too high.  The cutoffs of all
+rules are chosen together, per stratum, from labelled documents.  One half
+proposes a sequence of joint cutoffs, from the most careful (far beyond anything
+that a good document has) to the boldest (the 99.5 % points of the good ones).
+The other half, the holdout, tests them in that order: a joint cutoff passes if an
+exact binomial test rejects that more than ``risk`` of the good documents lie
+beyond any of its cutoffs; the last one before the first failure is taken.
+
+The order is fixed before the holdout is looked at, so testing in it needs no
+correction; between the strata the level is divided by the number of strata
+that are large enough to pass at all (Bonferroni; that depends on their sizes
+only).  So with probability 1 - ``level`` at least, in no stratum more than
+``risk`` of the good documents are rejected by the rules.  A stratum with too
+few labels gets no cutoffs, and its rules reject nothing: at the defaults and
+four strata it takes 86 good holdout documents.
+
+Strata are rows of tables throughout, joined and never collected, so a dirty
+column with a million values costs a row each.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import exp, lgamma, log, log1p
+from math import ceil, exp, lgamma, log, log1p
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +45,13 @@ RULES = {
     "marks": ("n_marks", "n_words"),
     "long_words": ("word_chars", "n_words"),
 }
-#: Shares of the proposing half's good documents that lie below a proposed cutoff, careful first.
-STEPS = (1.0, 0.9995, 0.999, 0.998, 0.9965, 0.995, 0.9935, 0.992)
+#: Joint cutoffs, careful first: multiples of the proposing half's largest ratio (of ``LEAST``, where that is less) ...
+TIMES, LEAST = (8.0, 4.0, 2.0, 1.5, 1.25), 0.01
+#: ... then shares of its good documents that lie below.
+SHARES = (1.0, 0.9995, 0.999, 0.998, 0.997, 0.995)
+STEPS = len(TIMES) + len(SHARES)
+#: Strata up to which their table is broadcast; some 700 bytes each.
+FEW = 10_000
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_capitals", "n_marks")
 
 
@@ -119,41 +132,63 @@ def _ratio(rule: str) -> F.Column:
     return F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(F.lit(0.0))
 
 
-def thresholds(counts: DataFrame, labels: DataFrame, *, risk: float = RISK, level: float = LEVEL, id_col: str = "doc_id", good_col: str = "quality") -> dict[str | None, dict[str, float]]:
-    """Cutoff per stratum and rule; a rule without one is absent.
+def least_holdout(risk: float, level: float) -> int:
+    """Good holdout documents with which a cutoff that rejects none of them passes."""
+    return ceil(log(level) / log1p(-risk))
+
+
+def passed(beyond: list[int], n: int, risk: float, level: float) -> int:
+    """How many joint cutoffs pass, in order, before the first that fails."""
+    k = 0
+    while k < len(beyond) and binomial_tail(beyond[k], n, risk) <= level:
+        k += 1
+    return k
+
+
+_CHOSEN = pa.schema([("stratum", pa.string()), ("step", pa.int32())])
+
+
+def _choose(risk: float, level: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = b.to_pylist()
+            yield shared.table({"stratum": b.column(0), "step": [passed([r[f"b{i}"] for i in range(STEPS)], r["n"], risk, level) for r in rows]}, _CHOSEN)
+
+    return run
+
+
+def _join(rows: DataFrame, strata: DataFrame, how: str, n: int) -> DataFrame:
+    """Join on the stratum, null with null."""
+    by = strata.withColumnRenamed("stratum", "its")
+    return rows.join(F.broadcast(by) if n <= FEW else by, F.col("stratum").eqNullSafe(F.col("its")), how).drop("its")
+
+
+def thresholds(counts: DataFrame, labels: DataFrame, *, risk: float = RISK, level: float = LEVEL, id_col: str = "doc_id", good_col: str = "quality") -> tuple[DataFrame, int]:
+    """``stratum``, ``step`` (joint cutoffs passed) and a cutoff ``c_<rule>`` for each rule; and the number of rows.
 
     All labelled documents take part.  Labels that disagree count as not good;
-    null ids and null labels are left out.  What the driver gets is a few numbers
-    for each stratum and rule.
+    null ids and null labels are left out.  A stratum without cutoffs has no row.
     """
     lab = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(good_col).alias("good")).dropna().groupBy("doc_id").agg(F.min("good").alias("good"))
     known = counts.join(lab.filter("good = 1"), "doc_id").withColumn("half", F.crc32(F.concat(F.lit("half:"), F.col("doc_id").cast("string"))) % 2)
     known, at = shared.write(known.select("stratum", "half", *(_ratio(r).alias(r) for r in RULES)), "quality-labelled")
-    steps = F.array(*map(F.lit, STEPS))
-    proposed = known.filter("half = 0").groupBy("stratum").agg(*(F.percentile_approx(r, steps, 20000).alias(r) for r in RULES)).collect()
-    if not proposed:
-        shared.remove(known.sparkSession, at)
-        return {}
-    offers = {p.stratum: {r: list(dict.fromkeys(p[r])) for r in RULES} for p in proposed}
-    beyond = [F.count(F.lit(1)).alias("n")]
-    for r in RULES:
-        for i in range(len(STEPS)):
-            cut = F.lit(None).cast("double")
-            for s, o in offers.items():
-                if i < len(o[r]):
-                    cut = F.when(F.col("stratum").eqNullSafe(F.lit(s)), F.lit(float(o[r][i]))).otherwise(cut)
-            beyond.append(F.coalesce(F.sum((F.col(r) > cut).cast("long")), F.lit(0)).alias(f"{r}_{i}"))
-    tested = {t.stratum: t for t in known.filter("half = 1").groupBy("stratum").agg(*beyond).collect()}
-    shared.remove(known.sparkSession, at)
-    most, alpha, out = risk / len(RULES), level / (len(RULES) * len(offers)), {}
-    for s, o in offers.items():
-        out[s] = {}
-        for r in RULES:
-            for i, cut in enumerate(o[r]):
-                if s not in tested or binomial_tail(tested[s][f"{r}_{i}"], tested[s].n, most) > alpha:
-                    break
-                out[s][r] = float(cut)
-    return out
+    points = F.array(*map(F.lit, SHARES))
+    top = known.filter("half = 0").groupBy("stratum").agg(*(F.percentile_approx(r, points, 20000).alias(r) for r in RULES))
+    offers = top.select("stratum", *(F.concat(F.array(*(F.greatest(F.col(r)[0], F.lit(LEAST)) * t for t in TIMES)), r).alias(f"o_{r}") for r in RULES))
+    offers, offers_at = shared.write(offers, "quality-offers")
+    n = offers.count()
+    held = _join(known.filter("half = 1"), offers, "inner", n)
+    # a cutoff later in the order is never higher, so a document goes from its first step on
+    first = F.least(*(F.expr(f"size(filter(o_{r}, c -> c >= {r}))") for r in RULES))
+    tests = held.withColumn("first", first).groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *(F.count_if(F.col("first") <= i).alias(f"b{i}") for i in range(STEPS)))
+    tests, tests_at = shared.write(tests.filter(F.col("n") >= least_holdout(risk, level)), "quality-tests")
+    share = level / max(1, tests.count())
+    chosen = tests.mapInArrow(_choose(risk, share), "stratum string, step int").filter("step > 0")
+    cuts = _join(chosen, offers, "inner", n).select("stratum", "step", *(F.element_at(f"o_{r}", F.col("step")).alias(f"c_{r}") for r in RULES))
+    cuts, _ = shared.write(cuts, "quality-cuts")
+    many = cuts.count()
+    shared.remove(known.sparkSession, at, offers_at, tests_at)
+    return cuts, many
 
 
 def judge(docs: DataFrame, labels: DataFrame, *, risk: float = RISK, level: float = LEVEL, stratum_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -162,21 +197,18 @@ def judge(docs: DataFrame, labels: DataFrame, *, risk: float = RISK, level: floa
     Returns doc_id, stratum, the counts, ``base_failed`` (fewer than 50 words, or
     more than half of the words in repeated windows), ``failed`` (names of the
     rules that reject it) and ``kept``.  Null and empty texts have no words and
-    fail the base.  Repeated rows are judged alike.  Null strata are a stratum of
-    their own; without labels only the base counts.
+    fail the base.  Very long texts are counted whole.  Repeated rows are judged
+    alike.  Null strata are a stratum of their own; without labels only the base
+    counts.  Other columns are ignored, whatever their names.  An empty table
+    gives an empty table.
     """
+    shared.ship(docs.sparkSession)
     counts, _ = shared.write(measure(docs, stratum_col=stratum_col, id_col=id_col, text_col=text_col), "quality-counts")
-    cuts = thresholds(counts, labels, risk=risk, level=level)
-    failed = []
-    for r in RULES:
-        bad = F.lit(False)
-        for s, by in cuts.items():
-            if r in by:
-                bad = bad | (F.col("stratum").eqNullSafe(F.lit(s)) & (_ratio(r) > by[r]))
-        failed.append(F.when(bad, F.lit(r)))
+    cuts, n = thresholds(counts, labels, risk=risk, level=level)
+    failed = F.array_compact(F.array(*(F.when(_ratio(r) > F.col(f"c_{r}"), F.lit(r)) for r in RULES)))
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    x = counts.withColumn("base_failed", base).withColumn("failed", F.array_compact(F.array(*failed)))
-    return x.withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0))
+    x = _join(counts, cuts, "left", n).withColumn("base_failed", base).withColumn("failed", failed)
+    return x.withColumn("kept", ~F.col("base_failed") & (F.size("failed") == 0)).select(*counts.columns, "base_failed", "failed", "kept")
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
