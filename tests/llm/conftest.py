@@ -42,7 +42,7 @@ def odd(spark):
         (11, "<|endoftext|> and <|startoftext|>x it's Ⅷ Ǆ ﬁ é   　 ÀÉ 漢字 \U0001f600", "en", "a", 1),
     ]
     x = spark.createDataFrame(rows, DOCS).repartition(3)
-    for c in ("ids", "part", "n", "at", "h", "hi", "lo", "owner", "_n_lines", "stratum", "n_words", "pieces", "start"):
+    for c in ("ids", "part", "n", "at", "h", "hi", "lo", "owner", "_n_lines", "_n_dropped", "_w", "_e", "_d", "_f", "_l", "_rid", "_id", "row", "rate", "stratum", "n_words", "pieces", "start"):
         x = x.selectExpr("*", f"'clash' as {c}")
     return x
 

@@ -10,6 +10,7 @@ bytes that are columns of one matrix, so a step serves thousands of segments.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 from . import shared
 
 UNKNOWN = "und"
-#: Width of each direction; bytes of a segment; bound on the training sample per language; training steps.
-WIDTH, SEGMENT, SAMPLE, STEPS = 12, 128, 600, 400
+#: Width of each direction; bytes of a segment; bound on the training sample per language; training steps; languages learnt at most.
+WIDTH, SEGMENT, SAMPLE, STEPS, LANGUAGES = 12, 128, 600, 400, 256
 #: In the pipeline: share of the held-out texts of a language below the bound but for the slack in log-probability; the fewest to go by; characters of a text that are learnt from.
 REJECT, SLACK, FEWEST, LEARNT = 0.001, 1.0, 20, 2048
 
@@ -168,19 +169,29 @@ def held_out(id_col: str = "doc_id") -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def _languages(rows: DataFrame, most: int = LANGUAGES) -> dict[str, int]:
+    """Documents of each language, of the ``most`` most frequent ones."""
+    n = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    return {r.lang: r.n for r in n.orderBy(F.desc("n"), "lang").limit(most).collect()}
+
+
+def _share(counts: dict[str, int], sample: int) -> F.Column:
+    """The share of its language's documents that is drawn: 0 for a language that is not learnt."""
+    shares = {lang: min(1.0, sample / n) for lang, n in counts.items()}
+    return F.coalesce(F.element_at(F.from_json(F.lit(json.dumps(shares)), "map<string,double>"), F.col("lang")), F.lit(0.0))
+
+
 def fit(docs: DataFrame, *, sample: int = SAMPLE, steps: int = STEPS, width: int = WIDTH, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Network | None:
     """Train on about ``sample`` segments per language, at most twice as many, drawn by hash over all rows that may be learnt from.
 
     Rows that are held out or without language take no part, nor do texts without
-    a letter.  None if nothing is left to learn from.
+    a letter; of more than ``LANGUAGES`` languages the most frequent are learnt.  None if nothing is left to learn from.
     """
     free = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).filter(~held_out("doc_id") & F.col("lang").isNotNull())
-    counts = {r.lang: r.n for r in free.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = _languages(free)
     if not counts:
         return None
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, sample / n))).otherwise(share)
+    share = _share(counts, sample)
     draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id", F.length("text")), F.lit(1 << 20)) / float(1 << 20)
     # a segment from anywhere in the drawn text
     size = F.length("text")
@@ -257,14 +268,12 @@ class Known:
 def fit_known(docs: DataFrame, *, sample: int = SAMPLE, seed: int = 0) -> Known:
     """From about ``sample`` texts per language to learn from and as many held-out ones, at most twice as many, drawn by hash over all rows."""
     x = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"), held_out().alias("held")).filter(F.col("lang").isNotNull())
-    counts = {(r.lang, r.held): r.n for r in x.groupBy("lang", "held").agg(F.count(F.lit(1)).alias("n")).collect()}
-    share = F.lit(0.0)
-    for (lang, held), n in counts.items():
-        share = F.when((F.col("lang") == lang) & (F.col("held") == held), F.lit(min(1.0, sample / n))).otherwise(share)
+    of = {held: _languages(x.filter(F.col("held") == held)) for held in (False, True)}
+    share = F.when(F.col("held"), _share(of[True], sample)).otherwise(_share(of[False], sample))
     draw = F.pmod(F.xxhash64(F.lit(seed + 2), "doc_id", F.length("text")), F.lit(1 << 20)) / float(1 << 20)
     drawn = x.filter((draw < share) & F.col("text").rlike(r"\p{L}")).select("lang", "held", F.substring("text", 1, LEARNT).alias("t"))
     by: dict[bool, dict[str, list[str]]] = {False: {}, True: {}}
-    for r in drawn.limit(2 * sample * max(1, len(counts))).collect():
+    for r in drawn.limit(2 * sample * max(1, len(of[False]) + len(of[True]))).collect():
         by[r.held].setdefault(r.lang, []).append(r.t)
     return Known(by[False], by[True])
 

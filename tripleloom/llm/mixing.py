@@ -6,17 +6,28 @@ tokens of each domain (rate x tokens x posterior, summed) meet the targets.
 
 Everything is DataFrame expressions.  The classifier is naive Bayes over the
 presence and absence of hashed words and hashed word endings; buckets that do
-not tell the domains apart significantly have no weight.  The fit is projected gradient descent on the squared
-misfit, started at rate 1: all that a document needs of a step is one number per
-domain (the misfit, scaled by the inverse of the domains' small Gram matrix), so
-a step is one aggregate over the posteriors and the rates are a closed
-expression of the steps so far.
+not tell the domains apart significantly have no weight.
+
+The fit is projected gradient descent on the squared misfit m' W m, where m is the
+misfit of the domains' tokens and W the inverse of their Gram matrix G at rate 1
+(the sum of tokens x posterior x posterior'), which puts scarce and frequent domains
+on one scale.  In rates weighted by tokens this objective has curvature 1 at most, so the
+step of length 1 is safe: the misfit never grows, and where the iteration stands
+still the rates are the nonnegative least squares solution.  A step moves a document's rate by
+posterior . (W m), then cuts it off at 0; so rates are a closed expression of a
+few numbers per step, and documents with equal posteriors have equal rates:
+tokens are summed by posterior once, and a step is one aggregate over that
+table.  Cut-off rates make room for longer steps, so the same aggregate tries lengths
+up to 8,192 and the one with the least misfit is taken.  W is fixed; it is not the Newton step's matrix, which changes with the
+documents at rate 0 and has other fixed points.
 """
 
 from __future__ import annotations
 
+import json
 from math import log, sqrt
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,7 +35,9 @@ from . import shared
 
 #: Share of the tokens that each domain is to have.
 TARGETS = {"clean": 0.94, "junk": 0.05, "toxic": 0.01}
-WORD_BUCKETS, END_BUCKETS, Z, STEPS, CLOSE = 1 << 15, 1 << 11, 4.0, 12, 1e-6
+WORD_BUCKETS, END_BUCKETS, Z, STEPS, CLOSE, STILL = 1 << 15, 1 << 11, 4.0, 100, 1e-6, 1e-4
+#: Step lengths tried together; the first is safe.
+LENGTHS = tuple(2.0**i for i in range(14))
 #: With a domain to be used whole: bound on a scarce domain's repeats, if its documents hold this share of its tokens as their own.
 REPEATS, OWN = 16, 0.5
 _SPLIT = r"[\x20\x09-\x0D]+"
@@ -51,12 +64,12 @@ def _buckets(text: F.Column) -> F.Column:
     return F.array_distinct(F.flatten(F.transform(F.array_distinct(_words(text)), lambda w: F.array(*((f + 1).cast("int") for f in _features(w))))))
 
 
-def with_domain(docs: DataFrame, labels: DataFrame, most: int = 1_000_000) -> DataFrame:
+def with_domain(docs: DataFrame, labels: DataFrame, most: int = 300_000) -> DataFrame:
     """Labelled documents with ``_domain``; labels of an id that disagree take the worst."""
     rank = F.min(F.when(F.col("d") == "toxic", 0).when(F.col("d") == "junk", 1).otherwise(2)).alias("r")
     lab = labels.select(F.col("doc_id").cast("long").alias("_id"), domain_of().alias("d")).dropna().groupBy("_id").agg(rank)
     lab = lab.select("_id", F.element_at(F.array(*map(F.lit, ("toxic", "junk", "clean"))), F.col("r") + 1).alias("_domain"))
-    if lab.count() <= most:  # 16 bytes each; beyond that both sides are shuffled
+    if lab.count() <= most:  # some 50 bytes each; beyond that both sides are shuffled
         lab = F.broadcast(lab)
     return docs.join(lab, docs["doc_id"].cast("long") == F.col("_id")).drop("_id")
 
@@ -96,7 +109,7 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, domains: list[str]) -> tu
 
 
 def posteriors(docs: DataFrame, prior: list[float], weights: list[list[float]], domains: list[str]) -> DataFrame:
-    """``docs`` with ``_n`` (words) and ``_p`` (array of posteriors in the domains' order)."""
+    """``docs`` (no column of which may start with an underscore) with ``_n`` (words) and ``_p`` (array of posteriors in the domains' order)."""
     table = [F.from_json(F.lit("[" + ",".join(f"{x:.6g}" for x in w) + "]"), "array<double>") for w in weights]
     def weigh(at: F.Column, start: float) -> F.Column:
         return F.aggregate("_f", F.lit(start), lambda a, i: a + F.element_at(at, i))
@@ -109,101 +122,126 @@ def posteriors(docs: DataFrame, prior: list[float], weights: list[list[float]],
     e = F.transform("_l", lambda v: F.exp(v - F.array_max("_l")))
     x = x.withColumn("_e", e)
     total = F.aggregate("_e", F.lit(0.0), lambda a, v: a + v)
-    return x.withColumn("_p", F.transform("_e", lambda v: F.round(v / total, 9))).drop("_e", "_l")
-
-
-def _solve(m: list[list[float]], b: list[float]) -> list[float]:
-    """Gauss elimination for a few unknowns, with a ridge where the matrix is singular."""
-    n = len(b)
-    ridge = 1e-9 * max(max(m[i][i] for i in range(n)), 1e-300)
-    a = [[*(m[i][j] + (ridge if i == j else 0.0) for j in range(n)), b[i]] for i in range(n)]
-    for i in range(n):
-        k = max(range(i, n), key=lambda r: abs(a[r][i]))
-        a[i], a[k] = a[k], a[i]
-        if abs(a[i][i]) < 1e-300:
-            continue
-        for r in range(n):
-            if r != i:
-                f = a[r][i] / a[i][i]
-                a[r] = [x - f * y for x, y in zip(a[r], a[i], strict=True)]
-    return [a[i][n] / a[i][i] if abs(a[i][i]) > 1e-300 else 0.0 for i in range(n)]
-
-
-def _rate(steps: list[list[float]]) -> F.Column:
+    return x.withColumn("_p", F.transform("_e", lambda v: F.round(v / total, 6))).drop("_e", "_l")
+
+
+def rate_after(steps: list[list[float]], start: F.Column | None = None) -> F.Column:
     """The rate after these steps: each moves against the gradient and projects onto the nonnegative numbers."""
-    r = F.lit(1.0)
-    for c in steps:
-        r = F.greatest(F.lit(0.0), r - sum((F.element_at("_p", k + 1) * F.lit(float(x)) for k, x in enumerate(c)), F.lit(0.0)))
-    return r
+    r = F.lit(1.0) if start is None else start
+    if not steps:
+        return r
+    table = F.from_json(F.lit(json.dumps(steps)), "array<array<double>>")
+    move = lambda c: sum((F.element_at("_p", i + 1) * F.element_at(c, i + 1) for i in range(len(steps[0]))), F.lit(0.0))
+    return F.aggregate(table, r, lambda r, c: F.greatest(F.lit(0.0), r - move(c)))
+
 
+class Fit:
+    """Steps of the fit, target tokens, the expected tokens before each step and the way it ended ("met" or "still")."""
 
-def fit_rates(soft: DataFrame, targets: dict[str, float], budget: float | None = None, steps: int = STEPS, whole: str | None = None) -> tuple[F.Column, dict[str, float], list[dict[str, float]]]:
-    """The rate as an expression over ``_p``; the target tokens; the expected tokens after each step.
+    def __init__(self, names: list[str], goal: list[float]):
+        self.names, self.goal = names, goal
+        self.steps: list[list[float]] = []
+        self.history: list[list[float]] = []
+        self.ended = ""
+
+
+def goals(targets: dict[str, float], now: list[float], held: list[float], budget: float | None, whole: str | None) -> list[float]:
+    """Target tokens of each domain from what there is (``now``) and what its own documents hold."""
+    names, k = list(targets), len(targets)
+    share = [targets[d] / sum(targets.values()) for d in names]
+    once = names.index(whole) if whole in names else -1
+    if budget is None and once >= 0 and share[once] and now[once] > 0:
+        budget = now[once] / share[once]
+    total = budget if budget is not None else min((now[i] / share[i] for i in range(k) if share[i] and now[i] > 0), default=0.0)
+    goal = [s * total for s in share]
+    if once >= 0:
+        most = [a * (REPEATS if m >= OWN * a else 1) for a, m in zip(now, held, strict=True)]
+        goal = list(map(min, goal, most))
+    return goal
+
+
+def fit_rates(soft: DataFrame, targets: dict[str, float], budget: float | None = None, steps: int = STEPS, whole: str | None = None) -> Fit:
+    """Fit rates to the targets over ``soft(_n, _p)``.
 
     Without a budget the total is the largest for which no domain would have to be
     repeated as a whole; with ``whole`` it is the one for which that domain is used
     once.  Scarcer domains then are repeated up to ``REPEATS`` times; those that no
     document mostly belongs to, and what is missing beyond that, are left short.
+
+    The fit ends when every domain's tokens are within ``CLOSE`` of all target
+    tokens, or when a step lowers the misfit by less than the share ``STILL``
+    (targets that no rates meet); ``ArithmeticError`` if neither happens in
+    ``steps`` steps.
     """
     k, names = len(targets), list(targets)
     p = [F.element_at("_p", i + 1) for i in range(k)]
-    share = [targets[d] / sum(targets.values()) for d in names]
-    done: list[list[float]] = []
-    goal: list[float] = []
-    history = []
-    for _ in range(steps + 1):
-        r = _rate(done)
-        sums = [F.sum(F.col("_n") * r * p[i]).alias(f"t{i}") for i in range(k)]
-        gram = [F.sum(F.when(r > 0, F.col("_n") * p[i] * p[j]).otherwise(0.0)).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k)]
-        row = soft.agg(*sums, *gram).first()
-        now = [row[f"t{i}"] or 0.0 for i in range(k)]
-        if not goal:
-            once = names.index(whole) if whole in names else -1
-            held = [row[f"m{i}_{i}"] or 0.0 for i in range(k)]
-            most = [a * (REPEATS if m >= OWN * a else 1) for a, m in zip(now, held, strict=True)]
-            if budget is None and once >= 0 and share[once] and now[once] > 0:
-                budget = now[once] / share[once]
-            total = budget if budget is not None else min((now[i] / share[i] for i in range(k) if share[i] and now[i] > 0), default=0.0)
-            goal = [s * total for s in share]
-            if once >= 0:
-                goal = list(map(min, goal, most))
-        history.append(dict(zip(names, now, strict=True)))
-        miss = [a - b for a, b in zip(now, goal, strict=True)]
-        if max(map(abs, miss)) <= CLOSE * max(sum(goal), 1.0) or len(done) == steps:
-            break
-        m = [[row[f"m{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)]
-        done.append(_solve(m, miss))
-    return _rate(done), dict(zip(names, goal, strict=True)), history
-
-
-def mix(docs: DataFrame, labels: DataFrame, *, targets: dict[str, float] | None = None, budget: float | None = None, steps: int = STEPS, seed: int = 0, keep: list[str] | None = None, snap: float = 0.0, whole: str | None = None) -> DataFrame:
+    soft, made = shared.write(soft.groupBy("_p").agg(F.sum("_n").cast("double").alias("_n")).withColumn("_r", F.lit(1.0)), "mix-groups")
+    tables = [made]
+    row = soft.agg(*(F.sum(F.col("_n") * p[i]).alias(f"t{i}") for i in range(k)), *(F.sum(F.col("_n") * p[i] * p[j]).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k))).first()
+    gram = np.array([[row[f"m{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
+    now = [row[f"t{i}"] or 0.0 for i in range(k)]
+    fit = Fit(names, goals(targets, now, np.diag(gram).tolist(), budget, whole))
+    # scaled to a unit diagonal first, so that a scarce domain is not taken for rounding
+    d = np.sqrt(np.where(np.diag(gram) > 0, np.diag(gram), 1.0))
+    weight = np.linalg.pinv(gram / np.outer(d, d), rcond=1e-9, hermitian=True) / np.outer(d, d)
+    since: list[list[float]] = []  # steps that the table of rates does not hold yet
+    while True:
+        fit.history.append(now)
+        miss = np.array(now) - fit.goal
+        if np.abs(miss).max() <= CLOSE * max(sum(fit.goal), 1.0):
+            fit.ended = "met"
+        elif miss @ weight @ miss <= CLOSE**2 * float(np.array(fit.goal) @ weight @ np.array(fit.goal)):
+            fit.ended = "still"  # what is missing no rate can change
+        elif len(fit.steps) >= steps:
+            raise ArithmeticError(f"rates do not settle in {steps} steps: {dict(zip(names, now, strict=True))} for {dict(zip(names, fit.goal, strict=True))}")
+        if not fit.ended:
+            step = weight @ miss
+            old, move = rate_after(since, F.col("_r")), sum((p[i] * float(step[i]) for i in range(k)), F.lit(0.0))
+            tried = soft.select("_n", "_p", old.alias("old"), move.alias("move"))
+            rates = [F.greatest(F.lit(0.0), F.col("old") - F.col("move") * t) for t in LENGTHS]
+            row = tried.agg(*(F.sum(F.col("_n") * r * p[i]).alias(f"t{j}_{i}") for j, r in enumerate(rates) for i in range(k))).first()
+            totals = [np.array([row[f"t{j}_{i}"] or 0.0 for i in range(k)]) for j in range(len(LENGTHS))]
+            left = [float((t - fit.goal) @ weight @ (t - fit.goal)) for t in totals]
+            best = int(np.argmin(left))
+            if float(miss @ step) - left[best] <= STILL * float(miss @ step):
+                fit.ended = "still"
+            else:
+                fit.steps.append((LENGTHS[best] * step).tolist())
+                since.append(fit.steps[-1])
+                now = totals[best].tolist()
+        if fit.ended:
+            shared.remove(soft.sparkSession, *tables)
+            return fit
+        if len(since) == 8:
+            soft, made = shared.write(soft.withColumn("_r", rate_after(since, F.col("_r"))), "mix-groups")
+            tables.append(made)
+            since = []
+
+
+def mix(docs: DataFrame, labels: DataFrame, *, targets: dict[str, float] | None = None, budget: float | None = None, steps: int = STEPS, seed: int = 0, keep: list[str] | None = None, whole: str | None = None) -> DataFrame:
     """The rows with all columns (or those of ``keep``) and ``_n``, ``_p``, ``_rate`` and ``_copies`` (input columns of these names go).
 
     ``_rate`` is how often the row is to be used; ``_copies`` is the rate rounded
-    up or down by the hash of its id, so that its expectation is the rate.  Rates
-    within ``snap`` of a whole number are rounded to it instead, so that documents
-    that are to be used once are not lost or doubled by chance; domain totals
-    then differ from the targets by that share at most.  ``whole`` names a domain
-    to be used once (see :func:`fit_rates`); rates near 0 then are drawn all the same,
-    and where no word tells the domains apart all rates are 1.  Null and empty texts have no tokens, the prior as posterior, and the rate that goes
-    with it.  Rows with equal ids are rounded alike; a null id has a hash too.
-    Without labels all documents have one and the same posterior and the rate 1
-    can only be scaled.  An empty table gives an empty table.
+    up or down by the hash of its id, so that its expectation is the rate.
+    ``whole`` names a domain to be used once (see :func:`fit_rates`); where no word
+    tells the domains apart all rates then are 1.  Null and empty texts have no
+    tokens, the prior as posterior, and the rate that goes with it; very long
+    texts are read whole.  Rows with equal ids are rounded alike; a null id has a hash
+    too.  Without labels all documents have one and the same posterior and the
+    rate 1 can only be scaled.  Other columns pass through, whatever their names.
+    An empty table gives an empty table.
     """
     targets = targets or TARGETS
-    docs = docs.drop("_n", "_p", "_rate", "_copies", "_w", "_d", "_f", "_l", "_e")
+    keep = [c for c in docs.columns if c not in ("_n", "_p", "_rate", "_copies")] if keep is None else keep
+    # the columns that pass through wait in one of their own, so none of their names matters here
+    aside = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row"))
     prior, weights = fit_classifier(docs, labels, list(targets))
-    soft = posteriors(docs, prior, weights, list(targets)).select(*(docs.columns if keep is None else keep), "_n", "_p")
-    soft, _ = shared.write(soft, "mix-posteriors")  # every step of the fit reads two narrow columns of it
-    if whole is not None and not any(map(any, weights)):
-        rate = F.lit(1.0)
-    else:
-        rate, _, _ = fit_rates(soft, targets, budget, steps, whole)
+    soft, _ = shared.write(posteriors(aside, prior, weights, list(targets)).select("doc_id", "row", "_n", "_p"), "mix-posteriors")
+    done = [] if whole is not None and not any(map(any, weights)) else fit_rates(soft.select("_n", "_p"), targets, budget, steps, whole).steps
     u = (F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    whole, near = F.floor("_rate"), F.round("_rate")
-    drawn = whole + F.when(u < F.col("_rate") - whole, 1).otherwise(0)
-    copies = F.when((near >= (0 if whole is None else 1)) & (F.abs(F.col("_rate") - near) <= snap), near).otherwise(drawn) if snap else drawn
-    return soft.withColumn("_rate", F.round(rate, 9)).withColumn("_copies", copies.cast("long"))
+    x = soft.withColumn("_rate", F.round(rate_after(done), 9))
+    x = x.withColumn("_copies", (F.floor("_rate") + (u < F.col("_rate") - F.floor("_rate")).cast("long")).cast("long"))
+    return x.select(*(F.col("row").getField(c).alias(c) for c in keep), "_n", "_p", "_rate", "_copies")
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans import session
@@ -96,13 +96,14 @@ def texts(batch: pa.RecordBatch, col: str) -> list[bytes | None]:
     return x.cast(pa.large_binary() if pa.types.is_large_string(x.type) else pa.binary()).to_pylist()
 
 
-def to_rows(rows: DataFrame, values: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows (with ``rid``) with the values of their keys; nulls where a key is null or has none.
+def to_rows(rows: DataFrame, values: DataFrame, keys: list[str], part: Column | None = None) -> DataFrame:
+    """Rows with the values of their keys; nulls where a key is null or has none.
 
-    The values first meet a row per key and partition that made the ids, then the
-    rows by both, so a key that a third of all rows have is not one task's.
+    The values first meet a row per key and ``part`` (the partition that made
+    ``rid``, if none is given), then the rows by both, so a key that a third of all
+    rows have is not one task's.
     """
-    part = F.shiftright("rid", 33)
+    part = F.shiftright("rid", 33) if part is None else part
     some = rows.select(*keys, part.alias("part")).dropna(subset=keys).distinct().join(values, keys)
     return rows.withColumn("part", part).join(some, [*keys, "part"], "left").drop("part")
 

@@ -332,7 +332,7 @@ def _grid(nodes: DataFrame, chunk: int) -> DataFrame:
     """A row for each block that a node takes part in: chunk pairs across two lists, or within one."""
     key = ("label", "size", "a", "b")
     n = nodes.groupBy(*key).agg(*(F.ceil(F.sum((F.col("side") == s).cast("long")) / chunk).cast("long").alias(f"c{s}") for s in (0, 1)))
-    x = nodes.join(n, list(key)).withColumn("cross", F.col("a") != F.col("b"))
+    x = shared.to_rows(nodes, n, list(key), F.pmod(F.xxhash64("cid"), F.lit(64))).withColumn("cross", F.col("a") != F.col("b"))
     own, other = F.when(F.col("side") == 0, F.col("c0")).otherwise(F.col("c1")), F.when(F.col("cross") & (F.col("side") == 0), F.col("c1")).otherwise(F.col("c0"))
     x = x.withColumn("mine", F.pmod(F.xxhash64("cid"), own)).withColumn("facing", F.explode(F.sequence(F.lit(0).cast("long"), other - 1)))
     flip = F.when(F.col("cross"), F.col("side") == 1).otherwise(F.col("mine") > F.col("facing"))
