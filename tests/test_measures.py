@@ -156,24 +156,38 @@ def test_power_law_maximises_the_likelihood():
     assert math.isnan(fits.power_alpha(9, 3.0, 1, 10)) and math.isnan(fits.power_alpha(20, 0.0, 1, 1))
     exact, tail = fits.power_sums(1.5, 1, 150_000), (np.arange(1, 150_001, dtype=float) ** -1.5).sum()
     assert exact[0] == pytest.approx(tail, rel=1e-10)
+    for alpha in (1 + 1e-9, 1 + 1e-6, 1.00005, 1.001, 1.2):  # near 1 the closed form cancels
+        k = np.arange(25, 943_447, dtype=float)
+        assert fits.power_sums(alpha, 25, 943_446) == pytest.approx(((k**-alpha).sum(), (np.log(k) * k**-alpha).sum()), rel=1e-9)
 
 
 def test_feature_contract():
     assert len(features.ORDER) == len(set(features.ORDER)) == 135
     assert {b: len(n) for b, n in features.BLOCKS.items()} == {"a": 4, "b": 42, "c": 30, "d": 25, "e": 27, "f": 7}
-    assert len(features.SURFACE) == 87
-    assert features.domain("rel_freq_logq_q50").hi == 0.0 and features.domain("num_entities").clamp(0.2) == 1.0
-    assert math.isnan(features.domain("num_entities").clamp(math.nan))
+    assert len(features.surface()) == 62
+    assert features.BY_NAME["rel_freq_logq_q50"].hi == 0.0 and features.BY_NAME["num_entities"].nearest(0.2) == 1.0
+    assert math.isnan(features.BY_NAME["num_entities"].nearest(math.nan))
+    # every declared feature is read: a generator without it would fail or make something else
+    import inspect
+
+    from tripleloom.generator import rewire, schema, wiring
+
+    text = "".join(map(inspect.getsource, (schema, wiring, rewire)))
+    assert all(f in text or f.rstrip("0123456789").rstrip("q_") in text or f.removeprefix("inv_") in text or any(f"{{{x}}}" in text for x in ("p", "side", "prefix")) for f in features.surface())
+    assert features.size_free(["num_entities", "mean_degree", "shortest_path_max"]) == ["mean_degree", "shortest_path_max"]
+    assert features.size_free(["num_entities", "shortest_path_max"], weak=True) == []
     with pytest.raises(ValueError):
         features.validate(["nothing"])
     with pytest.raises(ValueError):
         features.validate(["two_step_alpha"])
-    assert len(features.validate(["subj_cooc_scale", "num_entities", "obj_mult_alpha_q00", "mean_degree"])) == 3
+    with pytest.raises(ValueError):
+        features.validate(["obj_mult_alpha_q50"])
+    assert len(features.validate(["type_rel_spectrum_scale", "num_entities", "mean_degree"])) == 2
 
 
 def test_signature_round_trip_and_missing(spark):
     g = graph(spark, *((f"s{i}", f"p{i % 3}", f"o{i % 5}") for i in range(12)), *((f"s{i}", "type", f"C{i % 2}") for i in range(6)))
-    sig = signature.measure(g, f={"pairs": 10})
+    sig = signature.measure(g, e={"largest": 7, "samples": 200, "colourings": 2}, f={"pairs": 10})
     assert list(sig) == features.ORDER and not math.isnan(sig["num_entities"]) and sig["num_classes"] == 2
     assert math.isnan(sig["cs_freq_alpha"])
     again = signature.Signature.from_json(sig.to_json())

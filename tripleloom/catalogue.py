@@ -48,11 +48,24 @@ def category(name: str, measure: Callable[[Graph], DataFrame], body: str | None
 def _quantiles_sql(value: str, source: str, head: str = "", least: int = fits.MIN_SAMPLES, ends: tuple[float, float] | None = None) -> str:
     q = [f"quantile_cont({value}::DOUBLE, {level})" for level in fits.LEVELS]
     if ends:
-        q[0], q[-1] = str(ends[0]), str(ends[1])
+        q[0], q[-1] = f"{ends[0]}::DOUBLE", f"{ends[1]}::DOUBLE"
     cols = ", ".join(f"round(CASE WHEN count({value}) >= {least} THEN greatest({', '.join(q[: i + 1])}) END, {DIGITS}) + 0.0 AS {s}" for i, s in enumerate(fits.SUFFIXES))
     return f"SELECT {head}{cols} FROM {source}"
 
 
+def power_sql(values: str, value: str, by: str, pin_low: bool = True) -> str:
+    """The most likely exponent of a discrete power law on [lo, hi] for each group, by 44 halvings; ``values`` is a query, ``by`` a column of it."""
+    law = lambda f: f"list_sum(list_transform(range(lo, hi + 1), lambda k: {f}pow(k, -m)))"
+    return f"""
+, vals AS ({values})
+, st AS (SELECT {by} AS grp, count(*) AS n, sum(ln({value})) AS sum_log, {"1::BIGINT" if pin_low else f"min({value})::BIGINT"} AS lo, max({value})::BIGINT AS hi FROM vals WHERE {value} > 0 GROUP BY 1)
+, halves(grp, mean, lo, hi, a, b, i) AS (
+  SELECT grp, sum_log / n, lo, hi, 1.000000001::DOUBLE, 3.0::DOUBLE, 0 FROM st WHERE n >= 10 AND lo < hi
+  UNION ALL SELECT grp, mean, lo, hi, CASE WHEN f > 0 THEN m ELSE a END, CASE WHEN f > 0 THEN b ELSE m END, i + 1
+  FROM (SELECT *, {law("ln(k) * ")} / {law("")} - mean AS f FROM (SELECT *, (a + b) / 2 AS m FROM halves WHERE i < 44)))
+, alphas AS (SELECT st.grp, st.n, st.sum_log, st.lo, st.hi, round((a + b) / 2, 6) AS alpha FROM st LEFT JOIN (SELECT * FROM halves WHERE i = 44) h ON h.grp IS NOT DISTINCT FROM st.grp)"""
+
+
 # --- Block A ---------------------------------------------------------------
 
 _SIZE_SQL = f"""
@@ -125,8 +138,20 @@ _logs = "(SELECT ln(count(*)::DOUBLE / (SELECT count(*) FROM edges)) AS x FROM e
 star("b_rel_freq_quantiles", m.relation_quantiles, _quantiles_sql("x", _logs, least=2))
 category("b_rel_freq_quantiles_categories", m.relation_quantiles, _quantiles_sql("x", _logs, least=2))
 category("b_degree_powerlaw", m.degree_powerlaw)
+ORACLES["b_degree_powerlaw"] = f"WITH RECURSIVE {CATEGORY_SQL},{VIEWS_SQL}{power_sql("SELECT 'out' AS side, dout AS d FROM cdeg UNION ALL SELECT 'in', din FROM cdeg", 'd', 'side')}\nSELECT grp AS side, n, lo, hi, alpha FROM alphas"
+category("b_degree_powerlaw_distance", lambda g: fits.power_distance(g.content_degrees.select(F.col("dout").alias("d"), F.lit("out").alias("side")), "d", ["side"]))
+ORACLES["b_degree_powerlaw_distance"] = f"""WITH RECURSIVE {CATEGORY_SQL},{VIEWS_SQL}{power_sql("SELECT 'out' AS side, dout AS d FROM cdeg", 'd', 'side')}
+, seen AS (SELECT dout AS k, count(*) AS m FROM cdeg WHERE dout > 0 GROUP BY 1)
+, pts AS (SELECT k, sum(m) OVER (ORDER BY k) AS upto, m, n, hi, (a + b) / 2 AS x FROM seen, st JOIN (SELECT grp AS g, a, b FROM halves WHERE i = 44) h ON h.g = st.grp)
+, law AS (SELECT *, list_sum(list_transform(range(1, k + 1), lambda j: pow(j, -x))) / list_sum(list_transform(range(1, hi + 1), lambda j: pow(j, -x))) AS l,
+  coalesce(list_sum(list_transform(range(1, k), lambda j: pow(j, -x))), 0) / list_sum(list_transform(range(1, hi + 1), lambda j: pow(j, -x))) AS l0 FROM pts)
+SELECT 'out' AS side, round(max(x), 6) AS alpha, round(max(greatest(abs(upto / n - l), abs((upto - m) / n - l0))), 6) AS distance FROM law"""
 category("b_obj_mult_alphas", lambda g: m.multiplicity_alphas(g, "obj"))
+ORACLES["b_obj_mult_alphas"] = f"WITH RECURSIVE {CATEGORY_SQL},{VIEWS_SQL}{power_sql(_MULT['obj'], 'm', 'p')}\nSELECT grp AS p, n, round(sum_log, 6) AS sum_log, lo, hi, alpha FROM alphas"
 category("b_mult_alpha_quantiles", m.multiplicity_alpha_quantiles)
+_MULTS = "SELECT 'obj ' || p AS grp, m FROM ({obj}) UNION ALL SELECT 'subj ' || p, m FROM ({subj})".format(**_MULT)
+ORACLES["b_mult_alpha_quantiles"] = f"WITH RECURSIVE {CATEGORY_SQL},{VIEWS_SQL}{power_sql(_MULTS, 'm', 'grp')}\n" + " UNION ALL ".join(
+    _quantiles_sql("alpha", f"(SELECT alpha FROM alphas WHERE grp LIKE '{s} %')", head=f"'{s}' AS side, ", ends=fits.ALPHA_ENDS) for s in ("obj", "subj"))
 
 # --- Block C ---------------------------------------------------------------
 
@@ -154,6 +179,7 @@ category("c_pair_ratios_categories", m.pair_ratios, _PAIR_SQL)
 star("c_cooc_spectrum", lambda g: m.cooccurrence_spectrum(g, "subj"))
 star("c_type_rel_spectrum", m.type_spectrum)
 star("c_class_size_powerlaw", m.class_size_powerlaw)
+ORACLES["c_class_size_powerlaw"] = f"WITH RECURSIVE {STAR_SQL},{VIEWS_SQL}{power_sql(f"SELECT 1 AS one, count(DISTINCT s) AS n FROM edges WHERE p = '{RDF_TYPE}' GROUP BY o", 'n', 'one')}\nSELECT n, lo, hi, alpha FROM alphas"
 
 # --- Block D ---------------------------------------------------------------
 
@@ -171,6 +197,8 @@ star("d_two_step_top20", m.two_step_top, f"SELECT * FROM ({_TWO}) ORDER BY n DES
 category("d_cs_freq_powerlaw", m.set_frequency_powerlaw)
 category("d_inv_cs_freq_powerlaw", lambda g: m.set_frequency_powerlaw(g, True))
 star("d_two_step_powerlaw", m.two_step_powerlaw)
+for _name, _head, _vals in (("d_cs_freq_powerlaw", CATEGORY_SQL, "SELECT 1 AS one, count(*) AS n FROM cs GROUP BY cs"), ("d_inv_cs_freq_powerlaw", CATEGORY_SQL, "SELECT 1 AS one, count(*) AS n FROM inv GROUP BY cs"), ("d_two_step_powerlaw", STAR_SQL, f"SELECT 1 AS one, n FROM ({_TWO})")):
+    ORACLES[_name] = f"WITH RECURSIVE {_head},{VIEWS_SQL}{power_sql(_vals, 'n', 'one', pin_low=False)}\nSELECT n, lo, hi, alpha FROM alphas"
 
 # --- Block E ---------------------------------------------------------------
 
@@ -214,8 +242,17 @@ _SETS5 = """
 , dg AS (SELECT vs, u, count(*) AS d FROM s5 JOIN num ON list_contains(vs, u) AND list_contains(vs, v) GROUP BY vs, u)
 SELECT ds, count(*) AS n FROM (SELECT vs, string_agg(d::VARCHAR, ',' ORDER BY d) AS ds FROM dg GROUP BY vs) GROUP BY ds"""
 add("e_graphlets5", lambda spark, d: motifs.graphlets(geography_graph(spark, d), 5), f"WITH {GEOGRAPHY_SQL},{VIEWS_SQL}{_ORIENTED}{_SETS5}")
-add("e_cycles6", lambda spark, d: motifs.cycles(geography_graph(spark, d), 6))
-add("e_stars_exact", lambda spark, d: motifs.stars(geography_graph(spark, d)))
+add("e_cycles6", lambda spark, d: motifs.cycles(geography_graph(spark, d), 6), f"""WITH {GEOGRAPHY_SQL},{VIEWS_SQL}{_ORIENTED}
+, c6 AS (SELECT a.u AS v1, a.v AS v2, b.v AS v3, c.v AS v4, d.v AS v5, e.v AS v6 FROM num a JOIN num b ON b.u = a.v AND b.v <> a.u JOIN num c ON c.u = b.v AND c.v NOT IN (a.u, a.v)
+  JOIN num d ON d.u = c.v AND d.v NOT IN (a.u, a.v, b.v) JOIN num e ON e.u = d.v AND e.v NOT IN (a.u, a.v, b.v, c.v) JOIN num f ON f.u = e.v AND f.v = a.u)
+SELECT count(*) // 12 AS cycles FROM c6 WHERE NOT EXISTS (SELECT 1 FROM num WHERE (u, v) IN ((v1, v3), (v1, v4), (v1, v5), (v2, v4), (v2, v5), (v2, v6), (v3, v5), (v3, v6), (v4, v6)))""")
+add("e_stars_exact", lambda spark, d: motifs.stars(geography_graph(spark, d)), f"""WITH RECURSIVE {GEOGRAPHY_SQL},{VIEWS_SQL}{_ORIENTED}
+, near AS (SELECT u, list(v) AS ns FROM num GROUP BY u)
+, grow(c, last, k, vs) AS (SELECT u, v, 1, [v] FROM num
+  UNION ALL SELECT g.c, n.v, g.k + 1, list_append(g.vs, n.v) FROM grow g JOIN num n ON n.u = g.c AND n.v > g.last JOIN near ON near.u = n.v WHERE g.k < 10 AND len(list_intersect(near.ns, g.vs)) = 0)
+SELECT z.k, coalesce(n, 0)::DOUBLE AS stars, TRUE AS exact FROM (SELECT k::BIGINT AS k FROM range(2, 11) t(k)) z LEFT JOIN (SELECT k, count(*) AS n FROM grow GROUP BY k) USING (k)""")
+# the whole graph: counted where its degrees allow, estimated where they do not
+category("e_stars", lambda g: motifs.stars(g).select("k", F.log("stars").alias("log_stars"), "exact"))
 _COLOUR = """
 , col AS (SELECT r, (1 << (('0x' || substr(md5('0:0:' || name), 1, 8))::BIGINT % 4))::BIGINT AS bit FROM rk)
 , p2 AS (SELECT n.v, a.bit | b.bit AS mask, count(*) AS n FROM num n JOIN col a ON a.r = n.u JOIN col b ON b.r = n.v AND a.bit & b.bit = 0 GROUP BY 1, 2)
@@ -224,7 +261,7 @@ _COLOUR = """
 SELECT 0::BIGINT AS colouring, sum(n)::DOUBLE AS total, round(sum(n)::DOUBLE / (24.0 / 256), 6) AS paths FROM p4"""
 oriented("e_color_coding_k4", lambda g: motifs.colourful_total(g, 4), _COLOUR.lstrip("\n"), category)
 ORACLES["e_color_coding_k4"] = ORACLES["e_color_coding_k4"].replace("\n, col AS", ", col AS")
-category("e_color_coding_sampled", lambda g: motifs.colour_coding(g, 4, samples=50, colourings=1))
+category("e_color_coding_sampled", lambda g: motifs.HybridCounter(sampled=motifs.SampledCounter(colourings=4)).count(g, 5))
 category("e_template_stats", lambda g: motifs.template_stats(m.set_frequencies(g)), """
 SELECT round(least(50.0, greatest(1.01, 1 + count(*) / (sum(ln(n)) - count(*) * ln(min(n))))), 6) AS zipf, round(-sum(x * ln(x)), 6) AS entropy
 FROM (SELECT n, n::DOUBLE / sum(n) OVER () AS x FROM (SELECT count(*)::DOUBLE AS n FROM cs GROUP BY cs))""")
@@ -242,20 +279,22 @@ for _source, _sql, _tag in ((category, CATEGORY_SQL, ""), (star, STAR_SQL, "_sta
     ORACLES[f"f_components{_tag}"] = f"WITH {_sql},{VIEWS_SQL},{_LABELS}\nSELECT name, c AS component FROM l{_ROUNDS}"
     _source(f"f_lcc_fraction{_tag}", paths.largest_fraction)
     ORACLES[f"f_lcc_fraction{_tag}"] = f"WITH {_sql},{VIEWS_SQL},{_LABELS}\nSELECT count(*) AS num_components, round(max(n)::DOUBLE / sum(n), 6) AS largest_component_fraction FROM (SELECT count(*) AS n FROM l{_ROUNDS} GROUP BY c)"
-_REACHED = """
-reach(a, b) AS (SELECT u, v FROM both_ways UNION SELECT r.a, e.v FROM reach r JOIN both_ways e ON r.b = e.u),
-comp AS (SELECT name, least(name, coalesce(min(b), name)) AS component FROM names LEFT JOIN reach ON a = name GROUP BY name)"""
 oriented("f_clustering", paths.clustering, "SELECT round(sum(2.0 * t / (d * (d - 1))) / (SELECT count(*) FROM names), 6) AS clustering_coefficient FROM (SELECT r, count(*) AS t FROM (SELECT x AS r FROM tri UNION ALL SELECT y FROM tri UNION ALL SELECT z FROM tri) GROUP BY r) JOIN rk USING (r)")
 star("f_assortativity", paths.assortativity, "SELECT round(corr(a.d, b.d), 6) AS degree_assortativity FROM both_ways JOIN deg a ON a.name = u JOIN deg b ON b.name = v")
-add("f_shortest_paths", lambda spark, d: paths.sampled_distances(geography_graph(spark, d), 20).drop("i"), f"""WITH RECURSIVE {GEOGRAPHY_SQL},{VIEWS_SQL},{_REACHED},
-big AS (SELECT component FROM comp GROUP BY component ORDER BY count(*) DESC, component LIMIT 1),
-inside AS (SELECT name FROM comp JOIN big USING (component) JOIN names USING (name) WHERE NOT lit),
+category("f_shortest_paths", lambda g: paths.sampled_distances(g, 100).drop("i"))
+ORACLES["f_shortest_paths"] = f"""WITH RECURSIVE {CATEGORY_SQL},{VIEWS_SQL},{_LABELS},
+big AS (SELECT c FROM l{_ROUNDS} GROUP BY c ORDER BY count(*) DESC, c LIMIT 1),
+inside AS (SELECT name FROM l{_ROUNDS} JOIN big USING (c) JOIN names USING (name) WHERE NOT lit),
 a AS (SELECT name AS src, row_number() OVER (ORDER BY md5('42:src:' || name), name) AS i FROM inside),
 b AS (SELECT name AS dst, row_number() OVER (ORDER BY md5('42:dst:' || name), name) AS i FROM inside),
-pairs AS (SELECT src, dst FROM a JOIN b USING (i) WHERE i <= 20),
+pairs AS (SELECT src, dst FROM a JOIN b USING (i) WHERE i <= 100),
 walk(src, name, dist) AS (SELECT DISTINCT src, src, 0 FROM pairs UNION SELECT w.src, e.v, w.dist + 1 FROM walk w JOIN both_ways e ON w.name = e.u WHERE w.dist < 12)
-SELECT p.src, p.dst, min(w.dist)::BIGINT AS dist FROM pairs p JOIN walk w ON w.src = p.src AND w.name = p.dst GROUP BY p.src, p.dst HAVING min(w.dist) > 0""")
-star("f_path_stats", lambda g: paths.path_stats(g, 10))
+SELECT p.src, p.dst, min(w.dist)::BIGINT AS dist FROM pairs p JOIN walk w ON w.src = p.src AND w.name = p.dst GROUP BY p.src, p.dst HAVING min(w.dist) > 0"""
+star("f_path_stats", paths.path_stats)
+category("f_path_stats_categories", paths.path_stats)
 category("f_bridges", paths.bridges)
+add("f_bridges_geography", lambda spark, d: paths.bridges(geography_graph(spark, d)), f"""WITH RECURSIVE {GEOGRAPHY_SQL},{VIEWS_SQL},
+walk(eu, ev, x) AS (SELECT u, v, u FROM und UNION SELECT w.eu, w.ev, e.v FROM walk w JOIN both_ways e ON e.u = w.x AND NOT (e.u = w.eu AND e.v = w.ev) AND NOT (e.u = w.ev AND e.v = w.eu))
+SELECT u, v FROM und WHERE (u, v, v) NOT IN (SELECT eu, ev, x FROM walk)""")
 
 from . import catalogue_synthesis  # noqa: E402, F401  registers the remaining queries

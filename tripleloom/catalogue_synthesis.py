@@ -12,11 +12,10 @@ from pyspark.sql import functions as F
 
 from .catalogue import ORACLES, VIEWS_SQL, add, category, star
 from .functions import fits
-from .functions.features import SHARES
 from .functions.uniform import uniform, uniform_sql
 from .generator import allocation, rewire, schema, wiring
 from .operators import analytics, compare, signature, transform
-from .sources.tables import CATEGORY_SQL, STAR_SQL, category_graph
+from .sources.tables import CATEGORY_SQL, STAR_SQL, category_graph, star_graph
 
 _CS = [f"cs_size_{s}" for s in fits.SUFFIXES]
 
@@ -64,8 +63,26 @@ SELECT graph, unit::BIGINT AS unit, CASE WHEN feature LIKE 'cs_size_q%' THEN 'cs
 add("t_ofat_plan", lambda s, d: transform.ofat_plan(s, SPECS), """
 SELECT * FROM (VALUES (0::BIGINT, NULL, NULL::DOUBLE, 'baseline'), (1, 'mean_degree', 0.5, 'mean_degree*0.5'), (2, 'mean_degree', 2.0, 'mean_degree*2'), (3, 'type_edge_frac', -0.3, 'type_edge_frac+-0.3'),
 (4, 'type_edge_frac', 0.9, 'type_edge_frac+0.9'), (5, 'cs_size_q50', 0.1, 'cs_size_q50*0.1'), (6, 'cs_size_q50', 1.5, 'cs_size_q50*1.5')) t(unit, name, level, label)""")
-add("t_perturb_joint", lambda s, d: transform.perturb(corpus(s, d), SPECS, 2, seed=1).select("graph", "copy", "feature", "value", "clamped"))
-add("t_realisable", lambda s, d: transform.realisable(_levels(s, d).select(F.concat_ws("#", "graph", "unit").alias("graph"), "feature", "value")))
+_KNOB = "graph || '#' || copy || ':' || CASE WHEN feature LIKE 'cs_size_q%' THEN 'cs_size_q50' ELSE feature END"
+_Z = f"sqrt(-2 * ln({uniform_sql(1, _KNOB + " || ':a'")})) * cos(2 * pi() * {uniform_sql(1, _KNOB + " || ':b'")})"
+add("t_perturb_joint", lambda s, d: transform.perturb(corpus(s, d), SPECS, 2, seed=1).select("graph", "copy", "feature", "value", "clamped"), f"""WITH {CORPUS_SQL},
+made AS (SELECT graph, copy, feature, value, feature IN ('mean_degree', 'type_edge_frac') OR feature LIKE 'cs_size_q%' AS moved,
+  CASE WHEN feature = 'type_edge_frac' THEN value + 0.1 * {_Z} ELSE value * exp(0.1 * {_Z}) END AS raw FROM corpus CROSS JOIN (VALUES (0), (1)) c(copy))
+SELECT graph, copy::BIGINT AS copy, feature, round(CASE WHEN moved THEN {_DOMAIN} ELSE value END, 6) + 0.0 AS value, moved AND raw < 0 AS clamped FROM made""")
+
+
+def _unrealisable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations whose sets are made more than their entities, whose degree vanishes or whose quantiles are turned round."""
+    c = corpus(spark, sf_dir)
+    more = c.filter("feature = 'num_entities'").select("graph", F.lit("num_distinct_cs").alias("feature"), (F.lit(2.0) * F.col("value") - 60).alias("value"))
+    x = c.withColumn("value", F.when((F.col("feature") == "mean_degree") & F.col("graph").endswith("1"), F.lit(0.0)).when((F.col("feature") == "cs_size_q25") & F.col("graph").endswith("2"), F.col("value") + 20).otherwise(F.col("value")))
+    return transform.realisable(x.unionByName(more))
+
+
+add("t_realisable", _unrealisable, f"""WITH {CORPUS_SQL}
+SELECT graph, 'num_distinct_cs' AS reason FROM corpus WHERE feature = 'num_entities' AND 2 * value - 60 > value
+UNION ALL SELECT graph, 'mean_degree' FROM corpus WHERE feature = 'num_entities' AND graph LIKE '%1'
+UNION ALL SELECT a.graph, 'cs_size' FROM corpus a JOIN corpus b USING (graph) WHERE a.feature = 'cs_size_q25' AND b.feature = 'cs_size_q50' AND graph LIKE '%2' AND a.value + 20 > b.value""")
 _DRAW = uniform_sql(7, "copy || ':' || feature")
 add("s_uniform_range_sampler", lambda s, d: transform.uniform_range(corpus(s, d), 3, seed=7).filter(F.col("value").isNotNull() & (F.col("feature") != "num_classes")), f"""WITH {CORPUS_SQL},
 lim AS (SELECT feature, min(value) AS a, max(value) AS b FROM corpus GROUP BY feature),
@@ -138,18 +155,19 @@ SELECT k, g::BIGINT AS g, (fl + (rn <= need)::INT)::BIGINT AS quota FROM r""")
 
 
 def _margins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A nations-by-segments table scaled to new margins; what it returns are the margins after the fit, rounded."""
+    """A nations-by-segments table scaled to new margins."""
     c = spark.read.parquet(f"{sf_dir}/customer.parquet").groupBy(F.col("c_nationkey").alias("row"), F.col("c_mktsegment").alias("col")).agg(F.count(F.lit(1)).alias("w"))
     rows = c.groupBy("row").agg(F.sum("w").cast("double").alias("rt"))
     cols = c.groupBy("col").agg((F.lit(1.0)).alias("ct"))
     total, k = rows.agg(F.sum("rt")).first()[0], cols.count()
     x = allocation.ipf(c, rows, cols.withColumn("ct", F.lit(total / k)), sweeps=6)
-    return x.groupBy("row").agg(F.round(F.sum("x"), 3).alias("total")).select(F.col("row").cast("string").alias("margin"), "total").union(x.groupBy("col").agg(F.round(F.sum("x"), 1)))
+    return x.select("row", "col", F.round("x", 4).alias("x"))
 
 
-add("g_ipf_margins", _margins, """
-SELECT c_nationkey::VARCHAR AS margin, count(*)::DOUBLE AS total FROM customer GROUP BY 1
-UNION ALL SELECT c_mktsegment, round((SELECT count(*) FROM customer)::DOUBLE / (SELECT count(DISTINCT c_mktsegment) FROM customer), 1) FROM customer GROUP BY 1""")
+_SWEEPS = "x0 AS (SELECT c_nationkey AS row, c_mktsegment AS col, count(*)::DOUBLE AS x, count(*)::DOUBLE AS w FROM customer GROUP BY 1, 2)" + "".join(
+    f""", y{i} AS (SELECT row, col, w, x / sum(x) OVER (PARTITION BY col) * (SELECT sum(w) / count(DISTINCT col) FROM x0) AS x FROM x{i})
+, x{i + 1} AS (SELECT row, col, w, x / sum(x) OVER (PARTITION BY row) * sum(w) OVER (PARTITION BY row) AS x FROM y{i})""" for i in range(6))
+add("g_ipf_margins", _margins, f"WITH {_SWEEPS}\nSELECT row::BIGINT AS row, col, round(x, 4) AS x FROM x6")
 
 
 def _class_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -189,12 +207,20 @@ UNION ALL SELECT component, size, 'largest' FROM b WHERE big""")
 
 
 def _degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = spark.read.parquet(f"{sf_dir}/customer.parquet").count()
-    x = schema.degree_sequence(spark, n, 2.0, 6.0, 60.0, 3.0, 0.8, seed=5)
-    return x.agg(F.count(F.lit(1)).alias("n"), F.sum("d").alias("total"), F.max("d").alias("top"), F.min("d").alias("least"))
+    """Customers' order counts brought to three a head by changing the lower ones."""
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet").select(F.col("c_custkey").alias("i"))
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy(F.col("o_custkey").alias("i")).agg(F.count(F.lit(1)).alias("d"))
+    x = c.join(o, "i", "left").select("i", F.coalesce("d", F.lit(1)).alias("d")).withColumn("body", F.col("d") <= 30)
+    return schema.repair_sum(x, 25 * c.count(), 5, "fix")
 
 
-add("g_degree_sequence", _degrees, "SELECT count(*) AS n, 3 * count(*) AS total, 60::BIGINT AS top, 0::BIGINT AS least FROM customer")
+add("g_degree_sequence", _degrees, f"""
+WITH x AS (SELECT c_custkey AS i, coalesce(n, 1) AS d FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey),
+y AS (SELECT *, d <= 30 AS body FROM x), t AS (SELECT 25 * count(*) - sum(d) AS miss, count(*) FILTER (body) AS n, sum(d - 1) FILTER (body) AS room FROM y),
+s AS (SELECT y.*, miss, CASE WHEN NOT body THEN 0.0 WHEN miss > 0 THEN miss::DOUBLE / n ELSE (d - 1) * least(-miss, room)::DOUBLE / greatest(1, room) END AS share FROM y, t),
+f AS (SELECT *, floor(share) AS base, body AND (miss > 0 OR d - 1 > floor(share)) AS able FROM s),
+r AS (SELECT *, CASE WHEN able THEN row_number() OVER (PARTITION BY able ORDER BY share - base DESC, {uniform_sql(5, "'fix:' || i || ':fix'")}, i) END AS rn, abs(miss) - sum(base) OVER () AS rest FROM f)
+SELECT i, (d + sign(miss) * (base + coalesce((rn <= rest)::INT, 0)))::BIGINT AS d FROM r""")
 
 TARGET = {
     "num_entities": 300, "num_relations": 6, "mean_degree": 4.0, "type_edge_frac": 0.1, "num_classes": 3, "num_distinct_cs": 20, "inv_num_distinct_cs": 15, "num_components": 3, "largest_component_fraction": 0.97,
@@ -204,6 +230,21 @@ TARGET = {
 }
 
 
+def _twin(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nation 0 against nation 1: distances of the set sizes, relative errors of the rest."""
+    rows = corpus(spark, sf_dir).filter(F.col("graph").isin("nation/0", "nation/1")).collect()  # eleven values each
+    values = {g: {r.feature: r.value for r in rows if r.graph == g} for g in ("nation/0", "nation/1")}
+    return compare.report(spark, values["nation/0"], values["nation/1"]).filter(F.col("error").isNotNull())
+
+
+add("x_distance_report", _twin, f"""WITH {CORPUS_SQL},
+u AS (SELECT {uniform_sql(0, "i")} AS u FROM range(4000) t(i)), a AS ({_interp_sql('nation/0')}), b AS ({_interp_sql('nation/1')}),
+d AS (SELECT avg(abs(a.x - b.x)) AS w1 FROM a JOIN b USING (r)), s AS (SELECT quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS iqr FROM a)
+SELECT 'd' AS block, 'cs_size' AS name, 'w1_iqr' AS kind, round(w1 / iqr, 6) AS error FROM d, s
+UNION ALL SELECT CASE feature WHEN 'degree_assortativity' THEN 'f' ELSE 'a' END, feature, 'scalar', round(abs(x.value - y.value) / greatest(abs(x.value), 1e-9), 6)
+FROM (SELECT * FROM corpus WHERE graph = 'nation/0') x JOIN (SELECT * FROM corpus WHERE graph = 'nation/1') y USING (feature) WHERE feature NOT LIKE 'cs_size%'""")
+
+
 def _generated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes of a graph made for a fixed target."""
     g = rewire.generate(spark, TARGET, seed=1, budget=200)
@@ -262,10 +303,23 @@ def _streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
 add("stream_daily_events", _streamed, "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 
 
+category("x_degree_summary", lambda g: analytics.degree_summary(g).select("side", "max_degree", "p90", F.array_join(F.col("top").cast("array<string>"), ",").alias("top")), """
+, d AS (SELECT 'out' AS side, dout AS d FROM cdeg UNION ALL SELECT 'in', din FROM cdeg)
+SELECT side, max(d)::BIGINT AS max_degree, round(quantile_cont(d::DOUBLE, 0.9), 6) AS p90, array_to_string(list_slice(list_reverse_sort(list(d)), 1, 10), ',') AS top FROM d GROUP BY side""".lstrip("\n"))
+ORACLES["x_degree_summary"] = ORACLES["x_degree_summary"].replace("\n, d AS", ", d AS")
+add("x_power_trend", lambda s, d: analytics.power_law_trend(s.read.parquet(f"{d}/lineitem.parquet"), "l_quantity", "l_extendedprice", ["l_returnflag"]), """
+SELECT l_returnflag, round(regr_slope(ln(l_extendedprice), ln(l_quantity)), 6) AS exponent, round(exp(regr_intercept(ln(l_extendedprice), ln(l_quantity))), 6) AS factor, count(*) AS n
+FROM lineitem WHERE l_quantity > 0 AND l_extendedprice > 0 GROUP BY l_returnflag""")
+add("x_inflation", lambda s, d: analytics.inflation(category_graph(s, d), star_graph(s, d)), f"""WITH {CATEGORY_SQL},{VIEWS_SQL},
+k AS (SELECT sum(n) / count(*) AS rho, avg((d > 1)::INT::DOUBLE) AS mut, sum(par)::DOUBLE / sum(d) AS par FROM (SELECT least(s, o), greatest(s, o), sum(n) AS n, count(*) AS d, sum((n > 1)::INT) AS par FROM (SELECT s, o, count(*) AS n FROM content GROUP BY s, o) GROUP BY 1, 2)),
+z AS (WITH {STAR_SQL},{VIEWS_SQL} SELECT sum(n) / count(*) AS rho, avg((d > 1)::INT::DOUBLE) AS mut, sum(par)::DOUBLE / sum(d) AS par FROM (SELECT least(s, o), greatest(s, o), sum(n) AS n, count(*) AS d, sum((n > 1)::INT) AS par FROM (SELECT s, o, count(*) AS n FROM content GROUP BY s, o) GROUP BY 1, 2))
+SELECT round(k.rho, 6) AS original, round(k.mut, 6) AS mutual_original, round(k.par, 6) AS parallel_original, round(z.rho, 6) AS synthetic, round(z.mut, 6) AS mutual_synthetic, round(z.par, 6) AS parallel_synthetic,
+  round(z.rho / k.rho, 6) AS inflation, round((z.rho - k.rho) / k.rho, 6) AS rho_gap FROM k, z""")
+
+
 def _whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks A to D of the category graph's signature as a feature table."""
     return signature.measure(category_graph(spark, sf_dir), ["a", "b", "c", "d"]).table(spark, "categories").filter(F.col("value").isNotNull()).drop("graph")
 
 
 add("signature_categories", _whole)
-del SHARES

@@ -21,6 +21,7 @@ def parser() -> argparse.ArgumentParser:
     g.add_argument("--seed", type=int, default=0)
     g.add_argument("--budget", type=int, default=50_000)
     g.add_argument("--chains", type=int, default=1)
+    g.add_argument("--measure", metavar="FILE", help="measure the graph that was made and write its signature")
     c = sub.add_parser("compare", help="compare two graphs or signatures")
     c.add_argument("target")
     c.add_argument("achieved")
@@ -60,6 +61,10 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         g = generate(spark, Signature.from_json(Path(args.signature).read_text()), args.seed, args.budget, args.chains)
         rdf.save(g.edges, args.out, "nt", mode="overwrite")
         print(f"{g.edges.count()} triples in {args.out}")
+        if args.measure:
+            from .operators import signature
+
+            Path(args.measure).write_text(signature.measure(g).to_json(args.out))
     elif args.command == "compare":
         from .operators import compare
 
@@ -67,6 +72,9 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         e = compare.relative_errors(a.table(spark), b.table(spark)).cache()
         e.orderBy("feature").show(200, False)
         print(compare.summary(e).first().asDict())
+        full = compare.report(spark, a, b).cache()
+        full.orderBy("block", "kind", "name").show(200, False)
+        full.groupBy("block", "kind").agg({"error": "median"}).orderBy("block", "kind").show()
     else:
         from . import dataset
         from .operators.signature import Signature

@@ -21,12 +21,14 @@ TERMS = ("triangle_count", "four_cycle_count", "diamond_count", "k4_count", "tai
 CYCLES = {"five_cycle_count": 5, "six_cycle_count": 6}
 #: Terms that are kept up to date only when a target asks for them.
 MORE = (*CYCLES, "clustering_coefficient", "degree_assortativity")
+#: Features that this stage reads.
+READS = dict.fromkeys((*TERMS, *MORE), "")
 
 
 class State:
     """An undirected simple graph under edge changes, with its triangles, 4-motifs and degree products."""
 
-    def __init__(self, pairs: Iterator[tuple], more: tuple[str, ...] = (), guard: int = 50):
+    def __init__(self, pairs: Iterator[tuple], more: tuple[str, ...] = (), guard: float = math.inf):
         self.near: dict = {}
         self.many: dict = {}
         self.counts: dict[str, float] = dict.fromkeys((*TERMS, *more), 0)
@@ -34,6 +36,7 @@ class State:
         self.local = "clustering_coefficient" in more
         self.mixing = "degree_assortativity" in more
         self.guard, self.corners, self.share = guard, {}, 0.0
+        self.passed_over = 0  # changes whose cycles were not counted
         pairs = list(pairs)
         # ends counted with repeats; a swap changes no vertex's number of ends
         self.ends: dict = {}
@@ -68,9 +71,11 @@ class State:
     def _rings(self, u, v, k: int) -> int:
         """What the edge u-v (absent now) would add to the induced k-cycles: those through it, less those it cuts.
 
-        Vertices beyond the degree guard stop the search, and the change counts as none.
+        Ends beyond a degree guard, if one is set, are passed over: the change counts
+        as none, and ``passed_over`` says how often.
         """
         if any(len(self.near[x]) > self.guard for x in (u, v)):
+            self.passed_over += 1
             return 0
         made = sum(1 for _ in self._paths(u, v, k - 2))
         cut = 0
@@ -198,7 +203,7 @@ def loss(counts: dict, target: dict, adaptive: bool = True, scale: float = 50.0)
     return sum(scale * x * x for x in e) if adaptive else sum(e)
 
 
-def anneal(edges: list[tuple], target: dict[str, float], budget: int, temperature: float = 0.05, cooling: float = 0.9995, seed: int = 0, log_every: int = 100) -> tuple[list[tuple], list[tuple]]:
+def anneal(edges: list[tuple], target: dict[str, float], budget: int, temperature: float = 0.05, cooling: float = 0.9995, seed: int = 0, guard: float = math.inf) -> tuple[list[tuple], list[tuple]]:
     """The best edges ``(s, p, o)`` seen in ``budget`` swaps of targets within a relation, and the log of the errors.
 
     A swap keeps every entity's degrees and relations; loops and repeats are
@@ -207,7 +212,7 @@ def anneal(edges: list[tuple], target: dict[str, float], budget: int, temperatur
     rng = random.Random(seed)
     edges = list(edges)
     goal = {t: float(target[t]) for t in (*TERMS, *MORE) if t in target and not math.isnan(target[t]) and (t not in MORE or target[t])}
-    state, have = State(((s, o) for s, _, o in edges), tuple(t for t in MORE if t in goal)), set(edges)
+    state, have = State(((s, o) for s, _, o in edges), tuple(t for t in MORE if t in goal), guard), set(edges)
     by: dict = {}
     place: dict = {}
     for k, (s, p, _) in enumerate(edges):
@@ -251,10 +256,12 @@ def anneal(edges: list[tuple], target: dict[str, float], budget: int, temperatur
     return kept, log
 
 
-def refine(g: Graph, target: dict[str, float], budget: int = 5000, chains: int = 1, temperature: float = 0.05, cooling: float = 0.9995, seed: int = 0, max_edges: int = 2_000_000) -> Graph:
+def refine(g: Graph, target: dict[str, float], budget: int = 5000, chains: int = 1, temperature: float = 0.05, cooling: float = 0.9995, seed: int = 0, max_edges: int = 2_000_000, guard: float = math.inf) -> Graph:
     """Rewire a graph's content edges; the chain with the smallest loss wins.
 
-    A chain holds the edges in one task, so graphs beyond ``max_edges`` raise.
+    A chain holds the edges in one task, so graphs beyond ``max_edges`` raise.  With
+    a ``guard``, five- and six-cycles at ends of a higher degree are not followed
+    while rewiring; the chains are compared, and the winner chosen, without it.
     """
     from ..plans.session import ship
 
@@ -271,7 +278,7 @@ def refine(g: Graph, target: dict[str, float], budget: int = 5000, chains: int =
     def run(key, pdf):
         import pandas as pd
 
-        kept, _ = anneal(sorted(zip(pdf.s, pdf.p, pdf.o, strict=True)), goal, budget, temperature, cooling, seed + int(key[0]))
+        kept, _ = anneal(sorted(zip(pdf.s, pdf.p, pdf.o, strict=True)), goal, budget, temperature, cooling, seed + int(key[0]), guard)
         e = loss(State(((s, o) for s, _, o in kept), tuple(t for t in MORE if t in goal)).counts, goal)
         return pd.DataFrame({"chain": int(key[0]), "loss": e, "s": [x[0] for x in kept], "p": [x[1] for x in kept], "o": [x[2] for x in kept]})
 

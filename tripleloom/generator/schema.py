@@ -10,12 +10,13 @@ import math
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fits import LEVELS, SUFFIXES
 from ..functions.uniform import uniform
 from ..operators.compare import inverse_power
+from ..operators.ranks import numbered
 
 #: Without these there is no graph to make.
 REQUIRED = (
@@ -24,6 +25,12 @@ REQUIRED = (
     + [f"{side}_degree_{x}" for side in ("out", "in") for x in ("alpha", "p90", "max")]
 )
 ZIPF, TAIL = 1.0, 0.1
+#: Features that this stage reads, and what is to be said about changing them.
+READS = {
+    "num_entities": "changes the size, and what grows with it does not follow", "mean_degree": "", "num_relations": "", "num_classes": "", "type_edge_frac": "",
+    **{f"rel_freq_logq_{s}": "" for s in SUFFIXES}, **{f"recip_symmetric_frac_bin{i}": "" for i in range(6)}, "recip_symmetric_value": "",
+    "type_rel_spectrum_rate": "", "type_rel_spectrum_scale": "a common factor of the spectrum has no effect",
+}
 
 
 def check_target(values: dict[str, float]) -> None:
@@ -131,15 +138,15 @@ def power_sample(u: F.Column, alpha: float, lo: float, hi: float) -> F.Column:
 def largest_remainder(df: DataFrame, weight: str, total: F.Column | int, by: list[str], key: str) -> DataFrame:
     """``df`` with ``quota``: whole numbers in proportion to the weight that sum to ``total`` in each group.
 
-    Floors first, then one more for the largest fractional parts, ties by key.  One
-    window per group; groups are relations or templates, never all rows.
+    Floors first, then one more for the largest fractional parts, ties by key.
+    Sums are aggregates and places come from :func:`numbered`, so a group of any size is spread.
     """
-    w = Window.partitionBy(*by)
     total = F.lit(total) if isinstance(total, int) else total
-    x = df.withColumn("_s", F.col(weight) / F.sum(weight).over(w) * total).withColumn("_f", F.floor(F.round("_s", 9)))
-    x = x.withColumn("_r", F.row_number().over(w.orderBy(F.desc(F.round(F.col("_s") - F.col("_f"), 9)), key)))
-    need = total - F.sum("_f").over(w)
-    return x.withColumn("quota", (F.col("_f") + (F.col("_r") <= need).cast("int")).cast("long")).drop("_s", "_f", "_r")
+    x = df.join(df.groupBy(*by).agg(F.sum(weight).alias("_w")), by)
+    x = x.withColumn("_s", F.col(weight) / F.col("_w") * total).withColumn("_f", F.floor(F.round("_s", 9))).withColumn("_d", F.round(F.col("_s") - F.col("_f"), 9))
+    x = numbered(x, [F.desc("_d"), key], by)
+    x = x.join(x.groupBy(*by).agg(F.sum("_f").alias("_g")), by)
+    return x.withColumn("quota", (F.col("_f") + (F.col("rank") <= total - F.col("_g")).cast("int")).cast("long")).drop("_w", "_s", "_f", "_d", "_g", "rank")
 
 
 def degree_sequence(spark: SparkSession, n: int, alpha: float, p90: float, top: float, mean: float, active: float = 1.0, seed: int = 0, tag: str = "out", partitions: int | None = None) -> DataFrame:

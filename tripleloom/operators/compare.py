@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import features
 from ..functions.fits import LEVELS, SUFFIXES
 from ..functions.uniform import uniform
 
@@ -93,9 +96,44 @@ def normalised_wasserstein(target: DataFrame, achieved: DataFrame, kind: str, se
 
 
 def error_split(errors: DataFrame, covered: DataFrame, distances: DataFrame) -> DataFrame:
-    """``(block, kind, error)``: distances of distributions, and the errors of the features that no distribution covers."""
-    scalar = errors.join(covered.select("feature"), "feature", "left_anti").select("block", F.lit("scalar").alias("kind"), F.col("relative_error").alias("error"))
-    return distances.select("block", F.lit("w1_iqr").alias("kind"), F.col("w1_iqr").alias("error")).union(scalar)
+    """``(block, name, kind, error)``: distances of distributions, and the errors of the features that no distribution covers."""
+    scalar = errors.join(covered.select("feature"), "feature", "left_anti").select("block", F.col("feature").alias("name"), F.lit("scalar").alias("kind"), F.col("relative_error").alias("error"))
+    return distances.select("block", "name", F.lit("w1_iqr").alias("kind"), F.col("w1_iqr").alias("error")).union(scalar)
+
+
+def distributions(values: dict[str, float]) -> list[tuple[str, str, str, dict[str, float], list[str]]]:
+    """``(block, name, kind, fit, features)`` of the distributions that a signature describes; fits with something unmeasured are left out."""
+    out = []
+    for first, names in features.QUANTILES.items():
+        out.append((features.BLOCK_OF[first], first[: -len("_q00")], "quantile", dict(zip(SUFFIXES, names, strict=True))))
+    for side in ("subj", "obj"):
+        names = [f"{side}_row_entropy_{s}" for s in SUFFIXES]
+        out.append(("c", f"{side}_row_entropy", "quantile", dict(zip(SUFFIXES, names, strict=True))))
+    for block, name, lo, hi in (("b", "out_degree", "out_degree_xmin", "out_degree_max"), ("b", "in_degree", "in_degree_xmin", "in_degree_max"), ("c", "class_size", "class_size_xmin", "class_size_max"), *(("d", x, f"{x}_vmin", f"{x}_vmax") for x in ("cs_freq", "inv_cs_freq", "two_step"))):
+        out.append((block, name, "trunc_powerlaw", {"alpha": f"{name}_alpha", "lo": lo, "hi": hi}))
+    for name in ("subj_cooc", "obj_cooc", "type_rel_spectrum", "per_type_entropy"):
+        out.append(("c", name, "exp_decay", {"rate": f"{name}_rate", "scale": f"{name}_scale"}))
+    return [(b, n, k, {p: values[f] for p, f in fit.items()}, list(fit.values())) for b, n, k, fit in out if not any(math.isnan(values.get(f, math.nan)) for f in fit.values())]
+
+
+def report(spark: SparkSession, target: dict[str, float], achieved: dict[str, float], seed: int = 0) -> DataFrame:
+    """``(block, name, kind, error)``: distances of the distributions that both signatures describe, over the target's spread, and relative errors of the features that none of them covers."""
+    a, b = ({(blk, n, k): (fit, names) for blk, n, k, fit, names in distributions(v)} for v in (target, achieved))
+    both = sorted(set(a) & set(b))
+    found, covered = None, []
+    for kind in sorted({k for _, _, k in both}):
+        mine = [x for x in both if x[2] == kind]
+        params = list(a[mine[0]][0])
+        sides = [spark.createDataFrame([(n, *(float(side[blk, n, kind][0][p]) for p in params)) for blk, n, _ in mine], "name string, " + ", ".join(f"`{p}` double" for p in params)) for side in (a, b)]
+        d = normalised_wasserstein(*sides, kind, seed)
+        blocks = spark.createDataFrame([(n, blk) for blk, n, _ in mine], "name string, block string")
+        d = d.join(F.broadcast(blocks), "name").select("block", "name", "w1_iqr")
+        found = d if found is None else found.union(d)
+        covered += [f for x in mine for f in a[x][1]]
+    rows = [(features.BLOCK_OF[f], f, None if math.isnan(t := target.get(f, math.nan)) else float(t), None if math.isnan(x := achieved.get(f, math.nan)) else float(x)) for f in features.ORDER]
+    e = spark.createDataFrame(rows, "block string, feature string, target double, achieved double").withColumn("relative_error", F.abs(F.col("target") - F.col("achieved")) / F.greatest(F.abs("target"), F.lit(1e-9)))
+    found = found if found is not None else spark.createDataFrame([], "block string, name string, w1_iqr double")
+    return error_split(e, spark.createDataFrame([(f,) for f in covered], "feature string"), found)
 
 
 def error_pool(errors: DataFrame) -> DataFrame:

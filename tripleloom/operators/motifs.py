@@ -9,15 +9,20 @@ neither partitioning nor what ran before.
 
 from __future__ import annotations
 
+from abc import ABC, abstractmethod
 from itertools import combinations
 from math import comb, factorial
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fits
 from ..plans.graph import Graph
 from .components import checkpointed
+from .ranks import numbered
+
+#: Buckets that the running sum of a colouring's counts is cut into.
+BUCKETS = 4096
 
 _zero = lambda c: F.coalesce(c, F.lit(0)).cast("long")
 _pairs = lambda n: (n * (n - 1) / 2).cast("long")
@@ -119,12 +124,42 @@ def independent_sets(edges: list[tuple[int, int]], free: int, largest: int) -> l
     return out + [0] * (largest + 1 - len(out))
 
 
-def stars(g: Graph, largest: int = 10, guard: int = 60) -> DataFrame:
+def estimated_sets(edges: list[tuple[int, int]], free: int, largest: int, draws: int = 400, seed: int = 0) -> list[float]:
+    """Unbiased estimates of what :func:`independent_sets` counts.
+
+    A draw adds one vertex after the other, each from those that no earlier one
+    touches; the product of their numbers, over k!, is in the mean the number of sets of k.
+    """
+    import random
+
+    near: dict[int, set[int]] = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    rng, total = random.Random(seed), [0.0] * (largest + 1)
+    for _ in range(draws):
+        open_, rest, w = sorted(near), free, 1.0
+        for k in range(largest + 1):
+            total[k] += w
+            n = len(open_) + rest
+            if not n:
+                break
+            w *= n / (k + 1)
+            i = rng.randrange(n)
+            if i < len(open_):
+                gone = near[open_[i]] | {open_[i]}
+                open_ = [v for v in open_ if v not in gone]
+            else:
+                rest -= 1
+    return [t / draws for t in total]
+
+
+def stars(g: Graph, largest: int = 10, guard: int = 60, draws: int = 400) -> DataFrame:
     """``(k, stars, exact)``: induced stars with k leaves.
 
-    A centre in triangles counts the independent sets among its neighbours.  A
-    centre with more than ``guard`` neighbours in triangles is left out, and
-    ``exact`` then is false.
+    A centre in triangles counts the independent sets among its neighbours.  For
+    a centre with more than ``guard`` neighbours in triangles, whose sets can be
+    exponentially many, their number is estimated from ``draws`` draws, and ``exact`` is false.
     """
     from ..plans.session import ship
 
@@ -132,22 +167,20 @@ def stars(g: Graph, largest: int = 10, guard: int = 60) -> DataFrame:
     t = triangles(g)
     corner = F.explode(F.array(*(F.struct(F.col(c).alias("r"), F.col(a).alias("p"), F.col(b).alias("q")) for c, a, b in (("x", "y", "z"), ("y", "x", "z"), ("z", "x", "y"))))).alias("e")
     inner = t.select(corner).groupBy("e.r").agg(F.count(F.lit(1)).alias("m"), F.array_size(F.array_union(F.collect_set("e.p"), F.collect_set("e.q"))).alias("core"), F.collect_list(F.struct("e.p", "e.q")).alias("edges"))
-    inner = inner.join(g.ranked.select("r", "d"), "r").withColumn("edges", F.when(F.col("core") <= guard, F.col("edges")))
+    inner = inner.join(g.ranked.select("r", "d"), "r")
 
     def run(batches):
         import pandas as pd
 
         for b in batches:
             rows = []
-            for edges, core, d in zip(b["edges"], b["core"], b["d"], strict=True):
-                if edges is None:
-                    rows += [(k, 0.0, False) for k in range(2, largest + 1)]
-                else:
-                    n = independent_sets([(e["p"], e["q"]) for e in edges], int(d - core), largest)
-                    rows += [(k, float(n[k]), True) for k in range(2, largest + 1)]
+            for r, edges, core, d in zip(b["r"], b["edges"], b["core"], b["d"], strict=True):
+                pairs, exact = [(e["p"], e["q"]) for e in edges], core <= guard
+                n = independent_sets(pairs, int(d - core), largest) if exact else estimated_sets(sorted(pairs), int(d - core), largest, draws, int(r))
+                rows += [(k, float(n[k]), exact) for k in range(2, largest + 1)]
             yield pd.DataFrame(rows, columns=["k", "stars", "exact"])
 
-    busy = inner.select("edges", "core", "d").mapInPandas(run, "k int, stars double, exact boolean")
+    busy = inner.select("r", "edges", "core", "d").mapInPandas(run, "k int, stars double, exact boolean")
     calm = stars_triangle_free(g, largest).withColumn("exact", F.lit(True))
     return calm.unionByName(busy).groupBy("k").agg(F.sum("stars").alias("stars"), F.min("exact").alias("exact"))
 
@@ -231,7 +264,7 @@ def colour_coding(g: Graph, k: int, samples: int = 1000, colourings: int = 4, se
     """``(ds, estimate, ham_path_weight)``: graphlets of k vertices by their sorted degrees, estimated.
 
     In each colouring ``samples`` colourful paths are drawn uniformly by walking
-    back through the counts; a graphlet's share, scaled by the total, the chance of
+    back through the counts (a draw is a place on the running sum of the counts, found by a join on ranges); a graphlet's share, scaled by the total, the chance of
     being colourful and its number of spanning paths, estimates its count.  For
     graphlets whose spanning paths are not tabled the weight stays undivided, as
     ``ham_path_weight`` says.  ``diamond_paths`` of 8 repeats the published, biased numbers.
@@ -239,17 +272,26 @@ def colour_coding(g: Graph, k: int, samples: int = 1000, colourings: int = 4, se
     levels, col = path_counts(g, k, colourings, seed)
     total = levels[-1].groupBy("c").agg(F.sum("n").alias("t"))
     spark = g.edges.sparkSession
-    ids = spark.range(samples).select(F.col("id").alias("sid"))
-    # an exponential race: the smallest -ln(u)/weight wins with probability in proportion to the weight
-    race = lambda step, *key: -F.log(_hash01(seed, step, *map(F.col, key))) / F.col("n")
-    ends = levels[-1].crossJoin(F.broadcast(ids))
-    walk = ends.groupBy("c", "sid").agg(F.min_by(F.struct("v", "mask"), race("end", "c", "sid", "v", "mask")).alias("x")).select("c", "sid", "x.v", "x.mask", F.array("x.v").alias("vs"))
+    # draws and running sums meet by the bucket of the sum that they lie in
+    place = lambda step: _hash01(seed, step, F.col("c"), F.col("sid"))
+    bucket = lambda x: F.least(F.floor(x * BUCKETS), F.lit(BUCKETS - 1))
+    draws = spark.range(samples * colourings).select((F.col("id") % colourings).cast("int").alias("c"), F.floor(F.col("id") / colourings).alias("sid"))
+    draws = draws.withColumn("y", place("end")).withColumn("bucket", bucket(F.col("y")))
+    sums = numbered(levels[-1], ["v", "mask"], ["c"], F.col("n")).join(F.broadcast(total), "c")
+    sums = sums.withColumn("lo", F.col("before") / F.col("t")).withColumn("hi", (F.col("before") + F.col("n")) / F.col("t"))
+    sums = sums.select("c", "v", "mask", "lo", "hi", F.explode(F.sequence(bucket(F.col("lo")), bucket(F.col("hi")))).alias("bucket"))
+    walk = draws.join(sums, ["c", "bucket"]).filter("lo <= y and y < hi").select("c", "sid", "v", "mask", F.array("v").alias("vs"))
     near = g.numbered
     for i in range(k - 2, -1, -1):
         rest = walk.join(col.select("c", F.col("r").alias("v"), "bit"), ["c", "v"]).withColumn("mask", F.col("mask").bitwiseXOR(F.col("bit"))).drop("bit")
-        cand = rest.withColumnRenamed("v", "w").join(near.select(F.col("u").alias("w"), "v"), "w").join(levels[i], ["c", "v", "mask"])
-        pick = F.min_by(F.struct("v", "mask", "vs"), race(i, "c", "sid", "v")).alias("x")
-        walk = cand.groupBy("c", "sid").agg(pick).select("c", "sid", "x.v", "x.mask", F.array_append("x.vs", F.col("x.v")).alias("vs"))
+        rest = checkpointed(rest.withColumnRenamed("v", "w").withColumn("y", place(i)))
+        # the ways back from each place that a walk stands at, once however many stand there
+        state = ["c", "w", "mask"]
+        ways = rest.select(*state).distinct().join(near.select(F.col("u").alias("w"), "v"), "w").join(levels[i], ["c", "v", "mask"])
+        by = Window.partitionBy(*state)
+        ways = ways.withColumn("t", F.sum("n").over(by)).withColumn("hi", F.sum("n").over(by.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)))
+        ways = ways.select(*state, "v", ((F.col("hi") - F.col("n")) / F.col("t")).alias("lo"), (F.col("hi") / F.col("t")).alias("hi"))
+        walk = rest.join(ways, state).filter("lo <= y and y < hi").select("c", "sid", "v", "mask", F.array_append("vs", F.col("v")).alias("vs"))
     walk = checkpointed(walk.select("c", "sid", "vs"))
     drawn = walk.groupBy("c").agg(F.count(F.lit(1)).alias("drawn"))
     kinds = _degree_sequences(g, walk, k, ["c", "sid", "vs"]).groupBy("c", "ds").agg(F.count(F.lit(1)).alias("m"))
@@ -271,8 +313,12 @@ def colour_coding_stars(g: Graph, k: int, samples: int = 1000, colourings: int =
     by_colour = checkpointed(near.groupBy("c", "u", "leaf").agg(F.count(F.lit(1)).alias("m")))
     centre = checkpointed(by_colour.groupBy("c", "u").agg(F.count(F.lit(1)).alias("colours"), F.exp(F.sum(F.log(F.col("m").cast("double")))).alias("n")).filter(F.col("colours") == k))
     total = centre.groupBy("c").agg(F.sum("n").alias("t"))
-    ids = g.edges.sparkSession.range(samples).select(F.col("id").alias("sid"))
-    drawn = centre.crossJoin(F.broadcast(ids)).groupBy("c", "sid").agg(F.min_by("u", -F.log(_hash01(seed, "star", F.col("c"), F.col("sid"), F.col("u"))) / F.col("n")).alias("u"))
+    bucket = lambda x: F.least(F.floor(x * BUCKETS), F.lit(BUCKETS - 1))
+    draws = g.edges.sparkSession.range(samples * colourings).select((F.col("id") % colourings).cast("int").alias("c"), F.floor(F.col("id") / colourings).alias("sid"))
+    draws = draws.withColumn("y", _hash01(seed, "star", F.col("c"), F.col("sid"))).withColumn("bucket", bucket(F.col("y")))
+    sums = numbered(centre, ["u"], ["c"], F.col("n")).join(F.broadcast(total), "c")
+    sums = sums.select("c", "u", (F.col("before") / F.col("t")).alias("lo"), ((F.col("before") + F.col("n")) / F.col("t")).alias("hi"))
+    drawn = draws.join(sums.withColumn("bucket", F.explode(F.sequence(bucket(F.col("lo")), bucket(F.col("hi"))))), ["c", "bucket"]).filter("lo <= y and y < hi").select("c", "sid", "u")
     leaf = near.join(drawn, ["c", "u"]).groupBy("c", "sid", "leaf").agg(F.min_by("v", _hash01(seed, "leaf", F.col("c"), F.col("sid"), F.col("v"))).alias("v"))
     leaves = checkpointed(leaf.groupBy("c", "sid").agg(F.collect_list("v").alias("vs")))
     pairs = leaves.select("c", "sid", F.explode("vs").alias("a"), "vs").select("c", "sid", "a", F.explode("vs").alias("b")).filter("a < b").join(g.oriented, ["a", "b"]).select("c", "sid").distinct()
@@ -282,6 +328,46 @@ def colour_coding_stars(g: Graph, k: int, samples: int = 1000, colourings: int =
     return total.join(share, "c").agg((F.coalesce(F.sum(F.col("t") * F.col("good")), F.lit(0.0)) / p / colourings).alias("estimate")).select(F.lit(k).alias("k"), "estimate")
 
 
+class Counter(ABC):
+    """A way to count the graphlets of k vertices: ``(ds, n, exact)``."""
+
+    @abstractmethod
+    def count(self, g: Graph, k: int) -> DataFrame: ...
+
+
+class ExactCounter(Counter):
+    """Enumeration; a graph above the degree guard raises."""
+
+    def __init__(self, max_degree: int = 50):
+        self.max_degree = max_degree
+
+    def count(self, g: Graph, k: int) -> DataFrame:
+        return graphlets(g, k, self.max_degree).select("ds", F.col("n").cast("double").alias("n"), F.lit(True).alias("exact"))
+
+
+class SampledCounter(Counter):
+    """Colour coding; with ``adaptive`` the number of draws follows the graph's size."""
+
+    def __init__(self, samples: int = 100_000, colourings: int = 16, seed: int = 0, adaptive: bool = False):
+        self.samples, self.colourings, self.seed, self.adaptive = samples, colourings, seed, adaptive
+
+    def count(self, g: Graph, k: int) -> DataFrame:
+        samples = adaptive_samples(self.samples, g.ranked.count()) if self.adaptive else self.samples
+        x = colour_coding(g, k, samples, self.colourings, self.seed)
+        return x.select("ds", F.round("estimate").alias("n"), F.lit(False).alias("exact")).filter("n > 0")
+
+
+class HybridCounter(Counter):
+    """Enumeration up to ``exact_up_to`` vertices under the guard, colour coding else."""
+
+    def __init__(self, max_degree: int = 50, exact_up_to: int = 6, sampled: SampledCounter | None = None):
+        self.exact, self.exact_up_to, self.sampled = ExactCounter(max_degree), exact_up_to, sampled or SampledCounter()
+
+    def count(self, g: Graph, k: int) -> DataFrame:
+        top = g.degrees.agg(F.max("d")).first()[0] or 0
+        return self.exact.count(g, k) if k <= self.exact_up_to and top <= self.exact.max_degree else self.sampled.count(g, k)
+
+
 def adaptive_samples(base: int, vertices: int) -> int:
     """Number of draws for a graph: twenty per vertex, at least 500, at most five times the base."""
     return max(500, min(20 * vertices, 5 * base))
@@ -289,7 +375,6 @@ def adaptive_samples(base: int, vertices: int) -> int:
 
 def template_stats(histogram: DataFrame, count: str = "n") -> DataFrame:
     """``(zipf, entropy)`` of the counts of types."""
-    from pyspark.sql import Window
-
-    x = histogram.select(F.col(count).cast("double").alias("n")).withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy()))
+    x = histogram.select(F.col(count).cast("double").alias("n"))
+    x = x.join(F.broadcast(x.agg(F.sum("n").alias("all"))), F.lit(True)).withColumn("share", F.col("n") / F.col("all"))
     return x.agg(fits.zipf_mle(F.col("n")).alias("zipf"), fits.entropy(F.col("share")).alias("entropy"))

@@ -72,13 +72,36 @@ def distances(g: Graph, sources: DataFrame) -> DataFrame:
 
 
 def sampled_distances(g: Graph, n: int = 1000, seed: int = 42) -> DataFrame:
-    """``(i, src, dst, dist)`` of drawn pairs of non-literals in the largest component; equal ends are left out."""
+    """``(i, src, dst, dist)`` of drawn pairs of non-literals in the largest component; equal ends are left out.
+
+    All pairs are searched at once: a vertex holds one bit per pair, in words of
+    64, and a round sends the new bits along all edges and joins them by OR.  A
+    round's work is the edges, whatever the number of pairs; it ends when every
+    target is reached.
+    """
     comp = checkpointed(components(g))
     big = comp.groupBy("component").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "component").limit(1)
     inside = comp.join(F.broadcast(big), "component").select("name").join(g.names.filter(~F.col("is_literal")).select("name"), "name")
-    pairs = checkpointed(draw_pairs(inside, n, seed))
-    d = distances(g, pairs).join(F.broadcast(pairs.select("src").distinct()), "src")
-    return pairs.join(d.withColumnRenamed("name", "dst"), ["src", "dst"]).filter("dist > 0").select("i", "src", "dst", "dist")
+    at = g.ranked.select("name", "r")
+    pairs = draw_pairs(inside, n, seed).filter("src <> dst").join(at.toDF("src", "a"), "src").join(at.toDF("dst", "b"), "dst")
+    pairs = checkpointed(pairs.withColumn("word", F.floor((F.col("i") - 1) / 64).cast("int")).withColumn("bit", F.expr("shiftleft(1L, cast((i - 1) % 64 as int))")))
+    left, words = pairs.count(), [f"w{k}" for k in range(-(-n // 64))]
+    new = checkpointed(pairs.groupBy(F.col("a").alias("v")).agg(*(F.bit_or(F.when(F.col("word") == k, F.col("bit")).otherwise(F.lit(0).cast("long"))).alias(w) for k, w in enumerate(words))))
+    seen, found = new, pairs.select("i", "src", "dst", F.lit(0).alias("dist")).limit(0)
+    for d in count(1):
+        if not left:
+            break
+        step = new.withColumnRenamed("v", "u").join(g.numbered, "u").groupBy("v").agg(*(F.bit_or(w).alias(w) for w in words))
+        old = seen.select("v", *(F.col(w).alias(f"s{w}") for w in words))
+        fresh = step.join(old, "v", "left").select("v", *(F.col(w).bitwiseAND(F.bitwise_not(F.coalesce(f"s{w}", F.lit(0).cast("long")))).alias(w) for w in words))
+        new = checkpointed(fresh.filter(" OR ".join(f"{w} <> 0" for w in words)))
+        if new.isEmpty():
+            break
+        mine = F.element_at(F.array(*words), F.col("word") + 1)
+        hit = checkpointed(pairs.join(new, pairs.b == new.v).filter(mine.bitwiseAND(F.col("bit")) != 0).select("i", "src", "dst", F.lit(d).alias("dist")))
+        left, found = left - hit.count(), found.union(hit)
+        seen = checkpointed(seen.union(new).groupBy("v").agg(*(F.bit_or(w).alias(w) for w in words)))
+    return found
 
 
 def path_stats(g: Graph, n: int = 1000, seed: int = 42) -> DataFrame:
@@ -87,62 +110,39 @@ def path_stats(g: Graph, n: int = 1000, seed: int = 42) -> DataFrame:
     return sampled_distances(g, n, seed).agg(F.max(x).alias("shortest_path_max"), F.avg(x).alias("shortest_path_mean"), F.var_pop(x).alias("shortest_path_var"))
 
 
-def bridges(g: Graph) -> DataFrame:
+def bridges(g: Graph, seed: int = 0) -> DataFrame:
     """``(u, v)``: edges whose loss parts a component.
 
-    A depth-first search is sequential, so each component that is not a tree goes
-    to one task, after vertices of degree one (their edges are bridges) have been
-    peeled off in distributed rounds; what is left is the 2-core.
+    A forest is grown from the components' first vertices, a level a round.  Every edge
+    outside the forest gets a random number of 64 bits, which its two ends carry;
+    going up level by level, a vertex passes the exclusive or of all below it to its
+    parent.  What arrives over a forest edge is then the exclusive or of the edges
+    that go round it: zero where there is none.  A false bridge has a chance of
+    2^-64 an edge.
     """
-    from ..plans.session import ship
-
-    ship(g.edges.sparkSession)
-    e, found = checkpointed(g.undirected), None
-    while True:
-        ends = e.select(F.explode(F.array("u", "v")).alias("x")).groupBy("x").agg(F.count(F.lit(1)).alias("d")).filter("d = 1").select("x")
-        leaf = checkpointed(e.join(ends, e.u == ends.x, "left_semi").union(e.join(ends, e.v == ends.x, "left_semi")).distinct())
-        if leaf.isEmpty():
+    e = checkpointed(g.undirected)
+    near = checkpointed(e.union(e.select("v", "u")))
+    seen = checkpointed(connected_components(e).select(F.col("component").alias("name")).distinct().select("name", F.lit(None).cast("string").alias("up"), F.lit(0).alias("depth")))
+    new = seen
+    for d in count(1):
+        step = new.select(F.col("name").alias("u")).join(near, "u").groupBy(F.col("v").alias("name")).agg(F.min("u").alias("up"))
+        new = checkpointed(step.join(seen.select("name"), "name", "left_anti").withColumn("depth", F.lit(d)))
+        if new.isEmpty():
             break
-        found = leaf if found is None else found.union(leaf)
-        e = checkpointed(e.join(leaf, ["u", "v"], "left_anti"))
-    core = e.join(connected_components(e).toDF("u", "c"), "u")
-
-    def run(pdf):
-        import pandas as pd
-
-        return pd.DataFrame(cut_edges(list(zip(pdf.u, pdf.v, strict=True))), columns=["u", "v"])
-
-    rest = core.groupBy("c").applyInPandas(run, "u string, v string")
-    return rest if found is None else found.union(rest)
-
-
-def cut_edges(edges: list[tuple]) -> list[tuple]:
-    """Bridges of a simple graph, by low links, without recursion."""
-    near: dict = {}
-    for u, v in edges:
-        near.setdefault(u, []).append(v)
-        near.setdefault(v, []).append(u)
-    order: dict = {}
-    low: dict = {}
-    out = []
-    for root in near:
-        if root in order:
-            continue
-        order[root] = low[root] = len(order)
-        stack = [(root, None, iter(near[root]))]
-        while stack:
-            v, up, rest = stack[-1]
-            for w in rest:
-                if w not in order:
-                    order[w] = low[w] = len(order)
-                    stack.append((w, v, iter(near[w])))
-                    break
-                if w != up:
-                    low[v] = min(low[v], order[w])
-            else:
-                stack.pop()
-                if up is not None:
-                    low[up] = min(low[up], low[v])
-                    if low[v] > order[up]:
-                        out.append((min(v, up), max(v, up)))
+        seen = checkpointed(seen.union(new))
+    tree = seen.filter("up is not null").select(F.least("name", "up").alias("u"), F.greatest("name", "up").alias("v"))
+    rest = e.join(tree, ["u", "v"], "left_anti").withColumn("x", F.xxhash64(F.lit(seed), "u", "v"))
+    own = rest.select(F.col("u").alias("name"), "x").union(rest.select("v", "x")).groupBy("name").agg(F.bit_xor("x").alias("x"))
+    levels = checkpointed(seen.join(own, "name", "left").select("name", "up", "depth", F.coalesce("x", F.lit(0).cast("long")).alias("x")))
+    found, below = [], None
+    for k in range(d - 1, 0, -1):
+        at = levels.filter(F.col("depth") == k).select("name", "up", "x")
+        if below is not None:
+            at = at.join(below, "name", "left").select("name", "up", F.col("x").bitwiseXOR(F.coalesce("y", F.lit(0).cast("long"))).alias("x"))
+        at = checkpointed(at)
+        found.append(at.filter("x = 0").select(F.least("name", "up").alias("u"), F.greatest("name", "up").alias("v")))
+        below = at.groupBy(F.col("up").alias("name")).agg(F.bit_xor("x").alias("y"))
+    out = e.limit(0)
+    for f in found:
+        out = out.union(f)
     return out

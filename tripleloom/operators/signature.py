@@ -114,22 +114,24 @@ def _range(prefix: str, fit: dict) -> dict:
 
 
 class MotifBlock(Block):
-    """Exact up to four vertices; five and six exactly under the degree guard, else by colour coding.
+    """Exact up to four vertices; five and six exactly under the degree guard, else by colour coding, as seven to ``largest`` always.
 
-    ``largest`` bounds the sizes whose templates are estimated, as their cost grows as 2**k.
+    Sizes above six are left out where vertices x 2**k x k x 4 bytes are more than ``memory``.
+    ``estimated`` names the features that are estimates after a measurement.
     """
 
     letter = "e"
 
-    def __init__(self, largest: int = 6, samples: int = 1000, colourings: int = 4, max_degree: int = 50, seed: int = 0):
-        self.largest, self.samples, self.colourings, self.max_degree, self.seed = largest, samples, colourings, max_degree, seed
+    def __init__(self, largest: int = 10, samples: int = 100_000, colourings: int = 16, max_degree: int = 50, seed: int = 0, memory: float = 1e9, adaptive: bool = False, counter: motifs.Counter | None = None):
+        self.largest, self.memory = largest, memory
+        self.counter = counter or motifs.HybridCounter(max_degree, 6, motifs.SampledCounter(samples, colourings, seed, adaptive))
+        self.estimated: set[str] = set()
 
     def _kinds(self, g: Graph, k: int) -> dict[str, float]:
-        try:
-            return {r.ds: float(r.n) for r in motifs.graphlets(g, k, self.max_degree).collect()}
-        except RuntimeError:
-            x = motifs.colour_coding(g, k, self.samples, self.colourings, self.seed).collect()
-            return {r.ds: float(round(r.estimate)) for r in x if round(r.estimate) > 0}
+        rows = self.counter.count(g, k).collect()
+        if any(not r.exact for r in rows):
+            self.estimated |= {f"path_template_zipf_k{k}", f"path_template_entropy_k{k}", "tree_template_zipf", "tree_template_entropy"} | ({{5: "five", 6: "six"}[k] + "_cycle_count"} if k in (5, 6) else set())
+        return {r.ds: float(r.n) for r in rows}
 
     def measure(self, g: Graph) -> dict:
         spark = g.edges.sparkSession
@@ -138,8 +140,11 @@ class MotifBlock(Block):
         kinds: dict[int, dict[str, float]] = {2: {"1,1": three["edges"]}, 3: {"2,2,2": three["triangles"], "1,1,2": three["wedges"]}}
         if not three["edges"]:
             return out | {"five_cycle_count": 0, "six_cycle_count": 0}
+        self.estimated = set()
+        vertices = g.ranked.count()
         for k in range(4, self.largest + 1):
-            kinds[k] = self._kinds(g, k)
+            if k <= 6 or vertices * 2**k * k * 4 <= self.memory:
+                kinds[k] = self._kinds(g, k)
         out |= {"five_cycle_count": kinds.get(5, {}).get("2,2,2,2,2", 0 if self.largest >= 5 else None), "six_cycle_count": kinds.get(6, {}).get("2,2,2,2,2,2", 0 if self.largest >= 6 else None)}
 
         def stats(counts: list[float]) -> dict:
@@ -169,8 +174,9 @@ BLOCKS: dict[str, type[Block]] = {b.letter: b for b in (SizeBlock, RelationBlock
 class Signature(dict):
     """Feature values by name, in order; unmeasured ones are NaN."""
 
-    def __init__(self, values: dict[str, float] | None = None):
+    def __init__(self, values: dict[str, float] | None = None, estimated: set[str] | None = None):
         values = values or {}
+        self.estimated = set(estimated or ())
         super().__init__({f: float(values.get(f, math.nan)) for f in features.ORDER})
 
     def vector(self) -> list[float]:
@@ -199,9 +205,12 @@ def measure(g: Graph, blocks: list[str] | None = None, **options: dict) -> Signa
     g.persist()
     try:
         values: dict[str, float] = {}
+        estimated: set[str] = set()
         for b in blocks:
-            values |= BLOCKS[b](**options.get(b, {}))(g)
-        return Signature(values)
+            block = BLOCKS[b](**options.get(b, {}))
+            values |= block(g)
+            estimated |= getattr(block, "estimated", set())
+        return Signature(values, estimated)
     finally:
         g.unpersist()
 

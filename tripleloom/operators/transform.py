@@ -72,7 +72,7 @@ def move(table: DataFrame, amounts: DataFrame) -> DataFrame:
     """
     spark = table.sparkSession
     cat = F.broadcast(features.catalogue(spark).select("feature", F.col("lo").alias("dlo"), F.col("hi").alias("dhi"), "integer", "grp", "quantile"))
-    x = table.join(cat, "feature").join(F.broadcast(amounts), ["graph", "feature"], "left")
+    x = table.join(cat, "feature").join(amounts, ["graph", "feature"], "left")
     v = F.when(~F.isnan("value"), F.col("value"))
     raw = F.when(F.col("multiplicative"), v * F.col("amount")).otherwise(v + F.col("amount"))
     custom = F.col("clo").isNotNull()
@@ -144,10 +144,9 @@ def realisable(table: DataFrame) -> DataFrame:
         ((c("largest_component_fraction") <= 0) | (c("largest_component_fraction") > 1), "largest_component_fraction"),
         *((c(f) < 0, f) for f in features.MOTIFS),
     ]
-    for group in features.COUPLED:
-        if group[0].endswith("q00"):
-            q = F.array_compact(F.array(*map(c, group)))
-            tests.append((q != F.array_sort(q), group[0][: -len("_q00")]))
+    for first, group in features.QUANTILES.items():
+        q = F.array_compact(F.array(*map(c, group)))
+        tests.append((q != F.array_sort(q), first[: -len("_q00")]))
     return w.select("graph", F.explode(F.array_compact(F.array(*(F.when(bad, F.lit(name)) for bad, name in tests)))).alias("reason"))
 
 
@@ -165,7 +164,7 @@ def uniform_range(corpus: DataFrame, copies: int = 1, seed: int = 0, widen: floa
     v = F.col("a") - pad + uniform(seed, "copy", "feature") * (F.col("b") - F.col("a") + 2 * pad)
     v = F.greatest(F.col("lo"), F.least(F.col("hi"), v))
     v = F.when(F.col("integer"), F.bround(v, 0)).otherwise(v)
-    v = F.when(F.col("feature") == "num_classes", F.lit(0.0)).when(F.col("feature").isin(*features.TYPE_PARAMETERS), F.lit(None)).when(F.col("n") >= support, v)
+    v = F.when(F.col("feature") == "num_classes", F.lit(0.0)).when((F.col("of") == "classes"), F.lit(None)).when(F.col("n") >= support, v)
     return x.select("copy", "feature", v.alias("value"))
 
 
