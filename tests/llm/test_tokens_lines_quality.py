@@ -98,7 +98,7 @@ def brute_lines(rows, min_docs=5):
 
 
 @pytest.mark.parametrize("name", ["docs", "odd", "none"])
-@pytest.mark.parametrize("per_shard", [1 << 20, 2])
+@pytest.mark.parametrize("per_shard", [1 << 20, 300])
 def test_line_dedup(request, name, per_shard):
     docs = request.getfixturevalue(name)
     want = brute_lines([(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()])

@@ -1,14 +1,16 @@
 """Line deduplication with a sharded minimal perfect hash.
 
-Pass one hashes each line that is long enough (128 bits; a text's equal lines
-once) and counts, per hash, the documents that hold it and the largest id among
-them; the counting is combined before the shuffle, so a line that is everywhere
-arrives as a row per task.  The hashes that reach the threshold go to shards.  A
-shard's minimal perfect hash maps its n hashes one to one onto 0..n-1, where
-three arrays hold a 64-bit fingerprint, the count and the last holder.  Pass two
-probes these arrays: no line is joined or shuffled again.
-
-A line outside the index also maps to some place, where its fingerprint differs:
+1. Each line that is long enough is hashed (128 bits).  A batch of texts gives one
+   row per hash and partition: the documents that hold it and the largest id
+   among them.  So a line that is everywhere is a row per batch from here on.
+2. Rows are summed by hash, and the distinct hashes go to shards.  A shard's minimal
+   perfect hash maps its n hashes one to one onto 0..n-1, where three arrays hold
+   a 64-bit fingerprint, the count and the last holder.
+3. The documents' hashes probe the arrays: each shard is opened once, by the task that gets the
+   hashes of that shard, and what reaches the threshold goes back to the
+   partition that asked.  There the lines are dropped; texts are never shuffled or joined.
+
+A hash outside the index also maps to some place, where its fingerprint differs:
 with 64 bits that the place does not depend on, 10^12 probes of foreign lines
 give a false match with a probability below 10^-7.
 """
@@ -139,24 +141,39 @@ def lines_of(text: bytes | None, min_chars: int) -> tuple[list[bytes], list[int]
     return lines, which, hashes
 
 
-_HASHES = pa.schema([("hi", pa.int64()), ("lo", pa.int64()), ("doc", pa.int64())])
+_HASHES = pa.schema([("hi", pa.int64()), ("lo", pa.int64()), ("part", pa.int64()), ("n", pa.int64()), ("owner", pa.int64())])
+_HASHES_SQL = "hi long, lo long, part long, n long, owner long"
+_NONE = -(2**63)
 
 
 def _hash(min_chars: int):
+    """Rows (rid, id, text) to a row per hash and partition of each batch."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in shared.slices(batches, "text"):
+        for b in shared.slices(batches, "text", 32 << 20):
             found, sizes = [], []
             for text in shared.texts(b, "text"):
                 h = dict.fromkeys(lines_of(text, min_chars)[2])
                 found += h
                 sizes.append(len(h))
-            x = np.frombuffer(b"".join(found), ">u8").reshape(-1, 2).astype(np.uint64)
-            docs = b.column(0).take(pa.array(np.repeat(np.arange(len(sizes)), sizes)))
-            yield shared.table({"hi": x[:, 0].view(np.int64), "lo": x[:, 1].view(np.int64), "doc": docs}, _HASHES)
+            if not found:
+                continue
+            x = np.frombuffer(b"".join(found), ">u8").reshape(-1, 2).astype(np.uint64).view(np.int64)
+            part, doc = (np.repeat(c, sizes) for c in (b.column(0).to_numpy() >> 33, b.column(1).fill_null(_NONE).to_numpy()))
+            order = np.lexsort((x[:, 1], x[:, 0], part))
+            hi, lo, part, doc = x[order, 0], x[order, 1], part[order], doc[order]
+            at = np.flatnonzero(np.r_[True, (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1]) | (part[1:] != part[:-1])])
+            yield shared.table({"hi": hi[at], "lo": lo[at], "part": part[at], "n": np.diff(np.r_[at, len(hi)]), "owner": np.maximum.reduceat(doc, at)}, _HASHES)
 
     return run
 
 
+def line_hashes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+    """Hashes of the long lines of ``docs(rid, doc_id, text)``, a row per hash, batch and partition, written down."""
+    shared.ship(docs.sparkSession)
+    return shared.write(docs.mapInArrow(_hash(min_chars), _HASHES_SQL), "line-hashes")[0]
+
+
 def _build(folder: str):
     """Write one shard's file; a second attempt writes the same bytes under the same name."""
     from .sstable import _open
@@ -165,7 +182,7 @@ def _build(folder: str):
         k = group.column("shard")[0].as_py()
         num = lambda c, t: group.column(c).to_numpy().astype(np.int64).view(t)
         raw = Shard.build(num("hi", np.uint64), num("lo", np.uint64), num("n", np.int64), group.column("owner").to_numpy()).to_bytes()
-        path = f"{folder}/{k:06d}.mph"
+        path = _file(folder, k)
         store, at, sink = _open(f"{path}.{TaskContext.get().taskAttemptId()}.tmp", write=True)
         with sink:
             sink.write(raw)
@@ -175,75 +192,80 @@ def _build(folder: str):
     return run
 
 
-def index_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, folder: str | None = None, per_shard: int = PER_SHARD, id_col: str = "doc_id", text_col: str = "text") -> tuple[int, list[tuple[int, str]]]:
-    """Build the index of the lines that ``min_docs`` documents or more hold; the number of shards, and (shard, path) for each file."""
-    spark = docs.sparkSession
+def _file(folder: str, shard: int) -> str:
+    return f"{folder}/{shard:06d}.mph"
+
+
+def index_lines(hashes: DataFrame, *, folder: str | None = None, per_shard: int = PER_SHARD) -> tuple[int, str]:
+    """Build the index of all distinct hashes of :func:`line_hashes`; the number of shards, and the folder of their files."""
+    spark = hashes.sparkSession
     shared.ship(spark)
     folder = folder or shared.scratch(spark, "mph")
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(path)
-    x = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    hashes = x.mapInArrow(_hash(min_chars), "hi long, lo long, doc long")
-    # a null id is below every other
-    often = hashes.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n"), F.max("doc").alias("owner")).filter(F.col("n") >= min_docs)
-    often, at = shared.write(often.withColumn("owner", F.coalesce("owner", F.lit(-(2**63)))), "mph-lines")
-    shards = -(-often.count() // per_shard)
-    if not shards:
-        shared.remove(spark, at)
-        return 0, []
-    made = often.withColumn("shard", F.expr(f"cast(pmod(lo, {shards}) as int)")).groupBy("shard").applyInArrow(_build(folder), "shard int, path string, keys long, bytes long")
-    files = [(r.shard, r.path) for r in made.collect()]  # a row for each million lines of the index
+    distinct, at = shared.write(hashes.groupBy("hi", "lo").agg(F.sum("n").alias("n"), F.max("owner").alias("owner")), "line-counts")
+    n = distinct.count()
+    # few lines are still dealt out over the tasks there are, 65,536 to a shard at least
+    shards = max(-(-n // per_shard), min(int(spark.conf.get("spark.sql.shuffle.partitions")), n >> 16))
+    if shards:
+        made = distinct.withColumn("shard", F.expr(f"cast(pmod(lo, {shards}) as int)")).groupBy("shard").applyInArrow(_build(folder), "shard int, path string, keys long, bytes long")
+        made.agg(F.sum("keys")).collect()
     shared.remove(spark, at)
-    return shards, sorted(files)
+    return shards, folder
+
 
+_HITS = pa.schema([("rid", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("owner", pa.int64())])
 
-def _drop(files: list[tuple[int, str]], shards: int, min_chars: int, schema: pa.Schema, text_col: str, id_col: str):
+
+def _probe(folder: str, min_docs: int):
+    """Rows (shard, hi, lo, part), sorted by shard, to those whose count in the shard's arrays reaches the threshold."""
     from .sstable import _open
 
-    held: dict[int, Shard] = {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held = -1, None
+        for b in batches:
+            shard, hi, lo, part = (b.column(i).to_numpy() for i in range(4))
+            at = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1], True]) if len(shard) else np.empty(0, np.int64)
+            for i, j in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                if shard[i] != number:
+                    number = int(shard[i])
+                    with _open(_file(folder, number)) as f:
+                        held = Shard.from_bytes(f.read())
+                count, owner = held.probe(hi[i:j].view(np.uint64), lo[i:j].view(np.uint64))
+                hit = i + np.flatnonzero(count >= min_docs)
+                if len(hit):
+                    yield shared.table({"rid": part[hit] << 33, "hi": hi[hit], "lo": lo[hit], "owner": owner[hit - i]}, _HITS)
+
+    return run
+
+
+def frequent(hashes: DataFrame, index: tuple[int, str], min_docs: int) -> DataFrame:
+    """``(rid, hi, lo, owner)``: the hashes of each partition (the first row number of which ``rid`` is) that ``min_docs`` documents or more hold."""
+    shards, folder = index
+    asks = hashes.select(F.expr(f"cast(pmod(lo, {max(1, shards)}) as int) as shard"), "hi", "lo", "part")
+    return asks.repartition("shard").sortWithinPartitions("shard").mapInArrow(_probe(folder, min_docs), "rid long, hi long, lo long, owner long")
 
-    def load(k: int, path: str) -> Shard:
-        if k not in held:
-            if sum(len(s.prints) for s in held.values()) > 4 * PER_SHARD:  # some 80 MB
-                held.clear()
-            with _open(path) as f:
-                held[k] = Shard.from_bytes(f.read())
-        return held[k]
 
+def _drop(at: tuple[str, int], min_chars: int, names: list[str], text_col: str, id_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held.clear()
-        # each shard is read once for 32 MB of text
-        for b in shared.slices(batches, text_col, 32 << 20):
-            raw = shared.texts(b, text_col)
-            ids = b.column(b.schema.get_field_index(id_col)).cast(pa.int64()).fill_null(-(2**63)).to_numpy()
-            whiches, hashes = [], []
-            for text in raw:
-                _, which, h = lines_of(text, min_chars)
-                whiches.append(which)
-                hashes += h
-            x = np.frombuffer(b"".join(hashes), ">u8").reshape(-1, 2).astype(np.uint64)
-            hi, lo = x[:, 0], x[:, 1]
-            owner_id = np.repeat(ids, [len(w) for w in whiches])
-            gone = np.zeros(len(hi), bool)
-            if shards:
-                to = np.mod(lo.view(np.int64), shards)
-                for k, path in files:
-                    mine = np.flatnonzero(to == k)
-                    if len(mine):
-                        count, owner = load(k, path).probe(hi[mine], lo[mine])
-                        gone[mine] = (count > 0) & (owner != owner_id[mine])
-            out, n_lines, n_gone, at = [], [], [], 0
-            for text, which in zip(raw, whiches, strict=True):
-                bad = gone[at : at + len(which)]
-                at += len(which)
-                n_lines.append((text or b"").count(b"\n") + 1)
-                n_gone.append(int(bad.sum()))
-                if n_gone[-1]:
-                    drop = {w for w, g in zip(which, bad.tolist(), strict=True) if g}
-                    text = b"\n".join(line for i, line in enumerate(text.split(b"\n")) if i not in drop)
-                out.append(text)
+        part, held = -1, {}
+        for b in shared.slices(batches, text_col):
+            col = lambda c: b.column(b.schema.get_field_index(c))  # noqa: E731, B023
+            ids = col(id_col).cast(pa.int64()).fill_null(_NONE).to_pylist()
+            out, n_lines, n_gone = [], [], []
+            for rid, me, text in zip(col("_rid").to_pylist(), ids, shared.texts(b, text_col), strict=True):
+                if rid >> 33 != part:
+                    part, t = rid >> 33, shared.read_part(at, rid >> 33)
+                    keys = np.empty((0, 2), ">u8") if t is None else np.stack([t.column(c).to_numpy().view(np.uint64) for c in ("hi", "lo")], 1).astype(">u8")
+                    raw = keys.tobytes()
+                    held = {raw[16 * i : 16 * i + 16]: own for i, own in enumerate([] if t is None else t.column("owner").to_pylist())}
+                lines, which, hashes = lines_of(text, min_chars) if held else ((text or b"").split(b"\n"), (), ())
+                bad = {w for w, h in zip(which, hashes, strict=True) if held.get(h, me) != me}
+                n_lines.append(len(lines))
+                n_gone.append(len(bad))
+                out.append(b"\n".join(line for i, line in enumerate(lines) if i not in bad) if bad else text)
             new = {"_n_lines": pa.array(n_lines, pa.int64()), "_n_dropped": pa.array(n_gone, pa.int64()), text_col: pa.array(out, pa.binary()).cast(pa.string())}
-            yield pa.RecordBatch.from_arrays([new[f.name] if f.name in new else b.column(b.schema.get_field_index(f.name)) for f in schema], names=schema.names)
+            yield pa.RecordBatch.from_arrays([new[c] if c in new else col(c) for c in names], names=names)
 
     return run
 
@@ -257,19 +279,21 @@ def drop_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_docs: int = M
     rows with the largest id among the key's holders.
 
     Returns the rows with all columns, the text replaced, and the columns
-    ``_n_lines`` (before) and ``_n_dropped`` (input columns of these names go).
-    A null text counts as one empty line and stays null; null ids are below all
-    others; of rows with equal ids each counts as a document and all are the last
-    holder together.  An empty table gives an empty table.
+    ``_n_lines`` (before) and ``_n_dropped`` (input columns of these names, and of
+    the name ``_rid``, go).  A null text counts as one empty line and stays null;
+    null ids are below all others; of rows with equal ids each counts as a
+    document and all are the last holder together.  Very long texts are read
+    whole.  An empty table gives an empty table.
     """
-    spark = docs.sparkSession
-    shards, files = index_lines(docs, min_chars=min_chars, min_docs=min_docs, per_shard=per_shard, id_col=id_col, text_col=text_col)
-    docs = docs.drop("_n_lines", "_n_dropped").withColumn(text_col, F.col(text_col).cast("string"))
     from pyspark.sql.types import LongType, StructField, StructType
 
+    docs = docs.drop("_n_lines", "_n_dropped", "_rid").withColumn(text_col, F.col(text_col).cast("string"))
+    rows, _ = shared.write(docs.withColumn("_rid", F.monotonically_increasing_id()), "line-docs")
+    hashes = line_hashes(rows.select(F.col("_rid").alias("rid"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), min_chars)
+    index = index_lines(hashes, per_shard=per_shard)
+    at = shared.write_by_part(frequent(hashes, index, min_docs), "line-frequent", rows.select(F.col("_rid").alias("rid")))
     out = StructType([*docs.schema.fields, StructField("_n_lines", LongType()), StructField("_n_dropped", LongType())])
-    schema = pa.schema([(f.name, pa.null()) for f in out.fields])  # names only
-    return docs.mapInArrow(_drop(files, shards, min_chars, schema, text_col, id_col), out)
+    return rows.mapInArrow(_drop(at, min_chars, out.names, text_col, id_col), out)
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
