@@ -84,7 +84,6 @@ def test_join_of_variants_and_of_one_large_group(spark, monkeypatch):
     assert got_near(docs) == want
     # the same through grids of small blocks
     monkeypatch.setattr(nearjoin, "CHUNK", 16)
-    monkeypatch.setattr(nearjoin, "BUCKET_CHUNK", 16)
     assert got_near(docs) == want
 
 

@@ -3,18 +3,20 @@
 1. Each text becomes its set of word shingles, as 64-bit hashes, and 128 MinHash
    values.  Texts with the same set form a class; from here on a class counts once.
 2. Classes that agree in a band of 4 values share a bucket.  At similarity 0.8 a
-   pair shares none of the 32 bands with a probability of 5e-8.
-3. In a bucket, the MinHash values (8 bits of each) are compared 32 at a time.
-   After each step the number of matches gives the posterior of the similarity
-   (uniform prior: a Beta distribution); a pair goes when the posterior
-   probability of reaching the threshold falls below ``TOLERANCE``.  What is left
-   connects classes to candidate groups.
-4. Within a group all pairs go through the same test with whole values, and the
-   pairs that stay are verified by exact intersections.
-
-A bucket or group with more members than ``CHUNK`` is dealt out as a grid of
-blocks of chunk pairs, so no task gets an unbounded group, nothing is capped and
-pairs are counted where they are found: rows stay linear in the documents.
+   pair shares none of the 32 bands with a probability of 5e-8.  A pair is looked at
+   in the bucket of the first band that it shares and nowhere else.
+3. There, the MinHash values (8 bits of each) are compared 32 at a time.  After
+   each step the number of matches gives the posterior of the similarity (uniform
+   prior: a Beta distribution); a pair goes when the posterior probability of
+   reaching the threshold falls below ``TOLERANCE``.
+4. The members of the pairs that stay, not the pairs, get their shingle sets sent to that
+   bucket.  The pairs take the same test with whole values, and what is
+   left is verified by exact intersections and counted for both ends.
+
+A bucket with more members than ``CHUNK`` is dealt out as a grid of blocks of chunk
+pairs, so no task gets an unbounded group, nothing is capped and rows stay linear
+in the documents.  Pairs that meet in no bucket are never compared, however
+long the chain of others between them.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from ..operators.components import connected_components
 from . import shared
 
 WORDS, THRESHOLD, VALUES, ROWS, TOLERANCE = 5, 0.8, 128, 4, 1e-7
-STEP, BUCKET_CHUNK, CHUNK = 32, 4096, 512
+STEP, CHUNK = 32, 512
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -143,52 +145,79 @@ def _sign(words: int):
     return run
 
 
+BANDS = VALUES // ROWS
+
+
+def band_keys(sig: np.ndarray) -> np.ndarray:
+    """A hash of each band of signatures (rows of 32-bit values); the number of the band is part of it."""
+    sig = sig.astype(np.uint64)
+    x = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (len(sig), BANDS))
+    with np.errstate(over="ignore"):
+        for j in range(ROWS):
+            x = _spread(x * np.uint64(0x9E3779B97F4A7C15) + sig[:, j::ROWS])
+    return x
+
+
+def _signatures_of(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), -1)
+
+
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("key", pa.int64()), ("cid", pa.int64())])
+    schema = pa.schema([("key", pa.int64()), ("band", pa.int32()), ("cid", pa.int64())])
     for b in batches:
         for at in range(0, b.num_rows, 4096):
             part = b.slice(at, 4096)
-            sig = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint32).reshape(part.num_rows, -1).astype(np.uint64)
-            n = VALUES // ROWS
-            with np.errstate(over="ignore"):
-                x = np.broadcast_to(np.arange(1, n + 1, dtype=np.uint64), (len(sig), n))
-                for j in range(ROWS):
-                    x = _spread(x * np.uint64(0x9E3779B97F4A7C15) + sig[:, j::ROWS])
-            yield shared.table({"key": x.reshape(-1).view(np.int64), "cid": np.repeat(part.column(0).to_numpy(), n)}, schema)
-
-
-def _connect(need: list[int]):
-    """Edges of a spanning forest of each bucket's pairs that stay."""
-    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-
-    def forest(ids: np.ndarray, sig: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-        out, open_ = [], np.arange(1, len(ids))
-        queue = [0]
-        while len(open_):
-            if not queue:
-                queue, open_ = [open_[0]], open_[1:]
-            x = queue.pop()
-            hit = survivors(np.broadcast_to(sig[x], (len(open_), sig.shape[1])), sig[open_], need)
-            if len(hit):
-                out.append((np.full(len(hit), ids[x]), ids[open_[hit]]))
-                queue += open_[hit].tolist()
-                open_ = np.delete(open_, hit)
-        return out
+            x = band_keys(_signatures_of(part.column(1)))
+            yield shared.table({"key": x.reshape(-1).view(np.int64), "band": np.tile(np.arange(BANDS, dtype=np.int32), len(x)), "cid": np.repeat(part.column(0).to_numpy(), BANDS)}, schema)
+
+
+def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What a bucket needs of a class: 32 bits of each band's hash, and 8 bits of each value."""
+    schema = pa.schema([("cid", pa.int64()), ("bits", pa.binary())])
+    for b in batches:
+        for at in range(0, b.num_rows, 4096):
+            sig = _signatures_of(b.slice(at, 4096).column(1))
+            bits = np.concatenate([band_keys(sig).astype(np.uint32).view(np.uint8), sig.astype(np.uint8)], 1)
+            yield shared.table({"cid": b.slice(at, 4096).column(0), "bits": [r.tobytes() for r in bits]}, schema)
+
+
+def first_met(keys: np.ndarray, side: np.ndarray, band: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i < j) of a block of a band that share no earlier band; where rows have two sides, only pairs across."""
+    n = len(keys)
+    met = np.zeros((n, n), bool)
+    for k in range(band):
+        met |= keys[:, k, None] == keys[None, :, k]
+    if (side != side[0]).any():
+        met |= side[:, None] == side[None, :]
+    return np.nonzero(np.triu(~met, 1))
+
+
+_NODES = pa.schema([("block", pa.int64()), ("band", pa.int32()), ("chunk", pa.int64()), ("cid", pa.int64())])
+
+
+def _candidates(need: list[int]):
+    """The members of each block's pairs that stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in whole_groups(batches, "block"):
-            ids = b.column(1).to_numpy()
-            sig = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(len(ids), -1)
-            at = _bounds(b.column(0).to_numpy())
+            block, band, side, ids = (b.column(i).to_numpy() for i in range(4))
+            bits = np.frombuffer(b"".join(b.column(4).to_pylist()), np.uint8).reshape(len(ids), -1)
+            keys, sig = np.ascontiguousarray(bits[:, : 4 * BANDS]).view(np.uint32), bits[:, 4 * BANDS :]
+            at = _bounds(block)
             size = np.diff(at)
             two = at[:-1][size == 2]
+            two = two[(keys[two] == keys[two + 1]).argmax(1) == band[two]]  # all of them share their own band
             hit = two[survivors(sig[two], sig[two + 1], need)]
-            pairs = [(ids[hit], ids[hit + 1])]
+            stay = np.zeros(len(ids), bool)
+            stay[hit] = stay[hit + 1] = True
             for lo, n in zip(at[:-1][size > 2].tolist(), size[size > 2].tolist(), strict=True):
-                pairs += forest(ids[lo : lo + n], sig[lo : lo + n])
-            u, v = (np.concatenate(x) for x in zip(*pairs, strict=True))
-            if len(u):
-                yield shared.table({"u": np.minimum(u, v), "v": np.maximum(u, v)}, schema)
+                i, j = first_met(keys[lo : lo + n], side[lo : lo + n], int(band[lo]))
+                for s in range(0, len(i), 1 << 16):
+                    p, q = lo + i[s : s + (1 << 16)], lo + j[s : s + (1 << 16)]
+                    ok = survivors(sig[p], sig[q], need)
+                    stay[p[ok]] = stay[q[ok]] = True
+            if stay.any():
+                yield b.select([0, 1, 2, 3]).filter(pa.array(stay)).cast(_NODES)
 
     return run
 
@@ -213,21 +242,15 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def linked(sets: list[np.ndarray], sig: np.ndarray, side: np.ndarray, threshold: float, need: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (i < j) of a block that reach the threshold; where rows have two sides, only pairs across."""
-    i, j = np.triu_indices(len(sets), 1)
-    if len(np.unique(side)) > 1:
-        across = side[i] != side[j]
-        i, j = i[across], j[across]
-    stay = []
-    for at in range(0, len(i), 1 << 16):
-        s = slice(at, at + (1 << 16))
-        stay.append(at + survivors(sig[i[s]], sig[j[s]], need))
+def linked(sets: list[np.ndarray], sig: np.ndarray, keys: np.ndarray, side: np.ndarray, band: int, threshold: float, need: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (i < j) of a block that meet first in its band and reach the threshold."""
+    i, j = first_met(keys, side, band)
+    stay = [at + survivors(sig[i[at : at + (1 << 16)]], sig[j[at : at + (1 << 16)]], need) for at in range(0, len(i), 1 << 16)]
     stay = np.concatenate(stay) if stay else np.empty(0, np.int64)
     i, j = i[stay], j[stay]
     if not len(i):
         return i, j
-    if len(sets) <= 4:
+    if len(i) <= 8:
         common = np.array([len(np.intersect1d(sets[a], sets[b], assume_unique=True)) for a, b in zip(i, j, strict=True)])
     else:
         common = intersections(sets)[i, j]
@@ -236,7 +259,7 @@ def linked(sets: list[np.ndarray], sig: np.ndarray, side: np.ndarray, threshold:
     return i[ok], j[ok]
 
 
-_COUNTED = pa.schema([("cid", pa.int64()), ("links", pa.int64()), ("root", pa.int64()), ("single", pa.bool_())])
+_COUNTED = pa.schema([("cid", pa.int64()), ("links", pa.int64()), ("root", pa.int64())])
 
 
 def _verify(threshold: float, tolerance: float):
@@ -245,23 +268,34 @@ def _verify(threshold: float, tolerance: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in whole_groups(batches, "block"):
             names = b.schema.names
-            block, cid, side, copies, single = (b.column(names.index(c)).to_numpy(zero_copy_only=False) for c in ("block", "cid", "chunk", "copies", "single"))
-            raw = b.column(names.index("set")).to_pylist()
+            block, band, cid, side, copies = (b.column(names.index(c)).to_numpy(zero_copy_only=False) for c in ("block", "band", "cid", "chunk", "copies"))
+            sets = [np.frombuffer(x, np.uint64) for x in b.column(names.index("set")).to_pylist()]
             at = _bounds(block)
-            for lo, hi in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                sets = [np.frombuffer(x, np.uint64) for x in raw[lo:hi]]
-                ids, n = cid[lo:hi], copies[lo:hi]
-                i, j = linked(sets, signatures(sets), side[lo:hi], threshold, need)
-                links = np.bincount(i, n[j], len(ids)) + np.bincount(j, n[i], len(ids))
-                root = np.arange(len(ids))
-                while len(i):  # smallest row that can be reached
-                    m = np.minimum(root[i], root[j])
-                    if (root[i] == m).all() and (root[j] == m).all():
-                        break
-                    np.minimum.at(root, i, m)
-                    np.minimum.at(root, j, m)
-                    root = root[root]
-                yield shared.table({"cid": ids, "links": links.astype(np.int64), "root": ids[root], "single": single[lo:hi]}, _COUNTED)
+            # signatures of many blocks at once, a few million shingles at a time
+            ends, first = np.cumsum([len(s) for s in sets]), 0
+            while first < len(at) - 1:
+                done = ends[at[first]] - len(sets[at[first]])
+                last = max(first + 1, int(np.searchsorted(ends[at[first + 1 :] - 1], done + (4 << 20), side="right")) + first)
+                base = at[first]
+                sig = signatures(sets[base : at[last]])
+                keys = band_keys(sig).astype(np.uint32)
+                for lo, hi in zip(at[first:last].tolist(), at[first + 1 : last + 1].tolist(), strict=True):
+                    s = slice(lo - base, hi - base)
+                    i, j = linked(sets[lo:hi], sig[s], keys[s], side[lo:hi], int(band[lo]), threshold, need)
+                    if not len(i):
+                        continue
+                    ids, n = cid[lo:hi], copies[lo:hi]
+                    links = np.bincount(i, n[j], len(ids)) + np.bincount(j, n[i], len(ids))
+                    root = np.arange(len(ids))
+                    while True:  # smallest row that can be reached
+                        m = np.minimum(root[i], root[j])
+                        if (root[i] == m).all() and (root[j] == m).all():
+                            break
+                        np.minimum.at(root, i, m)
+                        np.minimum.at(root, j, m)
+                        root = root[root]
+                    yield shared.table({"cid": ids, "links": links.astype(np.int64), "root": ids[root]}, _COUNTED)
+                first = last
 
     return run
 
@@ -315,49 +349,36 @@ def near_duplicates(docs: DataFrame, *, words: int = WORDS, threshold: float = T
         .select("h1", "h2", F.col("f.rid").alias("cid"), F.col("f.doc_id").alias("class_id"), "copies", "sig"), "near-classes",
     )
 
-    bands, bands_at = shared.write(classes.select("cid", "sig").mapInArrow(_bands, "key long, cid long"), "near-bands")
+    bands, bands_at = shared.write(classes.select("cid", "sig").mapInArrow(_bands, "key long, band int, cid long"), "near-bands")
     full = bands.groupBy("key").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    met = _dealt(bands.join(full, "key"), "key", "members", BUCKET_CHUNK).select("block", "cid")
-    low = classes.select("cid", "sig").mapInArrow(_low_bytes, "cid long, sig binary")
-    met = met.join(low, "cid").select("block", "cid", "sig")
-    edges = met.repartition("block").sortWithinPartitions("block").mapInArrow(_connect(needed(threshold, tolerance, 8)), "u long, v long")
-    edges, edges_at = shared.write(edges.distinct(), "near-edges")
+    met = _dealt(bands.join(full, "key"), "key", "members", CHUNK).select("block", "band", "chunk", "cid")
+    met = met.join(classes.select("cid", "sig").mapInArrow(_short, "cid long, bits binary"), "cid").select("block", "band", "chunk", "cid", "bits")
+    nodes = met.repartition("block").sortWithinPartitions("block").mapInArrow(_candidates(needed(threshold, tolerance, 8)), "block long, band int, chunk long, cid long")
+    nodes, nodes_at = shared.write(nodes, "near-nodes")
     shared.remove(spark, bands_at)
-    groups, _ = shared.write(connected_components(edges, lambda df: shared.write(df, "near-cc")[0]), "near-groups")
-    shared.remove(spark, edges_at)
 
-    sizes = groups.groupBy("component").agg(F.count(F.lit(1)).alias("members"))
-    few = groups.join(sizes, "component").select(F.col("id").alias("cid"), "component", "members")
-    found = classes.select("cid", "copies").join(few, "cid")
-    found, _ = shared.write(found, "near-members")
+    few = nodes.select("cid").distinct().join(classes.select("cid", "copies"), "cid")
+    few, few_at = shared.write(few, "near-members")
     # a checked size: 24 bytes a row; beyond it the texts are shuffled
-    hint = F.broadcast(found.select("cid")) if found.count() <= 1_000_000 else found.select("cid")
+    hint = F.broadcast(few.select("cid")) if few.count() <= 1_000_000 else few.select("cid")
     sets = x.join(hint, x.rid == hint.cid).select("cid", "text").mapInArrow(_sets(words), "cid long, set binary")
-    blocks = _dealt(found.join(sets, "cid"), "component", "members", CHUNK)
-    blocks = blocks.withColumn("single", F.col("chunks") == 1).select("block", "cid", "chunk", "copies", "single", "set")
-    counted = blocks.repartition("block").sortWithinPartitions("block", "cid").mapInArrow(_verify(threshold, tolerance), "cid long, links long, root long, single boolean")
+    blocks = nodes.join(few, "cid").join(sets, "cid").select("block", "band", "chunk", "cid", "copies", "set")
+    counted = blocks.repartition("block").sortWithinPartitions("block", "cid").mapInArrow(_verify(threshold, tolerance), "cid long, links long, root long")
     counted, _ = shared.write(counted, "near-counted")
+    shared.remove(spark, nodes_at, few_at)
 
     links = counted.groupBy("cid").agg(F.sum("links").alias("links"))
-    alone = counted.filter("single").select("cid", "root")
-    over = counted.filter("not single and cid <> root").select(F.col("cid").alias("u"), F.col("root").alias("v"))
-    wide = connected_components(over, lambda df: shared.write(df, "near-cc")[0]).select(F.col("id").alias("cid"), F.col("component").alias("root"))
-    roots = alone.unionByName(wide)
+    over = counted.filter("cid <> root").select(F.col("cid").alias("u"), F.col("root").alias("v"))
+    roots = connected_components(over, lambda df: shared.write(df, "near-cc")[0]).select(F.col("id").alias("cid"), F.col("component").alias("root"))
     own = (
         classes.select("h1", "h2", "cid", "class_id", "copies").join(links, "cid", "left").join(roots, "cid", "left")
         .withColumn("root", F.coalesce("root", "cid")).withColumn("links", F.coalesce("links", F.lit(0)))
     )
     heads = own.groupBy("root").agg(F.min(F.struct("class_id", "cid")).alias("head"))
-    own = own.join(heads, "root").select("h1", "h2", "class_id", "copies", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("head.class_id").alias("component_id"), F.col("head.cid").alias("keep"))
-    return signed.select("rid", "doc_id", "h1", "h2").join(own, ["h1", "h2"]).select("rid", "doc_id", "class_id", "copies", "n_links", "component_id", (F.col("rid") == F.col("keep")).alias("kept"))
-
-
-def _low_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("cid", pa.int64()), ("sig", pa.binary())])
-    for b in batches:
-        if b.num_rows:
-            sig = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint32).reshape(b.num_rows, -1)
-            yield shared.table({"cid": b.column(0), "sig": [r.tobytes() for r in sig.astype(np.uint8)]}, schema)
+    own = shared.to_rows(own, heads, ["root"], F.pmod(F.xxhash64("cid"), F.lit(64)))
+    own = own.select("h1", "h2", "class_id", "copies", (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("head.class_id").alias("component_id"), F.col("head.cid").alias("keep"))
+    rows = shared.to_rows(signed.select("rid", "doc_id", "h1", "h2"), own, ["h1", "h2"])
+    return rows.select("rid", "doc_id", "class_id", "copies", "n_links", "component_id", (F.col("rid") == F.col("keep")).alias("kept"))
 
 
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
