@@ -118,6 +118,14 @@ def test_distances_and_bridges(spark, seed):
             root[find(a)] = find(b)
         return len({find(v) for v in near})
 
+    pairs = {(int(r.src[1:]), int(r.dst[1:])): r.dist for r in paths.sampled_distances(g, 100, seed).collect()}
+    for (a, b), dist in pairs.items():
+        ring, reached, steps = {a}, {a}, 0
+        while b not in reached:
+            ring = {x for v in ring for x in near[v]} - reached
+            reached, steps = reached | ring, steps + 1
+        assert dist == steps
+    assert pairs
     cut = {e for e in edges if parts([x for x in edges if x != e]) > parts(edges)}
     assert {(int(r.u[1:]), int(r.v[1:])) for r in paths.bridges(g).collect()} == cut
     comp = {r.name: r.component for r in paths.components(g).collect()}

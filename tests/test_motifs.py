@@ -32,6 +32,28 @@ def test_random_graphs(spark, seed):
     assert {k: got.get(k, 0) for k in range(2, 6)} == {k: stars(edges, k) for k in range(2, 6)}
 
 
+def test_star_estimates_of_centres_above_the_guard(spark):
+    edges = random_edges(24, 0.25, 5)
+    free = 3
+    near = adjacency(edges)
+    v = max(near, key=lambda x: len(near[x]))
+    inside = [(a, b) for a, b in edges if a in near[v] and b in near[v]]
+    want, got = motifs.independent_sets(inside, free, 5), motifs.estimated_sets(inside, free, 5, 4000)
+    assert got == pytest.approx(want, rel=0.1)
+    g = undirected(spark, edges)
+    exact = {r.k: r.stars for r in motifs.stars(g, 4).collect()}
+    rows = motifs.stars(g, 4, guard=2, draws=2000).collect()
+    assert not all(r.exact for r in rows) and {r.k: r.stars for r in rows} == pytest.approx(exact, rel=0.1)
+
+
+def test_hybrid_counter(spark):
+    edges = random_edges(10, 0.4, 2)
+    g = undirected(spark, edges)
+    assert {r.ds: r.n for r in motifs.HybridCounter().count(g, 5).collect()} == kinds(edges, 5)
+    rough = motifs.HybridCounter(max_degree=1, sampled=motifs.SampledCounter(300, 8)).count(g, 4).collect()
+    assert rough and not any(r.exact for r in rough)
+
+
 def test_guard(spark):
     with pytest.raises(RuntimeError):
         motifs.graphlets(undirected(spark, [(0, i) for i in range(1, 9)]), 5, max_degree=5)

@@ -3,10 +3,11 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tripleloom import catalogue_synthesis, cli, dataset
 from tripleloom.functions import features
 from tripleloom.generator import allocation, rewire, schema, wiring
-from tripleloom.operators import analytics, compare, measures, signature, transform
+from tripleloom.operators import analytics, compare, measures, ranks, signature, transform
 
 
 def target():
@@ -37,16 +38,76 @@ def test_largest_remainder(spark):
         assert sum(r.quota for r in mine) == 17 and all(abs(r.quota - 17 * r.w / total) < 1 for r in mine)
 
 
-def test_ipf_agrees_with_arrays_and_rounds_exactly(spark):
+def test_ipf_agrees_with_arrays(spark):
     rng = np.random.default_rng(0)
     row, col = np.divmod(np.arange(20), 4)
     x, rt, ct = rng.random(20) + 0.1, np.array([4.0, 5, 6, 7, 8]), np.array([6.0, 7, 8, 9])
-    a = allocation.ipf_arrays(row, col, x, rt, ct, 8)
+    a = x.copy()
+    for _ in range(8):
+        for at, goal in ((col, ct), (row, rt)):
+            a *= (goal / np.bincount(at, a))[at]
     df = spark.createDataFrame([(int(r), int(c), float(v)) for r, c, v in zip(row, col, x, strict=True)], "row int, col int, w double")
     got = {(r.row, r.col): r.x for r in allocation.ipf(df, spark.createDataFrame([(i, v) for i, v in enumerate(rt.tolist())], "row int, rt double"), spark.createDataFrame([(i, v) for i, v in enumerate(ct.tolist())], "col int, ct double"), 8).collect()}
     assert [got[k] for k in zip(row.tolist(), col.tolist(), strict=True)] == pytest.approx(a)
-    n = allocation.round_to_columns(row, col, a * 3, (ct * 3).astype(int))
-    assert (np.bincount(col, n) == ct * 3).all() and n.min() >= 1
+
+
+def test_stubs_meet_budget_sets_and_caps(spark):
+    rng = np.random.default_rng(3)
+    sets = [(i, sorted(rng.choice(5, int(rng.integers(1, 4)), replace=False).tolist())) for i in range(60)]
+    members = np.bincount([r for _, cs in sets for r in cs], minlength=5)
+    budget = [(r, int(members[r] * 3)) for r in range(5)]
+    table = lambda rows, kind: spark.createDataFrame(rows, kind)
+    x, deg = table(sets, "i long, cs array<int>"), table([(i, int(rng.integers(1, 30))) for i in range(60)], "i long, d long")
+    got = wiring.stubs(x, deg, table(budget, "r int, e long"), table([(r, 7) for r in range(5)], "r int, cap long")).collect()
+    assert sorted((r.i, r.r) for r in got) == sorted((i, r) for i, cs in sets for r in cs)
+    assert all(1 <= r.n <= 7 for r in got)
+    assert np.bincount([r.r for r in got], [r.n for r in got]).tolist() == [e for _, e in budget]
+    d = {r.i: r.d for r in deg.collect()}
+    total = np.bincount([r.i for r in got], [r.n for r in got], 60)
+    assert np.corrcoef(total, [d[i] for i in range(60)])[0, 1] > 0.4  # the table follows both margins
+
+
+def test_degrees_go_to_entities_by_size_of_set(spark):
+    sets = spark.createDataFrame([(i, list(range(i % 7 + 1))) for i in range(50)], "i long, cs array<int>").repartition(5)
+    got = {r.i: r.d for r in wiring.match_degrees(sets, spark.createDataFrame([(i, (i * 13) % 50) for i in range(50)], "i long, d long")).collect()}
+    by_size = sorted(range(50), key=lambda i: (-(i % 7 + 1), i))
+    assert [got[i] for i in by_size] == sorted(got.values(), reverse=True)
+
+
+def test_trimming_keeps_sets_and_bridges(spark):
+    rng = np.random.default_rng(5)
+    rows = sorted({(int(a), int(r), int(b)) for a, r, b in zip(rng.integers(0, 20, 200), rng.integers(0, 3, 200), rng.integers(0, 20, 200), strict=True)})
+    edges, keep = spark.createDataFrame(rows, "s long, r int, o long"), spark.createDataFrame(rows[:5], "s long, r int, o long")
+    left = {tuple(x) for x in wiring.trim(edges, keep, 30, 1).collect()}
+    assert len(left) == len(rows) - 30 and left <= set(rows) and set(rows[:5]) <= left
+    for end in (0, 2):
+        assert {(x[end], x[1]) for x in left} == {(x[end], x[1]) for x in rows}
+
+
+def test_ranks_span_partitions(spark):
+    rng = np.random.default_rng(1)
+    rows = [(int(g) if g < 4 else None, float(v), i) for i, (g, v) in enumerate(zip(rng.integers(0, 5, 400), rng.integers(0, 50, 400), strict=True))]
+    df = spark.createDataFrame(rows, "g int, v double, i int").repartition(7)
+    got = ranks.numbered(df, [F.desc("v"), "i"], ["g"], F.col("v")).collect()
+    assert len(got) == 400
+    for g in {r[0] for r in rows}:
+        mine = sorted(((v, i) for h, v, i in rows if h == g), key=lambda x: (-x[0], x[1]))
+        assert [(r.v, r.i) for r in sorted((r for r in got if r.g == g), key=lambda r: r["rank"])] == mine
+        before = np.cumsum([0, *(v for v, _ in mine[:-1])])
+        assert [r.before for r in sorted((r for r in got if r.g == g), key=lambda r: r["rank"])] == before.tolist()
+
+
+def test_distance_report_covers_every_feature_once(spark):
+    a = {f: 2.0 + i % 3 for i, f in enumerate(features.ORDER)}
+    a |= {f: float(k) for names in features.QUANTILES.values() for k, f in enumerate(names)} | {f"{s}_row_entropy_{q}": float(k) for s in ("subj", "obj") for k, q in enumerate(("q00", "q10", "q25", "q50", "q75", "q90", "q100"))}
+    a |= {"out_degree_xmin": 1.0, "out_degree_max": 50.0, "out_degree_alpha": 2.2}
+    b = a | {"mean_degree": 4.0, "cs_size_q100": 9.0, "out_degree_alpha": math.nan}
+    got = compare.report(spark, a, b).collect()
+    named = {r.name: r for r in got}
+    assert named["cs_size"].kind == "w1_iqr" and named["cs_size"].error > 0 and named["inv_cs_size"].error == 0
+    assert "cs_size_q50" not in named and named["mean_degree"].kind == "scalar" and named["out_degree_max"].kind == "scalar"
+    covered = {f for *_, names in compare.distributions(a) for f in names} & {f for *_, names in compare.distributions(b) for f in names}
+    assert len(got) == len(compare.distributions(b)) + len(features.ORDER) - len(covered)
 
 
 def test_pairing_keeps_ends_and_makes_mutual_pairs():

@@ -1,8 +1,7 @@
-"""Fitting tables to margins, and rounding them without losing the sums."""
+"""Fitting tables to margins."""
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,32 +20,3 @@ def ipf(support: DataFrame, rows: DataFrame, cols: DataFrame, sweeps: int = 20)
             s = x.groupBy(key).agg(F.sum("x").alias("s"))
             x = checkpointed(x.join(s, key).withColumn("x", F.when(F.col("s") > 0, F.col("x") * F.col(target) / F.col("s")).otherwise(0.0)).drop("s"))
     return x.select("row", "col", "x")
-
-
-def ipf_arrays(row: np.ndarray, col: np.ndarray, x: np.ndarray, rt: np.ndarray, ct: np.ndarray, sweeps: int = 60) -> np.ndarray:
-    """The same in memory, for tables that a task can hold."""
-    x = x.astype(float).copy()
-    for _ in range(sweeps):
-        for at, target in ((col, ct), (row, rt)):
-            s = np.bincount(at, x, len(target))
-            x *= np.divide(target, s, out=np.zeros(len(target)), where=s > 0)[at]
-    return x
-
-
-def round_to_columns(row: np.ndarray, col: np.ndarray, x: np.ndarray, totals: np.ndarray, floor: int = 1) -> np.ndarray:
-    """Whole numbers near x of at least ``floor`` whose columns have the totals (or the floor's sum, where that is more)."""
-    low = np.maximum(np.floor(x).astype(np.int64), floor)
-    for c in range(len(totals)):
-        at = np.flatnonzero(col == c)
-        miss = int(totals[c]) - int(low[at].sum())
-        order = at[np.argsort(-(x[at] - np.floor(x[at])), kind="stable")]
-        if miss > 0 and len(order):
-            low[order] += miss // len(order)
-            low[order[: miss % len(order)]] += 1
-        while miss < 0:
-            can = order[low[order] > floor][::-1]
-            if not len(can):
-                break
-            low[can[: -miss]] -= 1
-            miss += len(can[: -miss])
-    return low

@@ -154,9 +154,9 @@ def trim(edges: DataFrame, keep: DataFrame, surplus: int, seed: int = 0) -> Data
         if surplus <= 0:
             break
         out, into = (edges.groupBy("r", end).agg(F.count(F.lit(1)).alias(name)) for end, name in (("s", "a"), ("o", "b")))
-        able = edges.join(keep, ["s", "r", "o"], "left_anti").join(out, ["r", "s"]).join(into, ["r", "o"]).filter("a > 1 and b > 1").withColumn("h", F.xxhash64(F.lit(seed + turn), "s", "r", "o"))
-        first = F.max(F.struct((F.col("a") + F.col("b")).alias("w"), "h", "s", "o")).alias("x")
-        able = able.groupBy("r", "s").agg(first).select("r", "x.*").groupBy("r", "o").agg(first).select("r", "x.*")
+        able = edges.join(keep, ["s", "r", "o"], "left_anti").join(out, ["r", "s"]).join(into, ["r", "o"]).filter("a > 1 and b > 1").withColumn("w", F.col("a") + F.col("b")).withColumn("h", F.xxhash64(F.lit(seed + turn), "s", "r", "o"))
+        first = F.max(F.struct("w", "h", "s", "o")).alias("x")
+        able = able.groupBy("r", F.col("s").alias("at")).agg(first).select("r", "x.*").groupBy("r", F.col("o").alias("at")).agg(first).select("r", "x.*")
         gone = checkpointed(first_rows(able, [F.desc("w"), F.col("h")], surplus).select("s", "r", "o"))
         n = gone.count()
         if not n:
@@ -224,6 +224,7 @@ def wire(out: DataFrame, into: DataFrame, schema: Schema, bucket: int = BUCKET)
         import pandas as pd
 
         r = int(key[0])
+        left, right = left.sort_values("i"), right.sort_values("i")  # rows come in any order
         a = np.repeat(left.i.to_numpy(), left.n.to_numpy()) if len(left) else np.empty(0, int)
         b = np.repeat(right.i.to_numpy(), right.n.to_numpy()) if len(right) else np.empty(0, int)
         pairs = pair_stubs(a, b, rec.get(r, 0.0), seed * 1_000_003 + r * 1009 + int(key[1]))
