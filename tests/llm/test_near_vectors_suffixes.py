@@ -196,6 +196,8 @@ def test_repeats_of_odd_texts(spark, odd, monkeypatch):
     assert got_repeats(docs.coalesce(1)) == want
     monkeypatch.setattr(suffixes, "PART", 300)
     assert got_repeats(docs.coalesce(1)) == want
+    monkeypatch.setattr(suffixes, "HOT", 3)  # anchors in the middle of the passage take the other way
+    assert got_repeats(docs.coalesce(1)) == want
 
 
 def test_trie_and_suffix_order():

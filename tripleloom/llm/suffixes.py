@@ -15,7 +15,11 @@ cannot take part in such a repeat are never sorted:
    a blind trie for each group that is still equal.  Equal neighbours in that
    order are the repeats; the earliest stays.
 
-Hashes decide only which bytes meet and whether segments are equal (128 bits).
+4. An anchor with more than ``HOT`` such segments (a common phrase that every text goes on
+   from differently) is not one task's: its windows are hashed (128 bits) and the
+   first of each hash is found by an aggregate, which gives the same repeats.
+
+Hashes decide only which bytes meet and whether segments or windows are equal (128 bits).
 """
 
 from __future__ import annotations
@@ -24,13 +28,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import shared
 from .nearjoin import _bounds, _spread, whole_groups
 
-WINDOW, GRAM, SHALLOW, PART = 100, 32, 16, 4 << 20
+WINDOW, GRAM, SHALLOW, PART, HOT = 100, 32, 16, 4 << 20, 1000
 _SPAN = WINDOW - GRAM + 1
 _BYTES = _spread(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BASE = 0xD6E8FEB86659FD93
@@ -308,6 +313,21 @@ def _sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             lo = hi
 
 
+_WINDOWS = pa.schema([("w1", pa.int64()), ("w2", pa.int64()), ("doc", pa.int64()), ("rid", pa.int64()), ("lo", pa.int64())])
+
+
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each window of each segment, by its hash."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, 2048):
+            b = whole.slice(at, 2048)
+            raw = b.column(4).to_pylist()
+            n = np.array([len(x) - WINDOW + 1 for x in raw], np.int64)
+            h = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x[i : i + WINDOW]) for x in raw for i in range(len(x) - WINDOW + 1)), "<i8").reshape(-1, 2)
+            off = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+            yield shared.table({"w1": h[:, 0], "w2": h[:, 1], "doc": np.repeat(b.column(1).to_numpy(), n), "rid": np.repeat(b.column(2).to_numpy(), n), "lo": np.repeat(b.column(3).to_numpy(), n) + off}, _WINDOWS)
+
+
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Ranges of repeats, joined where they touch within a batch."""
     for b in batches:
@@ -362,9 +382,25 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     edges = shared.write_by_part(met.filter(F.col("kind") == EDGE).select("rid", "ah", "doc", "lo", "hi"), "repeat-edges", rows)
     cuts = rows.select("rid", "text").mapInArrow(_cut(edges), "ah long, doc long, rid long, lo long, bytes binary")
+    many = met.filter(F.col("kind") == EDGE).groupBy("ah").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > HOT).select("ah")
+    many, _ = shared.write(many, "repeat-hot")
+    n_hot = many.count()
+    if n_hot:
+        cuts, cuts_at = shared.write(cuts, "repeat-cuts")
+        by = F.broadcast(many) if n_hot <= 1_000_000 else many  # 8 bytes each
+        windows = cuts.join(by, "ah", "left_semi").select("ah", "doc", "rid", "lo", "bytes").mapInArrow(_windows, "w1 long, w2 long, doc long, rid long, lo long")
+        windows, windows_at = shared.write(windows, "repeat-windows")
+        first = windows.groupBy("w1", "w2").agg(F.min(F.struct("doc", "rid", "lo")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("w1", "w2", "first")
+        again = shared.to_rows(windows, first, ["w1", "w2"]).filter(F.col("first").isNotNull() & (F.struct("doc", "rid", "lo") != F.col("first")))
+        spread, _ = shared.write(again.select("rid", "lo", F.col("lo").alias("hi")).mapInArrow(_near, "rid long, s long, e long"), "repeat-spread")
+        whole = whole.unionByName(spread)
+        shared.remove(spark, windows_at)
+        cuts = cuts.join(by, "ah", "left_anti").select("ah", "doc", "rid", "lo", "bytes")
     sorted_ = cuts.repartition("ah").sortWithinPartitions("ah").mapInArrow(_sort, "rid long, s long, e long")
     again = met.filter(F.col("kind") == GONE).select("rid", F.col("lo").alias("s"), (F.col("hi") + WINDOW).alias("e"))
     gone = shared.write_by_part(whole.unionByName(again).unionByName(sorted_), "repeat-gone", rows)
+    if n_hot:
+        shared.remove(spark, cuts_at)
     return rows.mapInArrow(_remove(gone), "rid long, doc_id long, n_bytes long, n_removed long, spans array<array<long>>, kept binary")
 
 
