@@ -31,6 +31,13 @@ def test_turtle(spark, tmp_path):
     assert len(got) == 11
 
 
+def test_blank_nodes_belong_to_their_file(spark, tmp_path):
+    for k in (1, 2):
+        (tmp_path / f"{k}.ttl").write_text(f"@prefix e: <http://x/> .\n_:b0 e:p [ e:q {k} ] .\n")
+    g = rdf.load(spark, str(tmp_path))
+    assert g.names.filter("name like '_:%'").count() == 4 and g.edges.count() == 4
+
+
 def test_ntriples_round_trip(spark, tmp_path):
     rows = [
         ("http://a", "http://p", "http://b", False, None, None), ("_:n1", "http://p", "_:n2", False, None, None), ("http://a", "http://q", 'say "hi"\\n\n\tend', True, None, None),

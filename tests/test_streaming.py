@@ -14,6 +14,15 @@ def test_stream_equals_batch(spark, tmp_path):
     assert got == {"p0": 10, "p1": 10, "p2": 10}
 
 
+def test_repeats_in_a_stream_come_once(spark, tmp_path):
+    rows = [(f"s{i % 5}", "p", f"o{i % 3}", f"2024-01-01 00:{i:02d}:00") for i in range(40)]
+    spark.createDataFrame(rows, "s string, p string, o string, t string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("s string, p string, o string, t string").parquet(str(tmp_path / "in"))
+    counts.run_once(counts.distinct_triples(stream.withColumn("t", F.to_timestamp("t")), "t"), "once", "append")
+    got = [(r.s, r.p, r.o) for r in spark.table("once").collect()]
+    assert len(got) == len(set(got)) and set(got) == {r[:3] for r in rows}
+
+
 def test_windows_and_sessions(spark):
     schema = spark.read.parquet(f"{SMALL}/events.parquet").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(SMALL)

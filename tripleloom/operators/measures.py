@@ -6,6 +6,8 @@ DataFrame.  Counts are longs, ratios doubles; what cannot be measured is null.
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +17,8 @@ from ..plans.graph import RDF_TYPE, Graph
 
 _long = lambda c: c.cast("long")
 
+log = logging.getLogger(__name__)
+
 
 def _ratio(a: F.Column, b: F.Column) -> F.Column:
     return F.when(b != 0, a.cast("double") / b)
@@ -220,8 +224,8 @@ def pair_ratios(g: Graph) -> DataFrame:
     return x.select("n_content", "n_directed", "n_undirected", _ratio(F.col("n_content"), F.col("n_directed")).alias("edge_multiplicity"), _ratio(F.col("n_directed"), F.col("n_undirected")).alias("bidirectional_ratio"))
 
 
-#: Relations up to which a matrix is decomposed on the driver (32 MB).
-DRIVER_MATRIX = 2000
+#: Rows and columns, and entries, up to which a matrix is decomposed on the driver (32 MB dense).
+DRIVER_MATRIX, DRIVER_ENTRIES = 2000, 500_000
 
 
 def singular_values(m: DataFrame, row: str, col: str, value: str, k: int = 10) -> list[float]:
@@ -231,16 +235,15 @@ def singular_values(m: DataFrame, row: str, col: str, value: str, k: int = 10) -
     that by subspace iteration whose products are joins with aggregates.
     """
     sizes = m.agg(F.countDistinct(row), F.countDistinct(col)).first()
+    entries = m.count()
     if not sizes[0]:
         return []
     k = min(k, max(0, min(sizes) - (1 if min(sizes) == max(sizes) else 0)))
-    if max(sizes) <= DRIVER_MATRIX:
-        rows = m.select(row, col, F.col(value).cast("double")).collect()
-        r = {x: i for i, x in enumerate(sorted({x[0] for x in rows}))}
-        c = {x: i for i, x in enumerate(sorted({x[1] for x in rows}))}
-        a = np.zeros((len(r), len(c)))
-        for i, j, v in rows:
-            a[r[i], c[j]] = v
+    if max(sizes) <= DRIVER_MATRIX and entries <= DRIVER_ENTRIES:
+        rows = m.select(row, col, F.col(value).cast("double")).toArrow()
+        i, j = (rows.column(k).combine_chunks().dictionary_encode() for k in (0, 1))
+        a = np.zeros((len(i.dictionary), len(j.dictionary)))
+        a[i.indices.to_numpy(), j.indices.to_numpy()] = rows.column(2).to_numpy()
         return [float(x) for x in np.linalg.svd(a, compute_uv=False)]
     return subspace_iteration(m.select(F.col(row).alias("i"), F.col(col).alias("j"), F.col(value).cast("double").alias("x")), k)
 
@@ -266,7 +269,9 @@ def subspace_iteration(m: DataFrame, k: int, rounds: int = 30, seed: int = 0) ->
         now = np.sqrt(np.sqrt(w))
         if last is not None and np.abs(now - last).max() <= 1e-9 * now.max():
             break
-        last = now
+        before, last = last if last is not None else now, now
+    else:
+        log.warning("singular values still moved by %.2g of the largest after %d rounds", np.abs(now - before).max() / now.max(), rounds)
     return [float(x) for x in now]
 
 

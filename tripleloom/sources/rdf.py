@@ -9,6 +9,7 @@ collections of neither kind; numbers, booleans, long strings).
 from __future__ import annotations
 
 import re
+from hashlib import md5
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -220,19 +221,30 @@ def parse_turtle(text: str) -> list[tuple]:
 
 
 def read_turtle(spark: SparkSession, path: str) -> DataFrame:
-    """Triples of Turtle files, a task for each file."""
+    """Triples of Turtle files, a task for each file.
+
+    Blank nodes belong to their file: where there are several, a hash of the file's
+    address is part of their names.
+    """
     from ..plans.session import ship
 
     ship(spark)
+    files = spark.read.text(path, wholetext=True).select("value", F.input_file_name().alias("file"))
+    several = files.select("file").distinct().limit(2).count() > 1
 
     def run(batches):
         import pandas as pd
 
         for b in batches:
-            for text in b["value"]:
-                yield pd.DataFrame(parse_turtle(text), columns=["s", "p", "o", "o_is_literal", "o_datatype", "o_lang"])
-
-    return spark.read.text(path, wholetext=True).mapInPandas(run, TRIPLES)
+            for text, file in zip(b["value"], b["file"], strict=True):
+                rows = parse_turtle(text)
+                if several:
+                    tag = f"_:f{md5(file.encode()).hexdigest()[:10]}."
+                    own = lambda x, t=tag: t + x[2:] if x.startswith("_:") else x
+                    rows = [(own(s), p, o if lit else own(o), lit, *more) for s, p, o, lit, *more in rows]
+                yield pd.DataFrame(rows, columns=["s", "p", "o", "o_is_literal", "o_datatype", "o_lang"])
+
+    return files.mapInPandas(run, TRIPLES)
 
 
 def read_triples(spark: SparkSession, path: str) -> DataFrame:

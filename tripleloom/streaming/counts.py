@@ -30,10 +30,16 @@ def sessions(events: DataFrame, time: str = "ts", gap: str = "30 minutes", late:
 
 
 def run_once(df: DataFrame, name: str, mode: str = "complete", checkpoint: str | None = None) -> StreamingQuery:
-    """Process all that is there into the in-memory table ``name`` and stop."""
-    w = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True)
-    q = (w.option("checkpointLocation", checkpoint) if checkpoint else w).start()
+    """Process all that is there into a Parquet table of the shared folder, seen as the view ``name``, and stop."""
+    from ..plans.session import scratch
+
+    spark = df.sparkSession
+    path = scratch(spark)
+    spark.createDataFrame([], df.schema).write.parquet(path)
+    put = lambda batch, _: batch.write.mode("overwrite" if mode == "complete" else "append").parquet(path)
+    q = df.writeStream.outputMode(mode).foreachBatch(put).trigger(availableNow=True).option("checkpointLocation", checkpoint or scratch(spark)).start()
     q.awaitTermination()
+    spark.read.schema(df.schema).parquet(path).createOrReplaceTempView(name)
     return q
 
 
