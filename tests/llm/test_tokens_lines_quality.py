@@ -39,6 +39,19 @@ def test_packing_is_a_lossless_cut(request, name):
     assert sorted(got) == want
 
 
+def test_a_vocabulary_that_keeps_spaces_gets_whole_texts(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    assert tokens.Encoder(tokens.vocabulary()).cut
+    alphabet = sorted(pre_tokenizers.ByteLevel.alphabet())
+    tok = Tokenizer(models.BPE({c: i for i, c in enumerate([*alphabet, "Ġa"])}, [("Ġ", "a")]))
+    tok.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    tok.save(str(tmp_path / "t.json"))
+    enc = tokens.Encoder(str(tmp_path / "t.json"))
+    texts = ["b a  a\na", None, "", " a"]
+    assert not enc.cut and [list(np.frombuffer(x, "<u4")) for x in enc.encode(texts)] == [tok.encode(t or "").ids for t in texts]
+
+
 @pytest.mark.parametrize("name", ["docs", "odd", "none"])
 def test_shards_round_trip(request, name):
     docs = request.getfixturevalue(name)

@@ -18,6 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ranks import numbered
 from . import shared
 
 BUCKETS, SHARE, SMOOTH = 10_000, 0.8, 1.0
@@ -119,7 +120,7 @@ def top_k(scored: DataFrame, k: int, key: str = "gumbel_key", bins: int = 4096,
     """``scored`` with ``kept``: exactly the k rows that come first by key (descending), doc_id and rid.
 
     The k-th largest key is closed in on by histograms, however many rows there
-    are; only the last bin's few rows, or equal keys, are ordered.
+    are; only the last bin's few rows, or equal keys, are ordered, and many equal keys by ranges.
     """
     total = scored.count()
     if k >= total or not total:
@@ -137,7 +138,9 @@ def top_k(scored: DataFrame, k: int, key: str = "gumbel_key", bins: int = 4096,
                 lo, hi, inside = row.lo, row.hi, row.n
                 break
             above += row.n
-    band = scored.filter(F.col(key).between(lo, hi)).orderBy(F.desc(key), F.asc_nulls_first("doc_id"), "rid").limit(k - above).select("rid", F.lit(True).alias("_in"))
+    band, order = scored.filter(F.col(key).between(lo, hi)).select(key, "doc_id", "rid"), [F.desc(key), F.asc_nulls_first("doc_id"), "rid"]
+    band = band.orderBy(*order).limit(k - above) if inside <= rest else numbered(band, order).filter(F.col("rank") <= k - above)
+    band = band.select("rid", F.lit(True).alias("_in"))
     x = scored.join(band, "rid", "left")
     return x.withColumn("kept", (F.col(key) > hi) | F.coalesce("_in", F.lit(False))).drop("_in")
 

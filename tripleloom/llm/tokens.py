@@ -61,6 +61,10 @@ class Encoder:
         probe = ["Thing,", "ÀÉÿß***", "Straße.", "ñandú", "The", "it!!"]
         self.short = True
         self.short = all(self._piece(p) == self._whole(p) for p in probe)
+        # and only one that drops white space between words, and keeps no space with a word, has its texts cut there
+        self.cut = True
+        texts = ["a b", " The  thing,\nñandú !! ", "x\n\n y", "it's  3.5 %", "\t1 2\r\n3", "end. New Straße", "  ", "漢字 かな é"]
+        self.cut = all(ids == self._whole(t) for ids, t in zip(self.encode(texts), texts, strict=True))
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -83,6 +87,8 @@ class Encoder:
         return ids
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        if not self.cut:
+            return [self._whole(text) if text else b"" for text in texts]
         get = self.memory.__getitem__
         return [b"".join(map(get, text.replace("\n", " ").split(" "))) if text else b"" for text in texts]
 
