@@ -70,3 +70,28 @@ def test_registry_of_transforms(spark):
     same = transform.TRANSFORMS["identity"](t, None, 2)
     assert same.count() == 2 * t.count() and not same.filter("moved").count()
     assert transform.TRANSFORMS["joint"](t, {"mean_degree": transform.Spec()}, 1, 3).filter("moved").count() == t.select("graph").distinct().count()
+
+
+def test_tagged_values(tmp_path):
+    import numpy as np
+
+    x = {"_counts": {1: 2, "a": (1.5, None)}, "m": np.arange(4).reshape(2, 2), "n": np.int64(3), "l": [True, "s"]}
+    corpus.write_tagged(x, str(tmp_path / "b.json"))
+    assert corpus.read_tagged(str(tmp_path / "b.json")) == {"counts": {1: 2, "a": [1.5, None]}, "m": [[0, 1], [2, 3]], "n": 3, "l": [True, "s"]}
+    assert corpus.untag({corpus.TAG: "PowerLawStats", "data": [2.0, 1.0, 9.0]}) == [2.0, 1.0, 9.0]
+    with pytest.raises(ValueError):
+        corpus.untag({corpus.TAG: "other"})
+    with pytest.raises(TypeError):
+        corpus.tag(object())
+
+
+def test_run_tables(spark, tmp_path):
+    from tripleloom.sources import logs
+
+    df = spark.createDataFrame([(1, "a", 0.5), (2, "b", 1.5)], "step long, term string, error double")
+    for kind in ("csv", "jsonl"):
+        logs.write_table(df, str(tmp_path / f"t.{kind}"))
+        got = logs.read_table(spark, str(tmp_path / f"t.{kind}")).select("step", "term", "error")
+        assert sorted((int(r[0]), r[1], r[2]) for r in got.collect()) == [(1, "a", 0.5), (2, "b", 1.5)]
+    with pytest.raises(ValueError):
+        logs.read_table(spark, "x.xml")

@@ -149,3 +149,22 @@ def test_incremental_cycles_clustering_and_mixing(seed):
         y = [deg[u] for e in now for u in e[::-1]]
         if np.std(x) > 0:
             assert state.counts["degree_assortativity"] == pytest.approx(np.corrcoef(x, y)[0, 1])
+
+
+def test_refining_logs_swaps_and_errors(spark):
+    from tripleloom.operators import studies
+
+    edges = sorted({(f"s{i % 12}", f"p{i % 2}", f"o{(i * 5) % 11}") for i in range(50)})
+    from graphs import graph
+
+    g = rewire.refine(graph(spark, *edges), {"triangle_count": 3.0, "four_cycle_count": 4.0}, budget=60, chains=2, seed=3)
+    swaps = g.swaps.collect()
+    assert {r.chain for r in swaps} == {0, 1} and all(0 <= r.step < 60 and r.degree >= 1 for r in swaps)
+    assert {(r.step, r.term) for r in g.convergence.collect()} == {(s, t) for s in (0, 60) for t in ("triangle_count", "four_cycle_count")}
+    assert g.edges.count() == len(edges)
+    by = studies.delta_profile(g.swaps).collect()
+    assert sum(r.n for r in by) == len(swaps)
+    assert studies.guard_effect(g.swaps, 0).first().passed_over == 1.0
+    seen = []
+    rewire.anneal(edges, {"triangle_count": 1.0}, 20, callback=lambda step, es: seen.append((step, len(es))), every=10)
+    assert seen == [(0, len(edges)), (10, len(edges)), (20, len(edges))]

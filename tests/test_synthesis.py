@@ -47,8 +47,9 @@ def test_ipf_agrees_with_arrays(spark):
         for at, goal in ((col, ct), (row, rt)):
             a *= (goal / np.bincount(at, a))[at]
     df = spark.createDataFrame([(int(r), int(c), float(v)) for r, c, v in zip(row, col, x, strict=True)], "row int, col int, w double")
-    got = {(r.row, r.col): r.x for r in allocation.ipf(df, spark.createDataFrame([(i, v) for i, v in enumerate(rt.tolist())], "row int, rt double"), spark.createDataFrame([(i, v) for i, v in enumerate(ct.tolist())], "col int, ct double"), 8).collect()}
-    assert [got[k] for k in zip(row.tolist(), col.tolist(), strict=True)] == pytest.approx(a)
+    for small in (0, 100):
+        got = {(r.row, r.col): r.x for r in allocation.ipf(df, spark.createDataFrame([(i, v) for i, v in enumerate(rt.tolist())], "row int, rt double"), spark.createDataFrame([(i, v) for i, v in enumerate(ct.tolist())], "col int, ct double"), 8, small).collect()}
+        assert [got[k] for k in zip(row.tolist(), col.tolist(), strict=True)] == pytest.approx(a)
 
 
 def test_stubs_meet_budget_sets_and_caps(spark):

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 import random
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 from pyspark.sql import DataFrame
@@ -203,8 +203,11 @@ def loss(counts: dict, target: dict, adaptive: bool = True, scale: float = 50.0)
     return sum(scale * x * x for x in e) if adaptive else sum(e)
 
 
-def anneal(edges: list[tuple], target: dict[str, float], budget: int, temperature: float = 0.05, cooling: float = 0.9995, seed: int = 0, guard: float = math.inf) -> tuple[list[tuple], list[tuple]]:
-    """The best edges ``(s, p, o)`` seen in ``budget`` swaps of targets within a relation, and the log of the errors.
+def anneal(edges: list[tuple], target: dict[str, float], budget: int, temperature: float = 0.05, cooling: float = 0.9995, seed: int = 0, guard: float = math.inf, errors: list[tuple] | None = None, callback: Callable[[int, list[tuple]], None] | None = None, every: int = 1000) -> tuple[list[tuple], list[tuple]]:
+    """The best edges ``(s, p, o)`` seen in ``budget`` swaps of targets within a relation, and the log of the swaps: (step, change of the loss, accepted, largest degree of an end).
+
+    Every ``every`` steps, and at the end, ``errors`` gets (step, term, relative error)
+    of each term, and ``callback`` the step and the edges as they are.
 
     A swap keeps every entity's degrees and relations; loops and repeats are
     refused.  Half of the proposals close an open wedge while triangles lack.
@@ -220,7 +223,16 @@ def anneal(edges: list[tuple], target: dict[str, float], budget: int, temperatur
         place.setdefault((s, p), []).append(k)
     now = loss(state.counts, goal)
     best, kept, log = now, list(edges), []
+
+    def report(step: int) -> None:
+        if errors is not None:
+            errors.extend((step, t, abs(state.counts[t] - goal[t]) / max(1e-9 if t in MORE[2:] else 1.0, abs(goal[t]))) for t in goal)
+        if callback:
+            callback(step, list(edges))
+
     for step in range(budget if len(edges) > 1 and goal else 0):
+        if step % every == 0:
+            report(step)
         i = rng.randrange(len(edges))
         s1, p, o1 = edges[i]
         j = rng.choice(by[p])
@@ -240,7 +252,7 @@ def anneal(edges: list[tuple], target: dict[str, float], budget: int, temperatur
             state.add(s, o)
         new = loss(state.counts, goal)
         ok = new <= now or rng.random() < math.exp(-(new - now) / max(temperature, 1e-12))
-        log.append((step, new - now, ok))
+        log.append((step, new - now, ok, max(len(state.near[x]) for x in (s1, o1, s2, o2))))
         if ok:
             have -= {edges[i], edges[j]}
             have |= {a, b}
@@ -253,6 +265,7 @@ def anneal(edges: list[tuple], target: dict[str, float], budget: int, temperatur
                 state.remove(s, o)
             for s, o in ((s1, o1), (s2, o2)):
                 state.add(s, o)
+    report(budget)
     return kept, log
 
 
@@ -262,6 +275,9 @@ def refine(g: Graph, target: dict[str, float], budget: int = 5000, chains: int =
     A chain holds the edges in one task, so graphs beyond ``max_edges`` raise.  With
     a ``guard``, five- and six-cycles at ends of a higher degree are not followed
     while rewiring; the chains are compared, and the winner chosen, without it.
+
+    The graph has ``swaps``, a table (chain, step, delta, accepted, degree) of every
+    proposal, and ``convergence``, (chain, step, term, error) of every thousandth step.
     """
     from ..plans.session import ship
 
@@ -278,21 +294,31 @@ def refine(g: Graph, target: dict[str, float], budget: int = 5000, chains: int =
     def run(key, pdf):
         import pandas as pd
 
-        kept, _ = anneal(sorted(zip(pdf.s, pdf.p, pdf.o, strict=True)), goal, budget, temperature, cooling, seed + int(key[0]), guard)
+        errors: list[tuple] = []
+        kept, log = anneal(sorted(zip(pdf.s, pdf.p, pdf.o, strict=True)), goal, budget, temperature, cooling, seed + int(key[0]), guard, errors)
         e = loss(State(((s, o) for s, _, o in kept), tuple(t for t in MORE if t in goal)).counts, goal)
-        return pd.DataFrame({"chain": int(key[0]), "loss": e, "s": [x[0] for x in kept], "p": [x[1] for x in kept], "o": [x[2] for x in kept]})
+        parts = [
+            pd.DataFrame(kept, columns=["s", "p", "o"]).assign(kind="edge", loss=e),
+            pd.DataFrame(log, columns=["step", "delta", "accepted", "degree"]).assign(kind="swap"), pd.DataFrame(errors, columns=["step", "s", "delta"]).assign(kind="error"),
+        ]
+        names = ["chain", "kind", "loss", "s", "p", "o", "step", "delta", "accepted", "degree"]
+        out = pd.concat([x.reindex(columns=names) for x in parts if len(x)], ignore_index=True).assign(chain=int(key[0]))
+        return out.astype({"loss": float, "step": "Int64", "delta": float, "accepted": "boolean", "degree": "Int64"})
 
     from ..operators.components import checkpointed
 
-    made = checkpointed(copies.groupBy("chain").applyInPandas(run, "chain int, loss double, s string, p string, o string"))
-    best = made.groupBy("chain").agg(F.min("loss").alias("loss")).orderBy("loss", "chain").limit(1).select("chain")
-    edges = made.join(F.broadcast(best), "chain").select("s", "p", "o", F.lit(False).alias("o_is_literal"))
-    return Graph(fixed.select("s", "p", "o", "o_is_literal").unionByName(edges), distinct=True)
+    made = checkpointed(copies.groupBy("chain").applyInPandas(run, "chain int, kind string, loss double, s string, p string, o string, step long, delta double, accepted boolean, degree long"))
+    best = made.filter("kind = 'edge'").groupBy("chain").agg(F.min("loss").alias("loss")).orderBy("loss", "chain").limit(1).select("chain")
+    edges = made.filter("kind = 'edge'").join(F.broadcast(best), "chain").select("s", "p", "o", F.lit(False).alias("o_is_literal"))
+    out = Graph(fixed.select("s", "p", "o", "o_is_literal").unionByName(edges), distinct=True)
+    out.swaps = made.filter("kind = 'swap'").select("chain", "step", "delta", "accepted", "degree")
+    out.convergence = made.filter("kind = 'error'").select("chain", "step", F.col("s").alias("term"), F.col("delta").alias("error"))
+    return out
 
 
 def swap_log(edges: list[tuple], target: dict[str, float], budget: int, spark, seed: int = 0) -> DataFrame:
-    """``(step, delta, accepted)`` of one chain."""
-    return spark.createDataFrame(anneal(edges, target, budget, seed=seed)[1], "step int, delta double, accepted boolean")
+    """``(step, delta, accepted, degree)`` of one chain."""
+    return spark.createDataFrame(anneal(edges, target, budget, seed=seed)[1], "step int, delta double, accepted boolean, degree int")
 
 
 def generate(spark, values: dict[str, float], seed: int = 0, budget: int = 50_000, chains: int = 1) -> Graph:

@@ -28,6 +28,12 @@ def set_symmetry(g: Graph) -> DataFrame:
     return j.join(measures.reciprocity(g), "p").select("p", "n_both", "n_any", (F.col("n_both") / F.col("n_any")).alias("jaccard"), "reciprocity")
 
 
+def symmetry_summary(g: Graph) -> DataFrame:
+    """Mean and median of :func:`set_symmetry` over the relations."""
+    x = set_symmetry(g)
+    return x.agg(F.count(F.lit(1)).alias("n_relations"), *(f(c).alias(f"{n}_{c}") for c in ("jaccard", "reciprocity") for n, f in (("mean", F.avg), ("median", lambda c: F.percentile(c, 0.5)))))
+
+
 def relation_cooverlap(g: Graph) -> DataFrame:
     """``(p, q, jaccard)``: overlap of the pair sets of two relations, for those that share a pair."""
     c = g.content

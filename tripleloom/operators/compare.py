@@ -116,6 +116,23 @@ def distributions(values: dict[str, float]) -> list[tuple[str, str, str, dict[st
     return [(b, n, k, {p: values[f] for p, f in fit.items()}, list(fit.values())) for b, n, k, fit in out if not any(math.isnan(values.get(f, math.nan)) for f in fit.values())]
 
 
+def curves(spark: SparkSession, values: dict[str, float], points: int = 50) -> DataFrame:
+    """``(block, name, kind, x, y)``: what to draw for each distribution that a signature describes: values by level, values by rank, or the share above each value."""
+    rows = []
+    for block, name, kind, fit, _ in distributions(values):
+        if kind == "quantile":
+            line = list(zip(LEVELS, fit.values(), strict=True))
+        elif kind == "exp_decay":
+            line = [(float(k), fit["scale"] * math.exp(-fit["rate"] * k)) for k in range(RANKS)]
+        else:
+            lo, hi, c = max(fit["lo"], 1e-9), max(fit["hi"], fit["lo"]), 1 - fit["alpha"]
+            at = [lo * (hi / lo) ** (k / (points - 1)) for k in range(points)] if hi > lo else [lo]
+            above = lambda x: (math.log(hi / x) / math.log(hi / lo) if abs(c) < 1e-6 else (hi**c - x**c) / (hi**c - lo**c)) if hi > lo else 1.0  # noqa: E731, B023
+            line = [(x, above(x)) for x in at]
+        rows += [(block, name, kind, float(x), float(y)) for x, y in line]
+    return spark.createDataFrame(rows, "block string, name string, kind string, x double, y double")
+
+
 def report(spark: SparkSession, target: dict[str, float], achieved: dict[str, float], seed: int = 0) -> DataFrame:
     """``(block, name, kind, error)``: distances of the distributions that both signatures describe, over the target's spread, and relative errors of the features that none of them covers."""
     a, b = ({(blk, n, k): (fit, names) for blk, n, k, fit, names in distributions(v)} for v in (target, achieved))

@@ -5,6 +5,7 @@ Feature tables are long: ``(graph, feature, value)``.
 
 from __future__ import annotations
 
+from abc import ABC, abstractmethod
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -168,6 +169,33 @@ def uniform_range(corpus: DataFrame, copies: int = 1, seed: int = 0, widen: floa
     return x.select("copy", "feature", v.alias("value"))
 
 
+class Sampler(ABC):
+    """A way to draw feature vectors from a population ``(graph, feature, value)``: ``(copy, feature, value)``."""
+
+    @abstractmethod
+    def draw(self, corpus: DataFrame, copies: int = 1, seed: int = 0) -> DataFrame: ...
+
+    def save(self, corpus: DataFrame, path: str, copies: int = 1, seed: int = 0, mode: str = "errorifexists") -> None:
+        """Draw, and write a JSON object per copy with its features; unmeasured ones are left out."""
+        x = self.draw(corpus, copies, seed).filter(F.col("value").isNotNull())
+        x.groupBy("copy").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("feature", "value")))).alias("features")).write.mode(mode).json(path)
+
+
+class UniformRange(Sampler):
+    """:func:`uniform_range`."""
+
+    def __init__(self, widen: float = WIDEN, support: int = SUPPORT):
+        self.widen, self.support = widen, support
+
+    def draw(self, corpus: DataFrame, copies: int = 1, seed: int = 0) -> DataFrame:
+        return uniform_range(corpus, copies, seed, self.widen, self.support)
+
+
+def size_free(table: DataFrame, weak: bool = False) -> DataFrame:
+    """A feature table without the features that grow with the graph (and, with ``weak``, slowly with it)."""
+    return table.filter(F.col("feature").isin(features.size_free(features.ORDER, weak)))
+
+
 def identity(table: DataFrame, specs: dict[str, Spec] | None = None, copies: int = 1, seed: int = 0) -> DataFrame:
     """The table as it is, in the shape of :func:`perturb`."""
     x = table.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))

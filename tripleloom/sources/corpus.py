@@ -104,6 +104,64 @@ def from_yaml(path: str) -> Signature:
     return Signature(values)
 
 
+def flat_copy(root: str, out: str) -> list[str]:
+    """Copy each graph's ``signature.json`` to ``<out>/<name>.json``; the names."""
+    Path(out).mkdir(parents=True, exist_ok=True)
+    done = []
+    for name in graph_names(root):
+        at = graph_dir(root, name) / "signature" / "signature.json"
+        if at.exists():
+            (Path(out) / f"{name}.json").write_text(at.read_text())
+            done.append(name)
+    return done
+
+
+#: Key and kinds of tagged values in block files (fixed values).
+TAG = "__sig_type__"
+TAGS = ("ndarray", "PowerLawStats", "tuple", "dict")
+
+
+def untag(x):
+    """A value of a tagged block file in plain Python: arrays, tuples and fits become lists, tagged mappings dictionaries."""
+    match x:
+        case {"__sig_type__": "dict", "items": items}:
+            return {untag(k): untag(v) for k, v in items}
+        case {"__sig_type__": kind, "data": data} if kind in TAGS:
+            return untag(data)
+        case {"__sig_type__": kind}:
+            raise ValueError(f"unknown tag: {kind}")
+        case dict():
+            return {k: untag(v) for k, v in x.items()}
+        case list():
+            return list(map(untag, x))
+    return x
+
+
+def tag(x):
+    """The tagged form of plain values, numpy arrays and numbers; TypeError for anything else."""
+    if hasattr(x, "dtype"):
+        return {TAG: "ndarray", "dtype": str(x.dtype), "data": x.tolist()} if getattr(x, "ndim", 0) else x.item()
+    match x:
+        case None | bool() | int() | float() | str():
+            return x
+        case list():
+            return list(map(tag, x))
+        case tuple():
+            return {TAG: "tuple", "data": list(map(tag, x))}
+        case dict():
+            return {TAG: "dict", "items": [[tag(k), tag(v)] for k, v in x.items()]}
+    raise TypeError(f"no tagged form for {type(x).__name__}")
+
+
+def read_tagged(path: str) -> dict:
+    """A tagged block file as plain values by field."""
+    return {k: untag(v) for k, v in json.loads(Path(path).read_text()).items()}
+
+
+def write_tagged(fields: dict, path: str) -> None:
+    Path(path).write_text(json.dumps({k.removeprefix("_"): tag(v) for k, v in fields.items()}, indent=1))
+
+
 def aggregate(spark: SparkSession, root: str) -> DataFrame:
     """``(graph, feature, value)`` of all signatures of a corpus."""
     return read_corpus(spark, f"{root}/*/signature/signature.json").select(F.col("graph"), "feature", "value")
