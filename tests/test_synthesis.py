@@ -248,3 +248,29 @@ def test_a_run_without_a_budget_rewires_in_full(tmp_path, monkeypatch):
     with pytest.raises(ZeroDivisionError):
         cli.main(["generate", str(tmp_path / "t.json"), "--out", str(tmp_path / "made")], None)
     assert given == [50_000]
+
+
+def test_samplers_curves_and_size_free_tables(spark, tmp_path):
+    rows = [(f"g{i}", f, float(1 + i + k)) for i in range(3) for k, f in enumerate(("num_entities", "mean_degree", "two_step_vmin"))]
+    pop = spark.createDataFrame(rows, "graph string, feature string, value double")
+    x = transform.UniformRange(widen=0.0).draw(pop, 4, seed=1).filter("value is not null and feature <> 'num_classes'").collect()
+    lim = {f: ([v for _, g, v in rows if g == f][0], [v for _, g, v in rows if g == f][-1]) for f in ("num_entities", "mean_degree", "two_step_vmin")}
+    assert len(x) == 12 and all(lim[r.feature][0] <= r.value <= lim[r.feature][1] for r in x)
+    transform.UniformRange().save(pop, str(tmp_path / "drawn"), 2, seed=1)
+    assert spark.read.json(str(tmp_path / "drawn")).count() == 2
+    assert {r.feature for r in transform.size_free(pop).collect()} == {"mean_degree", "two_step_vmin"}
+    assert {r.feature for r in transform.size_free(pop, weak=True).collect()} == {"mean_degree"}
+    values = {f"cs_size_{s}": float(k) for k, s in enumerate(("q00", "q10", "q25", "q50", "q75", "q90", "q100"))} | {"out_degree_alpha": 2.0, "out_degree_xmin": 1.0, "out_degree_max": 9.0, "subj_cooc_rate": 1.0, "subj_cooc_scale": 2.0}
+    lines = {}
+    for r in compare.curves(spark, values).collect():
+        lines.setdefault(r.name, []).append((r.x, r.y))
+    assert lines["cs_size"] == [(level, float(k)) for k, level in enumerate((0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0))]
+    assert lines["out_degree"][0] == (1.0, 1.0) and lines["out_degree"][-1][1] == pytest.approx(0, abs=1e-9) and lines["subj_cooc"][1][1] == pytest.approx(2 / math.e)
+
+
+def test_round_trip_measures_what_was_made(spark):
+    from tripleloom.operators import studies
+
+    got = studies.round_trip(spark, target(), [1], ["a"], "plain", budget=0).collect()
+    assert {r.feature for r in got} == {"num_entities", "num_relations", "mean_degree", "type_edge_frac"} and all(r.config == "plain" for r in got)
+    assert max(r.relative_error for r in got if r.feature in ("num_relations", "mean_degree")) < 0.35

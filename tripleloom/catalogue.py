@@ -54,15 +54,23 @@ def _quantiles_sql(value: str, source: str, head: str = "", least: int = fits.MI
 
 
 def power_sql(values: str, value: str, by: str, pin_low: bool = True) -> str:
-    """The most likely exponent of a discrete power law on [lo, hi] for each group, by 44 halvings; ``values`` is a query, ``by`` a column of it."""
-    law = lambda f: f"list_sum(list_transform(range(lo, hi + 1), lambda k: {f}pow(k, -m)))"
+    """The most likely exponent of a discrete power law on [lo, hi] for each group, by 44 halvings; ``values`` is a query, ``by`` a column of it.
+
+    Sums have 100,000 terms and beyond these the integral with two corrections (Euler-Maclaurin).
+    """
+    terms = lambda f: f"list_sum(list_transform(range(lo, top + 1), lambda k: {f}pow(k, -m)))"
+    rest = lambda whole, f, d: f"CASE WHEN hi > top THEN {whole} + ({f('hi')} - {f('top')}) / 2 + ({d('hi')} - {d('top')}) / 12 ELSE 0 END"
+    c = "(1 - m)"
+    s = f"({terms('')} + {rest(f'(pow(hi, {c}) - pow(top, {c})) / {c}', lambda x: f'pow({x}, -m)', lambda x: f'-m * pow({x}, -m - 1)')})"
+    first = lambda x: f"pow({x}, {c}) * ({c} * ln({x}) - 1)"
+    t = f"({terms('ln(k) * ')} + {rest(f'({first('hi')} - {first('top')}) / ({c} * {c})', lambda x: f'ln({x}) * pow({x}, -m)', lambda x: f'pow({x}, -m - 1) * (1 - m * ln({x}))')})"
     return f"""
 , vals AS ({values})
 , st AS (SELECT {by} AS grp, count(*) AS n, sum(ln({value})) AS sum_log, {"1::BIGINT" if pin_low else f"min({value})::BIGINT"} AS lo, max({value})::BIGINT AS hi FROM vals WHERE {value} > 0 GROUP BY 1)
-, halves(grp, mean, lo, hi, a, b, i) AS (
-  SELECT grp, sum_log / n, lo, hi, 1.000000001::DOUBLE, 3.0::DOUBLE, 0 FROM st WHERE n >= 10 AND lo < hi
-  UNION ALL SELECT grp, mean, lo, hi, CASE WHEN f > 0 THEN m ELSE a END, CASE WHEN f > 0 THEN b ELSE m END, i + 1
-  FROM (SELECT *, {law("ln(k) * ")} / {law("")} - mean AS f FROM (SELECT *, (a + b) / 2 AS m FROM halves WHERE i < 44)))
+, halves(grp, mean, lo, top, hi, a, b, i) AS (
+  SELECT grp, sum_log / n, lo, least(hi, lo + 100000), hi, 1.000000001::DOUBLE, 3.0::DOUBLE, 0 FROM st WHERE n >= 10 AND lo < hi
+  UNION ALL SELECT grp, mean, lo, top, hi, CASE WHEN f > 0 THEN m ELSE a END, CASE WHEN f > 0 THEN b ELSE m END, i + 1
+  FROM (SELECT *, {t} / {s} - mean AS f FROM (SELECT *, (a + b) / 2 AS m FROM halves WHERE i < 44)))
 , alphas AS (SELECT st.grp, st.n, st.sum_log, st.lo, st.hi, round((a + b) / 2, 6) AS alpha FROM st LEFT JOIN (SELECT * FROM halves WHERE i = 44) h ON h.grp IS NOT DISTINCT FROM st.grp)"""
 
 
