@@ -250,7 +250,28 @@ _SETS5 = """
 , dg AS (SELECT vs, u, count(*) AS d FROM s5 JOIN num ON list_contains(vs, u) AND list_contains(vs, v) GROUP BY vs, u)
 SELECT ds, count(*) AS n FROM (SELECT vs, string_agg(d::VARCHAR, ',' ORDER BY d) AS ds FROM dg GROUP BY vs) GROUP BY ds"""
 add("e_graphlets5", lambda spark, d: motifs.graphlets(geography_graph(spark, d), 5), f"WITH {GEOGRAPHY_SQL},{VIEWS_SQL}{_ORIENTED}{_SETS5}")
-add("e_cycles6", lambda spark, d: motifs.cycles(geography_graph(spark, d), 6), f"""WITH {GEOGRAPHY_SQL},{VIEWS_SQL}{_ORIENTED}
+#: Nations in a circle, each beside those four and five further.
+_CIRCLE_SQL = """
+edges AS (SELECT 'nation/' || a.n_nationkey AS s, 'beside' AS p, 'nation/' || b.n_nationkey AS o, FALSE AS lit FROM nation a JOIN nation b
+  ON b.n_nationkey IN ((a.n_nationkey + 4) % 25, (a.n_nationkey + 5) % 25))"""
+#: Suppliers hang on nations, which have neighbours: dead ends beside rings.
+_OUTPOSTS_SQL = GEOGRAPHY_SQL.replace("edges AS (", "around AS (") + """, edges AS (SELECT * FROM around WHERE p <> 'initial'
+  UNION ALL SELECT 'supplier/' || s_suppkey, 'inNation', 'nation/' || s_nationkey, FALSE FROM supplier)"""
+
+
+def _circle(spark: SparkSession, sf_dir: str) -> Graph:
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("a"))
+    e = n.withColumn("b", F.explode(F.array((F.col("a") + 4) % 25, (F.col("a") + 5) % 25)))
+    return Graph(e.select(F.concat(F.lit("nation/"), "a").alias("s"), F.lit("beside").alias("p"), F.concat(F.lit("nation/"), "b").alias("o")), distinct=True)
+
+
+def _outposts(spark: SparkSession, sf_dir: str) -> Graph:
+    x = geography_graph(spark, sf_dir).edges.filter("p <> 'initial'")
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.concat(F.lit("supplier/"), "s_suppkey").alias("s"), F.lit("inNation").alias("p"), F.concat(F.lit("nation/"), "s_nationkey").alias("o"), F.lit(False).alias("o_is_literal"))
+    return Graph(x.union(s), distinct=True)
+
+
+add("e_cycles6", lambda spark, d: motifs.cycles(_circle(spark, d), 6), f"""WITH {_CIRCLE_SQL},{VIEWS_SQL}{_ORIENTED}
 , c6 AS (SELECT a.u AS v1, a.v AS v2, b.v AS v3, c.v AS v4, d.v AS v5, e.v AS v6 FROM num a JOIN num b ON b.u = a.v AND b.v <> a.u JOIN num c ON c.u = b.v AND c.v NOT IN (a.u, a.v)
   JOIN num d ON d.u = c.v AND d.v NOT IN (a.u, a.v, b.v) JOIN num e ON e.u = d.v AND e.v NOT IN (a.u, a.v, b.v, c.v) JOIN num f ON f.u = e.v AND f.v = a.u)
 SELECT count(*) // 12 AS cycles FROM c6 WHERE NOT EXISTS (SELECT 1 FROM num WHERE (u, v) IN ((v1, v3), (v1, v4), (v1, v5), (v2, v4), (v2, v5), (v2, v6), (v3, v5), (v3, v6), (v4, v6)))""")
@@ -301,7 +322,7 @@ SELECT p.src, p.dst, min(w.dist)::BIGINT AS dist FROM pairs p JOIN walk w ON w.s
 star("f_path_stats", paths.path_stats)
 category("f_path_stats_categories", paths.path_stats)
 category("f_bridges", paths.bridges)
-add("f_bridges_geography", lambda spark, d: paths.bridges(geography_graph(spark, d)), f"""WITH RECURSIVE {GEOGRAPHY_SQL},{VIEWS_SQL},
+add("f_bridges_geography", lambda spark, d: paths.bridges(_outposts(spark, d)), f"""WITH RECURSIVE {_OUTPOSTS_SQL},{VIEWS_SQL},
 walk(eu, ev, x) AS (SELECT u, v, u FROM und UNION SELECT w.eu, w.ev, e.v FROM walk w JOIN both_ways e ON e.u = w.x AND NOT (e.u = w.eu AND e.v = w.ev) AND NOT (e.u = w.ev AND e.v = w.eu))
 SELECT u, v FROM und WHERE (u, v, v) NOT IN (SELECT eu, ev, x FROM walk)""")
 
