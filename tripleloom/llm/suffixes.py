@@ -35,7 +35,9 @@ from pyspark.sql import functions as F
 from . import shared
 from .nearjoin import _bounds, _spread, whole_groups
 
-WINDOW, GRAM, SHALLOW, PART, HOT = 100, 32, 16, 4 << 20, 1000
+WINDOW, GRAM, SHALLOW, PART = 100, 32, 16, 4 << 20
+#: Different segments of one anchor that a task sorts; at some 12 KB each (69 suffixes with their strings) this is 125 MB.
+HOT = 10_000
 _SPAN = WINDOW - GRAM + 1
 _BYTES = _spread(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _BASE = 0xD6E8FEB86659FD93
