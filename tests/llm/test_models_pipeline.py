@@ -177,6 +177,20 @@ def test_a_fit_that_does_not_settle_is_an_error(spark):
         mixing.fit_rates(soft, {"a": 1.0, "b": 0.0}, budget=80.0, steps=1)
 
 
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_rates_settle_where_the_scarce_domain_is_spread_thin(spark, seed):
+    """Plain steps are too short for what little of a domain is left once its own documents are at rate 0."""
+    rng = np.random.default_rng(seed)
+    p = np.exp(rng.normal(0, 4, (300, 3)) + [0, -2, 1])
+    p, n = np.round(p / p.sum(1, keepdims=True), 6), rng.integers(1, 300, 300).astype(float)
+    soft = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p, strict=True)], "_n long, _p array<double>")
+    for whole in (None, "clean"):
+        fit = mixing.fit_rates(soft, mixing.TARGETS, whole=whole)
+        rate = np.array([r["r"] for r in soft.select(mixing.rate_after(fit.steps).alias("r")).collect()])
+        assert fit.ended == "met" and (rate >= 0).all()
+        assert (n * rate) @ p == pytest.approx(fit.goal, abs=2e-6 * sum(fit.goal))
+
+
 @pytest.mark.parametrize("sizes", [(3796, 200, 4), (1800, 1050, 150)])
 def test_pipeline_mixture_of_scarce_and_of_plentiful_domains(spark, tmp_path, sizes):
     rng, names = np.random.default_rng(3), list(mixing.TARGETS)

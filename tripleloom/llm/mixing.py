@@ -20,6 +20,15 @@ tokens are summed by posterior once, and a step is one aggregate over that
 table.  Cut-off rates make room for longer steps, so the same aggregate tries lengths
 up to 8,192 and the one with the least misfit is taken.  W is fixed; it is not the Newton step's matrix, which changes with the
 documents at rate 0 and has other fixed points.
+
+Where the documents left have little of a domain, W is far too small for it and such
+steps crawl.  A step that leaves over half of the misfit gives way to an implicit
+one: of a length L much longer than 1, against the gradient at its own end (the step s
+with s = L W m', m' the misfit after it).  It moves a rate as all steps do, has the
+same fixed points for any L > 0 (the rates are their own projected gradient step), and
+never raises the misfit, for it minimizes m' W m + |change|^2 / L.  The step s is the minimum
+of a convex function of as many numbers as there are domains, found by damped
+Newton steps, an aggregate each.
 """
 
 from __future__ import annotations
@@ -38,6 +47,8 @@ TARGETS = {"clean": 0.94, "junk": 0.05, "toxic": 0.01}
 WORD_BUCKETS, END_BUCKETS, Z, STEPS, CLOSE, STILL = 1 << 15, 1 << 11, 4.0, 100, 1e-6, 1e-4
 #: Step lengths tried together; the first is safe.
 LENGTHS = tuple(2.0**i for i in range(14))
+#: Lengths of the first implicit step and of the longest, and what each is longer than the one before; dampings tried together, and Newton steps.
+FAR, FARTHEST, FARTHER, DAMPED, NEWTON = 1e5, 1e11, 100.0, (1.0, 0.5, 0.25, 0.0625, 2.0**-6, 2.0**-9), 60
 #: With a domain to be used whole: bound on a scarce domain's repeats, if its documents hold this share of its tokens as their own.
 REPEATS, OWN = 16, 0.5
 _SPLIT = r"[\x20\x09-\x0D]+"
@@ -160,6 +171,45 @@ def goals(targets: dict[str, float], now: list[float], held: list[float], budget
     return goal
 
 
+def implicit_step(groups: DataFrame, goal: np.ndarray, gram: np.ndarray, length: float) -> tuple[np.ndarray, np.ndarray]:
+    """The step against the gradient at its own end from the rates ``old`` of ``groups(_n, _p, old)``, and the tokens after it.
+
+    With rates r = max(0, old - p . s) the function sum(n r^2) / 2 + goal . s + s' G s / (2 length)
+    is convex in s, and its gradient is 0 where s = length W m.
+    """
+    k = len(goal)
+    p = [F.element_at("_p", i + 1) for i in range(k)]
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    pull = gram / length
+    scale = 1 / np.sqrt(np.diag(pull))
+
+    def at(steps: list[np.ndarray]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        sums = []
+        for c, s in enumerate(steps):
+            r = F.greatest(F.lit(0.0), F.col("old") - sum((p[i] * float(s[i]) for i in range(k)), F.lit(0.0)))
+            free = F.when(r > 0, F.col("_n")).otherwise(0.0)
+            sums += [F.sum(F.col("_n") * r * r).alias(f"f{c}"), *(F.sum(F.col("_n") * r * p[i]).alias(f"t{c}_{i}") for i in range(k)), *(F.sum(free * p[i] * p[j]).alias(f"h{c}_{i}_{j}") for i, j in pairs)]
+        row, out = groups.agg(*sums).first(), []
+        for c, s in enumerate(steps):
+            bend = np.array([[row[f"h{c}_{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
+            out.append(((row[f"f{c}"] or 0.0) / 2 + goal @ s + s @ pull @ s / 2, np.array([row[f"t{c}_{i}"] or 0.0 for i in range(k)]), bend))
+        return out
+
+    step = np.zeros(k)
+    value, totals, bend = at([step])[0]
+    for _ in range(NEWTON):
+        slope = goal - totals + pull @ step
+        if np.abs(slope).max() <= 1e-3 * CLOSE * goal.sum():
+            break
+        move = -scale * np.linalg.lstsq((bend + pull) * np.outer(scale, scale), scale * slope, rcond=1e-15)[0]
+        tried = at([step + t * move for t in DAMPED])
+        best = int(np.argmin([f for f, _, _ in tried]))
+        if not tried[best][0] < value:
+            break
+        step, (value, totals, bend) = step + DAMPED[best] * move, tried[best]
+    return step, totals
+
+
 def fit_rates(soft: DataFrame, targets: dict[str, float], budget: float | None = None, steps: int = STEPS, whole: str | None = None) -> Fit:
     """Fit rates to the targets over ``soft(_n, _p)``.
 
@@ -185,6 +235,7 @@ def fit_rates(soft: DataFrame, targets: dict[str, float], budget: float | None =
     d = np.sqrt(np.where(np.diag(gram) > 0, np.diag(gram), 1.0))
     weight = np.linalg.pinv(gram / np.outer(d, d), rcond=1e-9, hermitian=True) / np.outer(d, d)
     since: list[list[float]] = []  # steps that the table of rates does not hold yet
+    far, pull = FAR, gram + np.diag(np.where(np.diag(gram) > 0, 0.0, 1.0))
     while True:
         fit.history.append(now)
         miss = np.array(now) - fit.goal
@@ -203,12 +254,19 @@ def fit_rates(soft: DataFrame, targets: dict[str, float], budget: float | None =
             totals = [np.array([row[f"t{j}_{i}"] or 0.0 for i in range(k)]) for j in range(len(LENGTHS))]
             left = [float((t - fit.goal) @ weight @ (t - fit.goal)) for t in totals]
             best = int(np.argmin(left))
-            if float(miss @ step) - left[best] <= STILL * float(miss @ step):
+            least, step, after = left[best], LENGTHS[best] * step, totals[best]
+            was = float(miss @ weight @ miss)
+            if least > was / 2:
+                longer, end = implicit_step(tried, np.array(fit.goal), pull, far)
+                far = min(far * FARTHER, FARTHEST)
+                if (over := float((end - fit.goal) @ weight @ (end - fit.goal))) < least:
+                    least, step, after = over, longer, end
+            if was - least <= STILL * was:
                 fit.ended = "still"
             else:
-                fit.steps.append((LENGTHS[best] * step).tolist())
+                fit.steps.append(step.tolist())
                 since.append(fit.steps[-1])
-                now = totals[best].tolist()
+                now = after.tolist()
         if fit.ended:
             shared.remove(soft.sparkSession, *tables)
             return fit
