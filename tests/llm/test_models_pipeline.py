@@ -266,6 +266,20 @@ def test_pipeline_stages(spark):
     assert n == kept.count()
 
 
+def test_pipeline_workers_keep_no_tokenizer_beside_other_operators():
+    """Workers serve one operator after the other; what the last one kept must not lie beside the next."""
+    from tripleloom.llm import linededup, nearjoin, packing, tokens
+
+    path, none = tokens.vocabulary(), iter(())
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(packing, "TaskContext", type("Task", (), {"get": classmethod(lambda c: c), "partitionId": classmethod(lambda c: 0)}))
+        assert list(packing._encode(path, 2)(none)) == []
+    assert tokens.encoder.cache_info().currsize == 1
+    for run in (langid._predict(None, "text", []), linededup._hash(40), linededup._probe("", 5), linededup._drop(("", 1), 40, [], "text", "doc_id"), nearjoin._sign(5), nearjoin._bands, nearjoin._short, nearjoin._candidates([]), nearjoin._verify(0.8, 1e-7), nearjoin._sets(5), packing._cut(np.zeros(1, np.int64), 4096)):
+        tokens.encoder(path)
+        assert list(run(none)) == [] and tokens.encoder.cache_info().currsize == 0
+
+
 def test_pipeline_of_odd_and_empty_tables(spark, odd, none, tmp_path):
     labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
     for name, table in (("odd", odd), ("none", none)):

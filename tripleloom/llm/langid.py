@@ -294,7 +294,7 @@ def _predict(net: Network | None, text_col: str, names: list[str], known: Known
             new = {"_lang": pa.array(lang, pa.string()), "_score": pa.array(score, pa.float64())}
             yield pa.RecordBatch.from_arrays([new[n] if n in new else b.column(b.schema.get_field_index(n)) for n in names], names=names)
 
-    return run
+    return shared.tidy(run)
 
 
 def identify(docs: DataFrame, net: Network | None, *, text_col: str = "text", known: Known | None = None) -> DataFrame:

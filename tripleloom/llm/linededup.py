@@ -165,7 +165,7 @@ def _hash(min_chars: int):
             at = np.flatnonzero(np.r_[True, (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1]) | (part[1:] != part[:-1])])
             yield shared.table({"hi": hi[at], "lo": lo[at], "part": part[at], "n": np.diff(np.r_[at, len(hi)]), "owner": np.maximum.reduceat(doc, at)}, _HASHES)
 
-    return run
+    return shared.tidy(run)
 
 
 def line_hashes(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
@@ -236,7 +236,7 @@ def _probe(folder: str, min_docs: int):
                 if len(hit):
                     yield shared.table({"rid": part[hit] << 33, "hi": hi[hit], "lo": lo[hit], "owner": owner[hit - i]}, _HITS)
 
-    return run
+    return shared.tidy(run)
 
 
 def frequent(hashes: DataFrame, index: tuple[int, str], min_docs: int) -> DataFrame:
@@ -267,7 +267,7 @@ def _drop(at: tuple[str, int], min_chars: int, names: list[str], text_col: str,
             new = {"_n_lines": pa.array(n_lines, pa.int64()), "_n_dropped": pa.array(n_gone, pa.int64()), text_col: pa.array(out, pa.binary()).cast(pa.string())}
             yield pa.RecordBatch.from_arrays([new[c] if c in new else col(c) for c in names], names=names)
 
-    return run
+    return shared.tidy(run)
 
 
 def drop_lines(docs: DataFrame, *, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, per_shard: int = PER_SHARD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -142,7 +142,7 @@ def _sign(words: int):
             sig = signatures(sets)
             yield shared.table({"rid": b.column(0), "doc_id": b.column(1), "h1": h[:, 0], "h2": h[:, 1], "sig": [r.tobytes() for r in sig]}, _SIGNED)
 
-    return run
+    return shared.tidy(run)
 
 
 BANDS = VALUES // ROWS
@@ -162,6 +162,7 @@ def _signatures_of(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), -1)
 
 
+@shared.tidy
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("key", pa.int64()), ("band", pa.int32()), ("cid", pa.int64())])
     for b in batches:
@@ -171,6 +172,7 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield shared.table({"key": x.reshape(-1).view(np.int64), "band": np.tile(np.arange(BANDS, dtype=np.int32), len(x)), "cid": np.repeat(part.column(0).to_numpy(), BANDS)}, schema)
 
 
+@shared.tidy
 def _short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What a bucket needs of a class: 32 bits of each band's hash, and 8 bits of each value."""
     schema = pa.schema([("cid", pa.int64()), ("bits", pa.binary())])
@@ -219,7 +221,7 @@ def _candidates(need: list[int]):
             if stay.any():
                 yield b.select([0, 1, 2, 3]).filter(pa.array(stay)).cast(_NODES)
 
-    return run
+    return shared.tidy(run)
 
 
 def intersections(sets: list[np.ndarray]) -> np.ndarray:
@@ -297,7 +299,7 @@ def _verify(threshold: float, tolerance: float):
                     yield shared.table({"cid": ids, "links": links.astype(np.int64), "root": ids[root]}, _COUNTED)
                 first = last
 
-    return run
+    return shared.tidy(run)
 
 
 def _sets(words: int):
@@ -307,7 +309,7 @@ def _sets(words: int):
         for b in shared.slices(batches, "text", 1 << 20):
             yield shared.table({"cid": b.column(0), "set": [shingles(t, words).tobytes() for t in b.column(1).to_pylist()]}, schema)
 
-    return run
+    return shared.tidy(run)
 
 
 def _dealt(rows: DataFrame, key: str, members: str, chunk: int) -> DataFrame:

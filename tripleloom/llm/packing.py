@@ -44,7 +44,7 @@ def _encode(path: str, end: int):
             # stored as 16-bit numbers where they fit, which halves the table
             yield shared.table({"part": np.full(len(ids), part, np.int32), "doc_id": b.column(0), "at": starts, "n": n, "ids": [_narrow(x) for x in ids]}, _TOKENS)
 
-    return run
+    return shared.tidy(run, encoder=False)
 
 
 def _narrow(ids: bytes) -> bytes:
@@ -99,7 +99,7 @@ def _cut(base: np.ndarray, window: int):
         if rows:
             yield out()
 
-    return run
+    return shared.tidy(run)
 
 
 def pack(docs: DataFrame, *, vocabulary: str | None = None, end: int = END, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -7,11 +7,15 @@ re-run of its tasks and nothing else.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
+import sys
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import wraps
 
 import numpy as np
 import pyarrow as pa
@@ -74,6 +78,35 @@ def table(rows: dict[str, object], schema: pa.Schema) -> pa.RecordBatch:
     )
 
 
+def release(encoder: bool = True) -> None:
+    """Give a worker's free memory back to the system, and with ``encoder`` drop the tokenizer that it keeps from task to task."""
+    tokens = sys.modules.get(f"{__package__}.tokens")
+    if encoder and tokens:
+        tokens.encoder.cache_clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator], Iterator], encoder: bool = True) -> Callable[[Iterator], Iterator]:
+    """``run``, followed by :func:`release`.
+
+    Workers serve one operator after the other, and what each left allocated and
+    free would add up beside the JVM's heap.
+    """
+
+    @wraps(run)
+    def tidied(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release(encoder)
+
+    return tidied
+
+
 def slices(batches: Iterable[pa.RecordBatch], col: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """The same rows in batches whose column ``col`` has about ``most`` bytes (one row at least)."""
     for b in batches:
